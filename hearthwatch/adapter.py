@@ -10,6 +10,8 @@ and is rewritten for Spark. Each row of the generic `events` table becomes exact
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ RESP = f"""CASE WHEN event_id % 239 = 11 THEN NULL
     WHEN event_id % 4 = 0 THEN '192.168.' || ((event_id // 7) % 8) || '.' || (event_id % 250 + 1)
     WHEN event_id % 46 = 1 THEN '10.0.' || (event_id % 8) || '.' || (event_id % 250 + 1)
     ELSE (11 + {_J} % 180) || '.' || ({_J} * 7 % 256) || '.' || ({_J} * 13 % 256) || '.' || ({_J} % 254 + 1) END"""
-PORT = f"""CASE WHEN event_id % 41 = 0 THEN NULL WHEN {K} % 5 = 0 THEN 443 WHEN {K} % 5 = 1 THEN 80
-    WHEN {K} % 5 = 2 THEN 53 WHEN {K} % 5 = 3 THEN 22 ELSE 8000 + {K} END"""
+PORT = f"""CASE WHEN event_id % 41 = 0 THEN NULL WHEN event_id // 2 % 5 = 0 THEN 443 WHEN event_id // 2 % 5 = 1 THEN 80
+    WHEN event_id // 2 % 5 = 2 THEN 53 WHEN event_id // 2 % 5 = 3 THEN 22 ELSE 8000 + {K} END"""
 PROTO = """CASE WHEN event_id % 71 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'udp' WHEN event_id % 5 = 1 THEN 'TCP'
     WHEN event_id % 5 = 2 THEN 'icmp' ELSE 'tcp' END"""
 SERVICE = """CASE event_type WHEN 'view' THEN 'http' WHEN 'signup' THEN 'ssl'
@@ -223,8 +225,8 @@ def external_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sensor_tables(spark: SparkSession, sf_dir: str) -> SensorTables:
-    """All tables as lazy frames; a query only computes the ones it reads."""
+    """All tables; a query only builds the ones it reads."""
     return SensorTables(
-        **{name: silver(spark, sf_dir, name) for name in SILVER},
-        devices=devices(spark, sf_dir), external_ips=external_ips(spark, sf_dir),
+        **{name: partial(silver, spark, sf_dir, name) for name in SILVER},
+        devices=partial(devices, spark, sf_dir), external_ips=partial(external_ips, spark, sf_dir),
     )

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# One pattern per test keeps the address a single reference, however the column is computed.
+_PRIVATE = r"192\.168\.|10\.|172\.(1[6-9]|2.|3[01])\."
 _QUAD = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
 _CIDR = r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}(/[0-9]{1,2})?$"
 
@@ -37,27 +39,17 @@ def register_ip_to_long(spark) -> None:
 
 def is_private(ip: Column) -> Column:
     """RFC 1918 by prefix: 10/8, 192.168/16, 172.16/12."""
-    teens = reduce(lambda a, b: a | b, [ip.startswith(f"172.{n}.") for n in (16, 17, 18, 19, 30, 31)])
-    return ip.startswith("192.168.") | ip.startswith("10.") | teens | ip.like("172.2_.%")
+    return ip.rlike(f"^({_PRIVATE})")
 
 
 def is_external(ip: Column) -> Column:
     """Routable IPv4 destination: not private, no IPv6, no broadcast or any-address, not 224.* or 239.*."""
-    return (
-        ~is_private(ip)
-        & ~ip.contains(":")
-        & ~ip.isin("255.255.255.255", "0.0.0.0")
-        & ~ip.startswith("224.")
-        & ~ip.startswith("239.")
-    )
+    return ~ip.rlike(rf"^({_PRIVATE}|224\.|239\.)|:|^(255\.255\.255\.255|0\.0\.0\.0)$")
 
 
 def is_private_host(ip: Column) -> Column:
     """First-sight test on the live path; never NULL."""
-    hit = (
-        ~ip.contains(":")
-        & (ip.startswith("10.") | ip.startswith("192.168.") | ip.rlike(r"^172\.0*(1[6-9]|2[0-9]|3[01])(\.|$)"))
-    )
+    hit = ip.rlike(r"^(10\.|192\.168\.|172\.0*(1[6-9]|2[0-9]|3[01])(\.|$))[^:]*$")
     return F.coalesce(hit, F.lit(False))
 
 
@@ -66,16 +58,16 @@ def is_home_lan(ip: Column) -> Column:
 
 
 def is_lan_or_ten(ip: Column) -> Column:
-    return ip.startswith("192.168.") | ip.startswith("10.")
+    return ip.rlike(r"^(192\.168|10)\.")
 
 
 def is_map_internal(ip: Column) -> Column:
-    return ip.startswith("192.168.") | ip.startswith("10.") | ip.startswith("172.16.")
+    return ip.rlike(r"^(192\.168|10|172\.16)\.")
 
 
 def is_outside_source(ip: Column) -> Column:
     """Inbound source: neither private nor IPv6 link-local."""
-    return ~is_private(ip) & ~ip.startswith("fe80:")
+    return ~ip.rlike(f"^({_PRIVATE}|fe80:)")
 
 
 def scan_target_in_scope(target: Column) -> Column:

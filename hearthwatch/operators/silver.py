@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,26 +130,36 @@ def activity(events: DataFrame) -> DataFrame:
 _BUILDERS = {"conn": conn, "dhcp": dhcp, "alerts": alerts, "dns": dns, "tls": tls, "activity": activity}
 
 
-@dataclass(frozen=True)
 class SensorTables:
-    """The silver tables every later operator reads, plus the two summaries the panels join."""
+    """The silver tables every later operator reads, plus the two summaries the panels join.
 
-    conn: DataFrame
-    dhcp: DataFrame
-    alerts: DataFrame
-    dns: DataFrame
-    tls: DataFrame
-    activity: DataFrame
-    devices: DataFrame | None = None
-    external_ips: DataFrame | None = None
+    A table is given as a DataFrame or as a function that builds one on first use, so a query only analyses
+    the tables it touches.
+    """
+
+    NAMES = (*_BUILDERS, "devices", "external_ips")
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        unknown = set(tables) - set(self.NAMES)
+        if unknown:
+            raise TypeError(f"unknown tables: {sorted(unknown)}")
+        self._tables = dict(tables)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        table = self._tables[name]
+        if callable(table):
+            table = self._tables[name] = table()
+        return table
 
     @classmethod
-    def from_events(cls, events: DataFrame, **summaries: DataFrame) -> "SensorTables":
-        return cls(**{name: build(events) for name, build in _BUILDERS.items()}, **summaries)
+    def from_events(cls, events: DataFrame, **summaries) -> "SensorTables":
+        return cls(**{name: partial(build, events) for name, build in _BUILDERS.items()}, **summaries)
 
     @classmethod
-    def from_path(cls, spark: SparkSession, root: str, **summaries: DataFrame) -> "SensorTables":
-        return cls(**{name: import_table(spark, f"{root}/{name}") for name in _BUILDERS}, **summaries)
+    def from_path(cls, spark: SparkSession, root: str, **summaries) -> "SensorTables":
+        return cls(**{name: partial(import_table, spark, f"{root}/{name}") for name in _BUILDERS}, **summaries)
 
 
 def write_silver(events: DataFrame, root: str, mode: str = "overwrite") -> None:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Query vectors shipped to the tasks at once; a larger set is searched block by block.
 QUERY_BLOCK = 2048
@@ -51,7 +52,7 @@ def with_term_vectors(rules: DataFrame, dims: int = 256, text: str = "chunk_text
     return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
 
 
-def _top_of_batches(ids: list, queries: np.ndarray, key: str, k: int):
+def _top_of_batches(ids: pa.Array, queries: np.ndarray, key: str, k: int):
     lengths = np.linalg.norm(queries, axis=1)
     usable = np.flatnonzero(lengths > 0)
     unit = queries[usable] / lengths[usable, None]
@@ -72,12 +73,13 @@ def _top_of_batches(ids: list, queries: np.ndarray, key: str, k: int):
             for column, q in enumerate(usable):
                 score = scores[:, column]
                 best = np.lexsort((keys, -score))[:k]
-                found_q.extend([ids[q]] * len(best))
+                found_q.append(np.full(len(best), q))
                 found_r.append(rows[best])
                 found_s.append(score[best])
             picked = np.concatenate(found_r)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found_q), records.column(key).take(pa.array(picked)), pa.array(np.concatenate(found_s))],
+                [ids.take(pa.array(np.concatenate(found_q))), records.column(key).take(pa.array(picked)),
+                 pa.array(np.concatenate(found_s))],
                 ["query_id", key, "score"],
             )
 
@@ -94,7 +96,8 @@ def _search_block(corpus: DataFrame, queries: DataFrame, key: str, k: int) -> Da
     usable = corpus.filter(F.col("embedding").isNotNull() & (F.size("embedding") == width)).select(key, "embedding")
     types = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *corpus.schema.fields]}
     schema = f"query_id {types['query_id']}, `{key}` {types[key]}, score DOUBLE"
-    return usable.mapInArrow(_top_of_batches([r["query_id"] for r in rows], matrix, key, k), schema)
+    ids = pa.array([r["query_id"] for r in rows], to_arrow_type(queries.schema["query_id"].dataType))
+    return usable.mapInArrow(_top_of_batches(ids, matrix, key, k), schema)
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str = "sid") -> DataFrame:
