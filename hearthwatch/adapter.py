@@ -146,9 +146,17 @@ def spark_sql(expression: str) -> str:
     return half_even.replace("//", "div")
 
 
+# declared, so that building a query needs no job to read file footers
+SOURCE_SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+}
+
+
 def _source(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
     use_utc(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(SOURCE_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def silver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,41 +166,67 @@ def silver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         *[F.expr(spark_sql(e)).alias(c) for c, e in columns.items()])
 
 
-def _json(**fields: str) -> str:
-    pairs = ", ".join(f"'{k.replace('__', '.')}', {e}" for k, e in fields.items())
-    return f"to_json(named_struct({pairs}))"
+KINDS = {
+    "conn": IS_CONN, "alert": IS_ALERT, "anomaly": IS_EVE_ANOMALY, "dhcp": IS_DHCP, "eve_dns": IS_EVE_DNS,
+    "zeek_dns": IS_ZEEK_DNS, "eve_tls": IS_EVE_TLS, "zeek_tls": IS_ZEEK_TLS,
+}
+# payload field -> (kinds that carry it, prepared column or expression)
+_ZEEK_FLOW = ("conn", "zeek_dns", "zeek_tls")
+_EVE = ("alert", "anomaly", "eve_dns", "eve_tls")
+PAYLOAD = {
+    "event_type": (_EVE, EVE_TYPE),
+    "uid": (("conn",), "'C' || event_id"),
+    "id.orig_h": (_ZEEK_FLOW, "orig"),
+    "id.resp_h": (("conn",), "resp"),
+    "id.resp_p": (("conn",), "port"),
+    "src_ip": (_EVE, "orig"),
+    "dest_ip": (("alert", "anomaly"), "resp"),
+    "src_port": (("alert",), "40000 + event_id % 20000"),
+    "dest_port": (("alert",), "port"),
+    "proto": (("conn", "alert"), f"CASE WHEN event_type = 'error' THEN 'TCP' ELSE {PROTO} END"),
+    "service": (("conn",), SERVICE),
+    "duration": (("conn",), DURATION),
+    "orig_bytes": (("conn",), ORIG_BYTES),
+    "resp_bytes": (("conn",), RESP_NUMBER),
+    "conn_state": (("conn",), STATE),
+    "orig_l2_addr": (("conn",), MAC),
+    "community_id": (("conn", "alert"), FLOW_ID),
+    "alert": (("alert",), f"named_struct('signature', {SIGNATURE}, 'category', {CATEGORY}, 'severity', {SEVERITY})"),
+    "assigned_addr": (("dhcp",), LAN),
+    "mac": (("dhcp",), LEASE_MAC),
+    "host_name": (("dhcp",), HOST_NAME),
+    "server_addr": (("dhcp",), "'192.168.0.1'"),
+    "domain": (("dhcp",), "'lan'"),
+    "lease_time": (("dhcp",), LEASE_TIME),
+    "query": (("zeek_dns",), DOMAIN),
+    "qtype_name": (("zeek_dns",), QTYPE),
+    "dns": (("eve_dns",), f"named_struct('rrname', {DOMAIN}, 'rrtype', {QTYPE}, 'rcode', {RCODE})"),
+    "server_name": (("zeek_tls",), SNI),
+    "version": (("zeek_tls",), TLS_VERSION),
+    "tls": (("eve_tls",), f"named_struct('sni', {SNI}, 'version', {TLS_VERSION}, 'ja3', named_struct('hash', {JA3}))"),
+}
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The `events` table with JSON payloads: one scan, one record per generic row."""
-    common = {"timestamp": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"}
-    eve = {**common, "event_type": EVE_TYPE, "src_ip": ORIG}
-    conn = _json(**common, uid="'C' || event_id", id__orig_h=ORIG, id__resp_h=RESP, id__resp_p=PORT, proto=PROTO,
-                 service=SERVICE, duration=DURATION, orig_bytes=ORIG_BYTES, resp_bytes=RESP_NUMBER, conn_state=STATE,
-                 orig_l2_addr=MAC, community_id=FLOW_ID)
-    alert = _json(**eve, dest_ip=RESP, src_port="40000 + event_id % 20000", dest_port=PORT, proto="'TCP'",
-                  community_id=FLOW_ID,
-                  alert=f"named_struct('signature', {SIGNATURE}, 'category', {CATEGORY}, 'severity', {SEVERITY})")
-    anomaly = _json(**eve, dest_ip=RESP)
-    dhcp = _json(**common, assigned_addr=LAN, mac=LEASE_MAC, host_name=HOST_NAME, server_addr="'192.168.0.1'",
-                 domain="'lan'", lease_time=LEASE_TIME)
-    eve_dns = _json(**eve, dns=f"named_struct('rrname', {DOMAIN}, 'rrtype', {QTYPE}, 'rcode', {RCODE})")
-    zeek_dns = _json(**common, id__orig_h=ORIG, query=DOMAIN, qtype_name=QTYPE)
-    eve_tls = _json(**eve, tls=f"named_struct('sni', {SNI}, 'version', {TLS_VERSION}, "
-                               f"'ja3', named_struct('hash', {JA3}))")
-    zeek_tls = _json(**common, id__orig_h=ORIG, server_name=SNI, version=TLS_VERSION)
-    raw = (
-        f"CASE WHEN {IS_CONN} THEN {conn} WHEN {IS_ALERT} THEN {alert} WHEN {IS_EVE_ANOMALY} THEN {anomaly} "
-        f"WHEN {IS_DHCP} THEN {dhcp} WHEN {IS_EVE_DNS} THEN {eve_dns} WHEN {IS_ZEEK_DNS} THEN {zeek_dns} "
-        f"WHEN {IS_EVE_TLS} THEN {eve_tls} ELSE {zeek_tls} END"
-    )
-    hour = "date_format(ts, 'yyyy-MM-dd-HH')"
-    return _source(spark, sf_dir).select(
-        F.col("ts").alias("timestamp"),
+    prepared = _source(spark, sf_dir).select(
+        "ts", "event_id", "user_id", "event_type", "value",
         F.expr(spark_sql(TOOL)).alias("source_tool"),
-        F.expr(spark_sql(LOG)).alias("log_type"),
-        F.expr(spark_sql(f"'/logs/staged/' || {TOOL} || '/' || {LOG} || '/' || {hour} || '.ndjson'")).alias("source_file"),
-        F.expr(spark_sql(raw)).alias("raw"),
+        F.expr(spark_sql(LOG)).alias("log_type"), F.expr(spark_sql(ORIG)).alias("orig"),
+        F.expr(spark_sql(RESP)).alias("resp"), F.expr(spark_sql(PORT)).alias("port"),
+    )
+    # fields a kind does not carry are NULL, and NULL fields are left out of the JSON
+    fields = [
+        F.expr(spark_sql(f"CASE WHEN {' OR '.join(f'({KINDS[k]})' for k in kinds)} THEN {e} END")).alias(name)
+        for name, (kinds, e) in PAYLOAD.items()
+    ]
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")
+    hour = F.date_format("ts", "yyyy-MM-dd-HH")
+    return prepared.select(
+        F.col("ts").alias("timestamp"), "source_tool", "log_type",
+        F.concat(F.lit("/logs/staged/"), "source_tool", F.lit("/"), "log_type", F.lit("/"), hour, F.lit(".ndjson"))
+        .alias("source_file"),
+        F.to_json(F.struct(stamp, *fields)).alias("raw"),
     )
 
 

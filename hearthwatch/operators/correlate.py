@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .enrich import spread_nulls
+
 ALERT_SIDE = ["alert_time", "alert_signature", "severity", "src_ip", "dest_ip", "community_id"]
 FLOW_SIDE = ["zeek_duration", "zeek_orig_bytes", "zeek_resp_bytes", "zeek_conn_state"]
 
@@ -26,13 +28,11 @@ def _flow_side(conn: DataFrame) -> DataFrame:
 def alerts_with_flows(alerts: DataFrame, conn: DataFrame) -> DataFrame:
     """Every alert with each of its flows; alerts without one stay, with empty flow columns.
 
-    Alerts without an id cannot match, so they skip the join instead of meeting in its NULL partition.
+    Alerts without an id match nothing; they are scattered over the join's partitions.
     """
-    rows = _alert_side(alerts)
-    with_id = rows.filter("community_id IS NOT NULL").join(_flow_side(conn), "community_id", "left")
-    return with_id.select(*ALERT_SIDE, *FLOW_SIDE).unionByName(
-        rows.filter("community_id IS NULL"), allowMissingColumns=True
-    )
+    rows = _alert_side(alerts).withColumn("_spread", spread_nulls("community_id", "alert_time", "src_ip", "dest_ip"))
+    flows = _flow_side(conn).withColumn("_spread", F.lit(0))
+    return rows.join(flows, ["community_id", "_spread"], "left").select(*ALERT_SIDE, *FLOW_SIDE)
 
 
 def newest_alerts_with_flows(alerts: DataFrame, conn: DataFrame, n: int) -> DataFrame:

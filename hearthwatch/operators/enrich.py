@@ -7,13 +7,22 @@ it otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ip import ip_to_long
 from ..functions.text import mac_prefix
 
 _SLASH_16 = 65536
+_SPREAD = 1024
+
+
+def spread_nulls(key: str, *by: str) -> Column:
+    """Second equality key for an outer join whose `key` is often NULL; the other side holds 0 throughout.
+
+    Rows without a key match nothing, but would all be shuffled to one partition; this scatters them.
+    """
+    return F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*by), F.lit(_SPREAD)).cast("int") + 1).otherwise(0)
 
 
 def with_vendor(df: DataFrame, vendors: DataFrame, mac: str = "mac") -> DataFrame:
@@ -40,14 +49,16 @@ def with_country(df: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
     `df` should hold each address once (as the inventories do): a block then has at most 65,536 rows on
     the left whatever the traffic looks like.
     """
-    located = df.withColumn("_ip", ip_to_long(F.col(ip))).withColumn("_block", F.floor(F.col("_ip") / _SLASH_16))
-    lookup = range_buckets(ranges).withColumnRenamed("_block", "_range_block")
-    hit = (F.col("_block") == F.col("_range_block")) & F.col("_ip").between(F.col("ip_start"), F.col("ip_end"))
-    columns = [*df.columns, "country"]
-    known = located.filter("_ip IS NOT NULL").join(lookup, hit, "left").select(*columns)
-    # addresses without a numeric form match nothing; keeping them out of the join avoids one NULL partition
-    unknown = located.filter("_ip IS NULL").withColumn("country", F.lit(None).cast("string")).select(*columns)
-    return known.union(unknown)
+    number = ip_to_long(F.col(ip))
+    located = df.withColumn("_ip", number).withColumn("_block", F.floor(F.col("_ip") / _SLASH_16)).withColumn(
+        "_spread", spread_nulls("_block", ip))
+    lookup = range_buckets(ranges).withColumn("_range_spread", F.lit(0)).withColumnRenamed("_block", "_range_block")
+    hit = (
+        (F.col("_block") == F.col("_range_block"))
+        & (F.col("_spread") == F.col("_range_spread"))
+        & F.col("_ip").between(F.col("ip_start"), F.col("ip_end"))
+    )
+    return located.join(lookup, hit, "left").select(*df.columns, "country")
 
 
 def with_event_country(df: DataFrame, ranges: DataFrame, ip: str) -> DataFrame:

@@ -90,10 +90,10 @@ for _name in A.SILVER:
 def _staged_lines(spark, sf_dir) -> DataFrame:
     """Raw records as file lines: those of second 13 are cut off, those of second 14 lack their time."""
     second = F.second("timestamp")
+    stamp = F.when(second == 14, '"logged"').otherwise('"timestamp"')
+    line = F.replace("raw", F.lit('"timestamp"'), stamp)
     return A.raw_events(spark, sf_dir).select(
-        F.when(second == 13, F.substring("raw", 1, 20))
-        .when(second == 14, F.replace("raw", F.lit('"timestamp"'), F.lit('"logged"')))
-        .otherwise(F.col("raw")).alias("value"),
+        F.substring(line, F.lit(1), F.when(second == 13, 20).otherwise(F.lit(2**31 - 1))).alias("value"),
         F.concat(F.lit("file:"), "source_file").alias("source_file"),
     )
 
