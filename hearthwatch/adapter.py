@@ -161,9 +161,20 @@ def _source(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFram
 
 def silver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One typed table straight from the generic columns."""
+    return _typed(_source(spark, sf_dir), name)
+
+
+def silver_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream, with a TIMESTAMP event time for watermarks."""
+    use_utc(spark)
+    # as a pattern, so that the table may be one file or a folder of files
+    rows = spark.readStream.schema(SOURCE_SCHEMAS["events"]).parquet(f"{sf_dir}/events.parque[t]")
+    return _typed(rows, name).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+
+
+def _typed(rows: DataFrame, name: str) -> DataFrame:
     where, columns = SILVER[name]
-    return _source(spark, sf_dir).filter(where).select(
-        *[F.expr(spark_sql(e)).alias(c) for c, e in columns.items()])
+    return rows.filter(where).select(*[F.expr(spark_sql(e)).alias(c) for c, e in columns.items()])
 
 
 KINDS = {

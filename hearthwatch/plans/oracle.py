@@ -668,3 +668,43 @@ _put("upkeep_unsynced_scans", """
             ELSE '{"sqlite_id":' || o_orderkey || '}' END AS results
     FROM orders WHERE o_orderkey > (SELECT coalesce(max(o_orderkey), 0) FROM orders WHERE o_orderpriority = '1-URGENT'
         AND o_custkey % 5 <> 0 AND o_orderkey <= (SELECT max(o_orderkey) // 2 FROM orders))""")
+
+
+# --- streams
+def _closed(table: str) -> str:
+    """Last instant the watermark has passed when the stream has read everything."""
+    return f"(SELECT max(timestamp) - INTERVAL 10 MINUTE FROM {table})"
+
+
+_put("stream_new_addresses", """SELECT DISTINCT src_ip AS ip FROM activity
+    WHERE regexp_matches(src_ip, '^(10|192[.]168|172[.](1[6-9]|2[0-9]|3[01]))[.]') AND src_ip NOT IN (SELECT ip FROM known)""")
+_put("stream_trailing_stats", f"""
+    SELECT orig_h AS ip, w AS window_start, w + INTERVAL 6 HOUR AS window_end, CAST(sum({BYTES}) AS DOUBLE) AS bytes_5min,
+        CAST(count(*) AS DOUBLE) AS conns_5min, CAST(count(DISTINCT resp_h) AS DOUBLE) AS dest_ips
+    FROM (SELECT *, time_bucket(INTERVAL '2 hours', timestamp) - to_hours(CAST(2 * s AS INT)) AS w FROM conn, range(0, 3) r(s))
+    WHERE w + INTERVAL 6 HOUR <= {_closed('conn')} GROUP BY 1, 2""")
+_put("stream_timeline", f"""SELECT {BUCKET} AS time, source_tool, count(*) AS count FROM activity
+    WHERE {BUCKET} + INTERVAL 5 MINUTE <= {_closed('activity')} GROUP BY 1, 2""")
+_put("stream_running_baselines", f"""
+    SELECT w.ip, w.window_start, CAST(count(*) AS INT) AS samples,
+        {", ".join(f"round(list_reduce(list(p.{n} ORDER BY p.window_start), lambda e, x: 0.3::DOUBLE * x + 0.7::DOUBLE * e), 6) AS {a}"
+                   for n, a in (("bytes_5min", "avg_bytes_5min"), ("conns_5min", "avg_conns_5min"), ("dest_ips", "avg_dest_ips")))}
+    FROM windows w JOIN windows p ON p.ip = w.ip AND p.window_start <= w.window_start
+    WHERE w.window_start + INTERVAL 6 HOUR <= {_closed('conn')} GROUP BY 1, 2""")
+_put("stream_cooldown", f"""
+    , ticks AS (SELECT * FROM ({_TICKS}) WHERE t + INTERVAL 10 MINUTE <= (SELECT max(timestamp) - INTERVAL 10 MINUTE
+        FROM alerts WHERE severity <= 2)),
+    fired AS (
+        SELECT k, min(t) AS t FROM ticks GROUP BY k
+        UNION ALL
+        SELECT f.k, (SELECT min(n.t) FROM ticks n WHERE n.k = f.k AND n.t >= f.t + INTERVAL 1 HOUR) AS t
+        FROM fired f WHERE f.t IS NOT NULL
+    )
+    SELECT 'suricata_alert' AS anomaly_type, ticks.k AS dedup_key, ticks.t AS detected_at, ticks.hits
+    FROM ticks JOIN fired ON fired.k = ticks.k AND fired.t = ticks.t""", recursive=True)
+_put("stream_alerts_with_flows", f"""
+    SELECT a.timestamp AS alert_time, a.signature, a.severity, a.src_ip, a.dest_ip, a.community_id,
+        c.timestamp AS flow_time, c.duration, c.conn_state
+    FROM alerts a LEFT JOIN conn c ON c.community_id = a.community_id
+        AND c.timestamp BETWEEN a.timestamp - INTERVAL 1 HOUR AND a.timestamp + INTERVAL 1 HOUR
+    WHERE c.timestamp IS NOT NULL OR a.timestamp + INTERVAL 1 HOUR < least({_closed('alerts')}, {_closed('conn')})""")

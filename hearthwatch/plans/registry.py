@@ -19,6 +19,7 @@ from ..functions.vectors import cosine
 from ..operators import baselines as B
 from ..operators import correlate, cooldown, detectors, enrich, inventory, maintenance, rules, silver, similarity
 from ..session import shared_dir
+from ..streaming import jobs, live
 from ..sources import event_files, lookups, scans, tables
 from . import analyst
 from .panels import PANELS
@@ -792,3 +793,63 @@ def upkeep_unsynced_scans(spark, sf_dir):
         F.when(F.col("o_custkey") % 5 == 0, "scheduled_service").otherwise("quick").alias("scan_type"),
         F.concat(F.lit('{"sqlite_id":'), "o_orderkey", F.lit("}")).alias("results"))
     return maintenance.unsynced_scans(queue, synced).drop("scanned_at")
+
+
+# --- streams ---------------------------------------------------------------------------------------------
+# Each runs the stream over what the source holds now into a table of the shared folder and reads that table.
+# Windows the watermark has not passed yet stay open, as they would in a running stream.
+
+
+def _appended(spark, stream: DataFrame) -> str:
+    base = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    jobs.append_to_table(stream, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return f"{base}/table"
+
+
+def _chained(spark, stream: DataFrame) -> DataFrame:
+    """The stream's table, read as a stream again."""
+    return spark.readStream.schema(stream.schema).parquet(_appended(spark, stream))
+
+
+def _drained(spark, stream: DataFrame) -> DataFrame:
+    rows = spark.read.schema(stream.schema).parquet(_appended(spark, stream))
+    return rows.select(*[
+        F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp" else F.col(f.name)
+        for f in rows.schema.fields
+    ])
+
+
+@query("stream_new_addresses")
+def stream_new_addresses(spark, sf_dir):
+    seen = A.silver_stream(spark, sf_dir, "activity").select(F.col("src_ip").alias("ip"))
+    return _drained(spark, live.new_addresses(seen, _known(spark, sf_dir)))
+
+
+@query("stream_trailing_stats")
+def stream_trailing_stats(spark, sf_dir):
+    return _drained(spark, live.trailing_stats(A.silver_stream(spark, sf_dir, "conn"), "6 hours", "2 hours"))
+
+
+@query("stream_timeline")
+def stream_timeline(spark, sf_dir):
+    return _drained(spark, live.timeline(A.silver_stream(spark, sf_dir, "activity"), "source_tool"))
+
+
+@query("stream_running_baselines")
+def stream_running_baselines(spark, sf_dir):
+    stats = live.trailing_stats(A.silver_stream(spark, sf_dir, "conn"), "6 hours", "6 hours")
+    return _rounded_averages(_drained(spark, live.running_baselines(live.lan_only(_chained(spark, stats)))))
+
+
+@query("stream_cooldown")
+def stream_cooldown(spark, sf_dir):
+    severe = A.silver_stream(spark, sf_dir, "alerts").filter("severity <= 2").select(
+        F.lit("suricata_alert").alias("anomaly_type"), F.col("signature").alias("dedup_key"),
+        F.col("timestamp").alias("detected_at"))
+    return _drained(spark, live.throttled(_chained(spark, live.candidate_ticks(severe, "10 minutes")), 60))
+
+
+@query("stream_alerts_with_flows")
+def stream_alerts_with_flows(spark, sf_dir):
+    alerts, conn = (A.silver_stream(spark, sf_dir, n) for n in ("alerts", "conn"))
+    return _drained(spark, live.alerts_with_flows(alerts, conn))
