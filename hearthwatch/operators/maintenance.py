@@ -22,6 +22,15 @@ def replace_by_file(events: DataFrame, incoming: DataFrame, changed: DataFrame)
     return kept.unionByName(fresh.select(*kept.columns))
 
 
+def current_rows(events: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Rows of the append-only event table that are in force.
+
+    Each ingest appends under its own `batch`; the ledger names the batch that last read a file, so rows an
+    older batch read from that file are superseded without rewriting anything.
+    """
+    return events.join(ledger.select("source_file", "batch"), ["source_file", "batch"], "left_semi")
+
+
 def upsert(table: DataFrame, incoming: DataFrame, *keys: str) -> DataFrame:
     """Insert or replace: incoming rows win. `incoming` holds each key once."""
     return incoming.unionByName(table.join(incoming.select(*keys), list(keys), "left_anti").select(*incoming.columns))

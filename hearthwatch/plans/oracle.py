@@ -708,3 +708,14 @@ _put("stream_alerts_with_flows", f"""
     FROM alerts a LEFT JOIN conn c ON c.community_id = a.community_id
         AND c.timestamp BETWEEN a.timestamp - INTERVAL 1 HOUR AND a.timestamp + INTERVAL 1 HOUR
     WHERE c.timestamp IS NOT NULL OR a.timestamp + INTERVAL 1 HOUR < least({_closed('alerts')}, {_closed('conn')})""")
+for _n in ("source_ndjson_files", "stream_ingest_files"):
+    _put(_n, "SELECT source_tool, log_type, count(*) AS rows, max(timestamp) AS newest FROM activity GROUP BY 1, 2")
+_put("upkeep_current_rows", """
+    SELECT source_tool, log_type, CAST(CASE WHEN hour(timestamp) % 2 = 0 THEN 2 ELSE 1 END AS INT) AS batch, count(*) AS rows
+    FROM activity WHERE hour(timestamp) % 2 = 1 OR minute(timestamp) < 30 GROUP BY 1, 2, 3""")
+_NEW = ("(SELECT DISTINCT src_ip FROM activity WHERE regexp_matches(src_ip, '^(10|192[.]168|172[.](1[6-9]|2[0-9]|3[01]))[.]') "
+        "AND src_ip NOT IN (SELECT ip FROM known))")
+_put("stream_queue_consumers", " UNION ALL ".join(
+    f"SELECT '{c}' AS consumer, count(*) AS rows, count(*) AS addresses FROM {_NEW}" for c in ("mailer", "store")))
+_CLOCK = "(SELECT max(timestamp) FROM conn)"
+_put("stream_detector_tick", ", ".join(_PARTS["detect_massive_volume"]).replace(T, _CLOCK))

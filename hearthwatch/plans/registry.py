@@ -404,9 +404,10 @@ def baseline_window_stats(spark, sf_dir):
     return B.window_stats(A.silver(spark, sf_dir, "conn"), SETTINGS)
 
 
-def _past_baselines(spark, sf_dir) -> DataFrame:
+def _past_baselines(spark, sf_dir, devices: DataFrame | None = None) -> DataFrame:
     past = A.silver(spark, sf_dir, "conn").filter(F.col("timestamp") < back(AS_OF, SETTINGS.recent))
-    return B.replayed_baselines(B.window_stats(past, SETTINGS), A.devices(spark, sf_dir))
+    devices = A.devices(spark, sf_dir) if devices is None else devices
+    return B.replayed_baselines(B.window_stats(past, SETTINGS), devices)
 
 
 def _rounded_averages(df: DataFrame) -> DataFrame:
@@ -430,9 +431,10 @@ def baseline_update(spark, sf_dir):
 # --- detectors -------------------------------------------------------------------------------------------
 
 
-def _known(spark, sf_dir) -> DataFrame:
+def _known(spark, sf_dir, devices: DataFrame | None = None) -> DataFrame:
     """Devices registered by mid-month."""
-    return A.devices(spark, sf_dir).filter(F.col("first_seen") < instant(datetime.fromisoformat("2024-01-15 00:00:00"))).select(
+    devices = A.devices(spark, sf_dir) if devices is None else devices
+    return devices.filter(F.col("first_seen") < instant(datetime.fromisoformat("2024-01-15 00:00:00"))).select(
         "ip", F.col("first_seen").alias("first_detected"))
 
 
@@ -513,9 +515,20 @@ def detect_drained_queue(spark, sf_dir):
     return _flat(detectors.drained(queue, done, AS_OF)).drop("d_detected_at")
 
 
+def _stored(spark, df: DataFrame) -> DataFrame:
+    """A summary written once to the shared folder, as a running cycle keeps it."""
+    path = f"{shared_dir(spark)}/summaries/{uuid.uuid4().hex}"
+    tables.export_table(df, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _detect_all(spark, sf_dir, baseline: str) -> DataFrame:
-    t = A.sensor_tables(spark, sf_dir)
-    return detectors.detect_all(t, _known(spark, sf_dir), _past_baselines(spark, sf_dir), _history(spark, sf_dir),
+    typed = A.sensor_tables(spark, sf_dir)
+    devices = _stored(spark, typed.devices)
+    t = silver.SensorTables(conn=typed.conn, alerts=typed.alerts, devices=devices,
+                            external_ips=_stored(spark, typed.external_ips))
+    baselines = _stored(spark, _past_baselines(spark, sf_dir, devices))
+    return detectors.detect_all(t, _known(spark, sf_dir, devices), baselines, _stored(spark, _history(spark, sf_dir)),
                                 AS_OF, SETTINGS, baseline).select(
         "anomaly_type", "dedup_key", "severity", "summary", "detected_at")
 
@@ -795,6 +808,50 @@ def upkeep_unsynced_scans(spark, sf_dir):
     return maintenance.unsynced_scans(queue, synced).drop("scanned_at")
 
 
+# --- files -----------------------------------------------------------------------------------------------
+
+
+def _stage_files(spark, sf_dir) -> str:
+    """The raw events as staged files `<tool>/<log>/*.txt` in the shared folder."""
+    root = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
+    raw = A.raw_events(spark, sf_dir)
+    for tool, log in (("zeek", "conn"), ("zeek", "dhcp"), ("zeek", "dns"), ("zeek", "ssl"), ("suricata", "eve")):
+        raw.filter((F.col("source_tool") == tool) & (F.col("log_type") == log)).select("raw").write.text(f"{root}/{tool}/{log}")
+    return root
+
+
+def _per_log(events: DataFrame) -> DataFrame:
+    return events.groupBy("source_tool", "log_type").agg(
+        F.count("*").alias("rows"), F.max("timestamp").cast("timestamp_ntz").alias("newest"))
+
+
+@query("source_ndjson_files")
+def source_ndjson_files(spark, sf_dir):
+    root = _stage_files(spark, sf_dir)
+    lines = event_files.read_lines(spark, root, "*.txt")
+    return _per_log(event_files.staged_events(lines, root, instant(A.AS_OF)))
+
+
+@query("stream_ingest_files")
+def stream_ingest_files(spark, sf_dir):
+    root = _stage_files(spark, sf_dir)
+    events = event_files.staged_events(event_files.stream_lines(spark, root, "*.txt"), root, instant(A.AS_OF))
+    return _per_log(_drained(spark, events))
+
+
+@query("upkeep_current_rows")
+def upkeep_current_rows(spark, sf_dir):
+    """Batch 1 read every file, batch 2 read the files of even hours again."""
+    raw = A.raw_events(spark, sf_dir)
+    again = raw.filter(F.hour("timestamp") % 2 == 0)
+    events = raw.withColumn("batch", F.lit(1)).union(again.filter(F.minute("timestamp") < 30).withColumn("batch", F.lit(2)))
+    ledger = maintenance.upsert(
+        raw.select("source_file", F.lit(1).alias("batch")).distinct(),
+        again.select("source_file", F.lit(2).alias("batch")).distinct(), "source_file")
+    return maintenance.current_rows(events, ledger).groupBy("source_tool", "log_type", "batch").agg(
+        F.count("*").alias("rows"))
+
+
 # --- streams ---------------------------------------------------------------------------------------------
 # Each runs the stream over what the source holds now into a table of the shared folder and reads that table.
 # Windows the watermark has not passed yet stay open, as they would in a running stream.
@@ -853,3 +910,34 @@ def stream_cooldown(spark, sf_dir):
 def stream_alerts_with_flows(spark, sf_dir):
     alerts, conn = (A.silver_stream(spark, sf_dir, n) for n in ("alerts", "conn"))
     return _drained(spark, live.alerts_with_flows(alerts, conn))
+
+
+@query("stream_queue_consumers")
+def stream_queue_consumers(spark, sf_dir):
+    """Two readers of one queue table, each with its own progress."""
+    seen = A.silver_stream(spark, sf_dir, "activity").select(F.col("src_ip").alias("ip"))
+    queue = _appended(spark, live.new_addresses(seen, _known(spark, sf_dir)))
+    base = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    taken = []
+    for name in ("mailer", "store"):
+        jobs.read_queue(spark, queue, name, f"{base}/checkpoints", jobs.batch_writer(f"{base}/{name}")).awaitTermination()
+        taken.append(spark.read.parquet(f"{base}/{name}").groupBy(F.lit(name).alias("consumer")).agg(
+            F.count("*").alias("rows"), F.count_distinct("ip").alias("addresses")))
+    return taken[0].union(taken[1])
+
+
+@query("stream_detector_tick")
+def stream_detector_tick(spark, sf_dir):
+    """The volume detector run by the stream's batch, with the newest event as its clock."""
+    path = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    history = _history(spark, sf_dir)
+
+    def detect(_, as_of):
+        return _flat(detectors.massive_volume(A.silver(spark, sf_dir, "conn"), history, as_of, SETTINGS))
+
+    stream = A.silver_stream(spark, sf_dir, "conn").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    (
+        stream.writeStream.foreachBatch(jobs.tick_each_batch(detect, f"{path}/found"))
+        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    )
+    return spark.read.parquet(f"{path}/found").drop("batch")

@@ -10,11 +10,22 @@ from ..functions.payload import epoch_seconds, event_time, json_text
 LINES = "value STRING, source_file STRING, modified_at TIMESTAMP"
 
 
-def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "*.ndjson") -> DataFrame:
-    """Text lines below `path` with the file each came from and that file's modification time."""
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+def list_files(spark: SparkSession, path: str, pattern: str = "*.ndjson") -> DataFrame:
+    """Files below `path` with their modification times; contents are not read."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     )
+    return files.select(F.col("path").alias("source_file"), F.col("modificationTime").alias("modified_at"))
+
+
+def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "*.ndjson", since=None) -> DataFrame:
+    """Text lines below `path` with the file each came from and that file's modification time.
+
+    `since` skips older files while the scan is planned.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    if since is not None:
+        lines = lines.filter(F.col("_metadata.file_modification_time") >= F.lit(since))
     return lines.select(
         "value",
         F.col("_metadata.file_path").alias("source_file"),
