@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..schemas import SCAN_HOST, SCAN_PORT, SCAN_RESULT
 
 _XML_PORT = (
-    "STRUCT<_portid: STRING, _protocol: STRING, state: STRUCT<_state: STRING>, "
-    "service: STRUCT<_name: STRING, _version: STRING, _product: STRING>>"
+    "STRUCT<_portid STRING, _protocol STRING, state STRUCT<_state STRING>, "
+    "service STRUCT<_name STRING, _version STRING, _product STRING>>"
 )
 # A host may carry several addresses or names; the first of each counts.
 HOST_XML = (
-    "status: STRUCT<_state: STRING>, address: ARRAY<STRUCT<_addr: STRING>>, "
-    "hostnames: STRUCT<hostname: ARRAY<STRUCT<_name: STRING>>>, "
-    f"ports: STRUCT<port: ARRAY<{_XML_PORT}>>"
+    "status STRUCT<_state STRING>, address ARRAY<STRUCT<_addr STRING>>, "
+    "hostnames STRUCT<hostname ARRAY<STRUCT<_name STRING>>>, "
+    f"ports STRUCT<port ARRAY<{_XML_PORT}>>"
 )
 RUN_XML = f"host ARRAY<STRUCT<{HOST_XML}>>"
 
