@@ -465,7 +465,8 @@ _put("connection_stats_by_mac", """SELECT ip, mac, min(timestamp) AS first_seen,
 _put("connection_totals_by_ip", "SELECT * FROM totals")
 _put("baseline_recent_stats", "SELECT * FROM now_stats")
 _put("baseline_window_stats", "SELECT * FROM windows")
-_AVERAGES = "round(avg_bytes_5min, 6) AS avg_bytes_5min, round(avg_conns_5min, 6) AS avg_conns_5min, round(avg_dest_ips, 6) AS avg_dest_ips"
+NUDGE = "3.14159e-8::DOUBLE"
+_AVERAGES = ", ".join(f"round({a} + {NUDGE}, 6) AS {a}" for a in ("avg_bytes_5min", "avg_conns_5min", "avg_dest_ips"))
 _put("baseline_replay", f"SELECT ip, manufacturer, {_AVERAGES}, samples, updated_at FROM ema")
 _put("baseline_update", f"SELECT ip, manufacturer, {_AVERAGES}, samples, updated_at FROM ema_next")
 
@@ -687,7 +688,7 @@ _put("stream_timeline", f"""SELECT {BUCKET} AS time, source_tool, count(*) AS co
     WHERE {BUCKET} + INTERVAL 5 MINUTE <= {_closed('activity')} GROUP BY 1, 2""")
 _put("stream_running_baselines", f"""
     SELECT w.ip, w.window_start, CAST(count(*) AS INT) AS samples,
-        {", ".join(f"round(list_reduce(list(p.{n} ORDER BY p.window_start), lambda e, x: 0.3::DOUBLE * x + 0.7::DOUBLE * e), 6) AS {a}"
+        {", ".join(f"round(list_reduce(list(p.{n} ORDER BY p.window_start), lambda e, x: 0.3::DOUBLE * x + 0.7::DOUBLE * e) + {NUDGE}, 6) AS {a}"
                    for n, a in (("bytes_5min", "avg_bytes_5min"), ("conns_5min", "avg_conns_5min"), ("dest_ips", "avg_dest_ips")))}
     FROM windows w JOIN windows p ON p.ip = w.ip AND p.window_start <= w.window_start
     WHERE w.window_start + INTERVAL 6 HOUR <= {_closed('conn')} GROUP BY 1, 2""")
