@@ -13,27 +13,23 @@ from pyspark.sql import functions as F
 
 # One pattern per test keeps the address a single reference, however the column is computed.
 _PRIVATE = r"192\.168\.|10\.|172\.(1[6-9]|2.|3[01])\."
-_QUAD = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
+_OCTET = "(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+_QUAD = rf"^({_OCTET}\.){{3}}{_OCTET}$"
 _CIDR = r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}(/[0-9]{1,2})?$"
 
 
 def ip_to_long(ip: Column) -> Column:
     """Dotted quad to its 32-bit value as BIGINT; NULL unless it is exactly four octets of 0-255."""
     octets = [F.split_part(ip, F.lit("."), F.lit(i)).try_cast("bigint") for i in range(1, 5)]
-    in_range = reduce(lambda a, b: a & b, [o <= 255 for o in octets])
-    value = reduce(lambda acc, o: acc * 256 + o, octets)
-    return F.when(ip.rlike(_QUAD) & in_range, value)
+    return F.when(ip.rlike(_QUAD), reduce(lambda acc, o: acc * 256 + o, octets))
 
 
 def register_ip_to_long(spark) -> None:
     """The same conversion for SQL text, as a temporary SQL function (no Python at run time)."""
-    octet = "try_cast(split_part(ip, '.', {}) AS BIGINT)"
-    o = [octet.format(i) for i in range(1, 5)]
+    a, b, c, d = (f"try_cast(split_part(ip, '.', {i}) AS BIGINT)" for i in range(1, 5))
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION ip_to_long(ip STRING) RETURNS BIGINT
-        RETURN CASE WHEN ip RLIKE '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$'
-                     AND greatest({', '.join(o)}) <= 255
-                    THEN (({o[0]} * 256 + {o[1]}) * 256 + {o[2]}) * 256 + {o[3]} END
+        RETURN CASE WHEN ip RLIKE r'{_QUAD}' THEN (({a} * 256 + {b}) * 256 + {c}) * 256 + {d} END
     """)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .enrich import spread_nulls
@@ -28,24 +29,35 @@ def _flow_side(conn: DataFrame) -> DataFrame:
 def alerts_with_flows(alerts: DataFrame, conn: DataFrame) -> DataFrame:
     """Every alert with each of its flows; alerts without one stay, with empty flow columns.
 
-    Alerts without an id match nothing; they are scattered over the join's partitions.
+    Written as an inner join plus the alerts left over. Unlike an outer join, the inner one lets Spark ship
+    the alerts (the smaller side by far) to the connections, or split a hot flow id on either side. The second
+    read of the connections only keeps distinct ids.
     """
-    rows = _alert_side(alerts).withColumn("_spread", spread_nulls("community_id", "alert_time", "src_ip", "dest_ip"))
-    flows = _flow_side(conn).withColumn("_spread", F.lit(0))
-    return rows.join(flows, ["community_id", "_spread"], "left").select(*ALERT_SIDE, *FLOW_SIDE)
+    rows = _alert_side(alerts)
+    flows = _flow_side(conn)
+    matched = rows.join(flows, "community_id").select(*ALERT_SIDE, *FLOW_SIDE)
+    ids = rows.select("community_id").filter("community_id IS NOT NULL").distinct()
+    met = flows.select("community_id").join(ids, "community_id", "left_semi").distinct()
+    # NULL ids match nothing; the second key scatters them
+    loose = rows.withColumn("_spread", spread_nulls(F.col("community_id").isNull(), "alert_time", "src_ip", "dest_ip"))
+    alone = loose.join(met.withColumn("_spread", F.lit(0)), ["community_id", "_spread"], "left_anti")
+    return matched.unionByName(alone.select(*ALERT_SIDE), allowMissingColumns=True)
 
 
 def newest_alerts_with_flows(alerts: DataFrame, conn: DataFrame, n: int) -> DataFrame:
     """The first n rows of `alerts_with_flows`, newest alert first.
 
-    Each alert yields at least one row, so the n newest alerts suffice: the connections are reduced to those
-    alerts' flow ids before anything is shuffled.
+    Each alert yields at least one row, so the n newest alerts suffice, and of a flow id's connections only
+    the first n can be shown. Both cuts are exact, and the second happens before the shuffle, so a hot flow id
+    costs no more than any other.
     """
     alert_order = [F.desc("alert_time"), *ALERT_SIDE[1:]]
     recent = _alert_side(alerts).orderBy(*alert_order).limit(n)
     wanted = recent.select("community_id").filter("community_id IS NOT NULL").distinct()  # at most n rows
     flows = _flow_side(conn).join(F.broadcast(wanted), "community_id", "left_semi")
+    place = F.row_number().over(W.partitionBy("community_id").orderBy(*FLOW_SIDE))
+    first = flows.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
     return (
-        recent.join(flows, "community_id", "left").select(*ALERT_SIDE, *FLOW_SIDE)
+        recent.join(first, "community_id", "left").select(*ALERT_SIDE, *FLOW_SIDE)
         .orderBy(*alert_order, *FLOW_SIDE).limit(n)
     )

@@ -17,12 +17,12 @@ _SLASH_16 = 65536
 _SPREAD = 1024
 
 
-def spread_nulls(key: str, *by: str) -> Column:
-    """Second equality key for an outer join whose `key` is often NULL; the other side holds 0 throughout.
+def spread_nulls(missing: Column, *by: str) -> Column:
+    """Second equality key for an outer join whose first key is often missing; the other side holds 0 throughout.
 
     Rows without a key match nothing, but would all be shuffled to one partition; this scatters them.
     """
-    return F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*by), F.lit(_SPREAD)).cast("int") + 1).otherwise(0)
+    return F.when(missing, F.pmod(F.xxhash64(*by), F.lit(_SPREAD)).cast("int") + 1).otherwise(0)
 
 
 def with_vendor(df: DataFrame, vendors: DataFrame, mac: str = "mac") -> DataFrame:
@@ -49,9 +49,12 @@ def with_country(df: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
     `df` should hold each address once (as the inventories do): a block then has at most 65,536 rows on
     the left whatever the traffic looks like.
     """
-    number = ip_to_long(F.col(ip))
-    located = df.withColumn("_ip", number).withColumn("_block", F.floor(F.col("_ip") / _SLASH_16)).withColumn(
-        "_spread", spread_nulls("_block", ip))
+    # -1 lies in no range; a key that is never NULL also keeps NULL tests out of the plan below
+    located = (
+        df.withColumn("_ip", F.coalesce(ip_to_long(F.col(ip)), F.lit(-1).cast("bigint")))
+        .withColumn("_block", F.floor(F.col("_ip") / _SLASH_16))
+        .withColumn("_spread", spread_nulls(F.col("_ip") < 0, ip))
+    )
     lookup = range_buckets(ranges).withColumn("_range_spread", F.lit(0)).withColumnRenamed("_block", "_range_block")
     hit = (
         (F.col("_block") == F.col("_range_block"))

@@ -37,8 +37,8 @@ CLASS_DESCRIPTIONS = {
 # fixed values: where each option sits in a rule line
 SID = r"\bsid:\s*(\d+)\s*;"
 MSG = r'\bmsg:\s*"([^"]+)"\s*;'
-CLASSTYPE = r"\bclasstype:\s*([^;]+?)\s*;"
-METADATA = r"\bmetadata:\s*([^;]+?)\s*;"
+CLASSTYPE = r"\bclasstype:([^;]+);"
+METADATA = r"\bmetadata:([^;]+);"
 METADATA_LENGTH = 200
 
 
@@ -52,6 +52,10 @@ def _option(pattern: str) -> Column:
     return F.nullif(F.regexp_extract("value", pattern, 1), F.lit(""))
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def parsed_rules(lines: DataFrame) -> DataFrame:
     """Rule lines (`value`, plus any ordering columns) to sid, msg, classtype and search text.
 
@@ -64,7 +68,7 @@ def parsed_rules(lines: DataFrame) -> DataFrame:
             *kept,
             _option(SID).try_cast("bigint").alias("sid"),
             _option(MSG).alias("msg"),
-            F.coalesce(_option(CLASSTYPE), F.lit("")).alias("classtype"),
+            F.coalesce(_stripped(_option(CLASSTYPE)), F.lit("")).alias("classtype"),
             _option(METADATA).alias("metadata"),
         )
         .filter("sid IS NOT NULL AND msg IS NOT NULL")
@@ -74,9 +78,10 @@ def parsed_rules(lines: DataFrame) -> DataFrame:
 
 
 def search_text(msg: Column, classtype: Column, metadata: Column) -> Column:
+    """Sentence a rule is searched by; the category and metadata parts are left out when empty."""
     category = F.when(classtype != "", F.concat(F.lit("Category: "), class_description(classtype)))
-    tidy = F.substring(F.trim(F.regexp_replace(metadata, r"(?U)\s+", " ")), 1, METADATA_LENGTH)
-    details = F.when(metadata != "", F.concat(F.lit("Metadata: "), tidy))
+    tidy = F.nullif(F.trim(F.regexp_replace(metadata, r"(?U)\s+", " ")), F.lit(""))
+    details = F.concat(F.lit("Metadata: "), F.substring(tidy, 1, METADATA_LENGTH))
     parts = F.concat_ws(". ", F.concat(F.lit("Suricata rule: "), msg), category, details)
     return F.concat(parts, F.lit("."))
 

@@ -190,7 +190,7 @@ def _rule_lines(spark, sf_dir) -> DataFrame:
     """One rule line per document; the document text is the rule's metadata."""
     classes = F.array(*[F.lit(c) for c in ("trojan-activity", "misc-attack", "policy-violation", "home-made")])
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    line = F.regexp_replace(F.col("text"), r"[;\r\n]", " ")
+    line = F.regexp_replace("text", r"[;\r\n]", " ")
     classtype = F.get(classes, (F.col("doc_id") % 5).cast("int"))
     return docs.select(
         F.concat(
