@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.payload import to_double, to_int, to_long
-from ..sources.tables import import_table, write_by_day
+from ..sources.tables import write_by_day
 
 
 def _is(tool: str, log: str | None = None) -> Column:
@@ -130,6 +130,12 @@ def activity(events: DataFrame) -> DataFrame:
 _BUILDERS = {"conn": conn, "dhcp": dhcp, "alerts": alerts, "dns": dns, "tls": tls, "activity": activity}
 
 
+def read_silver(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One stored silver table, with the schema its builder declares (so an empty table reads too)."""
+    schema = _BUILDERS[name](spark.createDataFrame([], schemas.EVENTS)).schema.add("event_date", "date")
+    return spark.read.schema(schema).parquet(f"{root}/{name}")
+
+
 class SensorTables:
     """The silver tables every later operator reads, plus the two summaries the panels join.
 
@@ -159,7 +165,7 @@ class SensorTables:
 
     @classmethod
     def from_path(cls, spark: SparkSession, root: str, **summaries) -> "SensorTables":
-        return cls(**{name: partial(import_table, spark, f"{root}/{name}") for name in _BUILDERS}, **summaries)
+        return cls(**{name: partial(read_silver, spark, root, name) for name in _BUILDERS}, **summaries)
 
 
 def write_silver(events: DataFrame, root: str, mode: str = "overwrite") -> None:

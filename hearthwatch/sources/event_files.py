@@ -108,13 +108,13 @@ def with_event_hour(events: DataFrame) -> DataFrame:
 
 
 def write_hourly(events: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """Hourly layout `<tool>/<log>/<hour>`; rows of one hour are brought together so files stay few."""
+    """Hourly layout `<tool>/<log>/<hour>`.
+
+    The rebalance hint brings an hour's rows together so files stay few, and lets adaptive execution split
+    an hour that is too big for one writer.
+    """
     keys = ("source_tool", "log_type", "event_hour")
-    (
-        with_event_hour(events)
-        .repartition(*keys, F.pmod(F.xxhash64("raw"), F.lit(16)))
-        .write.mode(mode).partitionBy(*keys).format(fmt).save(path)
-    )
+    with_event_hour(events).hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).format(fmt).save(path)
 
 
 def stream_hourly(events: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"):

@@ -18,14 +18,12 @@ def import_table(spark: SparkSession, path: str, schema: str | None = None) -> D
     return reader.parquet(path)
 
 
-def write_by_day(df: DataFrame, path: str, mode: str = "overwrite", files_per_day: int = 16) -> None:
+def write_by_day(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Date-partitioned table, sorted by time inside files so row-group statistics prune look-backs.
 
-    The day is salted over `files_per_day` writers: one busy day cannot land in a single task.
+    Days are rebalanced, not just repartitioned: adaptive execution splits a day too big for one writer.
     """
-    dated = df.withColumn("event_date", F.to_date("timestamp"))
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_day))
+    dated = df.withColumn("event_date", F.to_date("timestamp")).hint("rebalance", "event_date")
     (
-        dated.repartition("event_date", salt).sortWithinPartitions("event_date", "timestamp")
-        .write.mode(mode).partitionBy("event_date").parquet(path)
+        dated.sortWithinPartitions("event_date", "timestamp").write.mode(mode).partitionBy("event_date").parquet(path)
     )

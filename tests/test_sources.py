@@ -113,3 +113,15 @@ def test_tables_roundtrip_and_daily_layout(spark, tmp_path, now):
     assert tables.import_table(spark, str(tmp_path / "a"), "timestamp TIMESTAMP, v INT").count() == 2
     tables.write_by_day(df, str(tmp_path / "d"))
     assert [p.name for p in (tmp_path / "d").iterdir() if p.is_dir()] == ["event_date=2024-01-31"]
+
+
+def test_silver_tables_round_trip(spark, tmp_path, now):
+    import records
+
+    from hearthwatch.operators.silver import SensorTables, write_silver
+
+    events = records.events_frame(spark, zeek=records.new_device(), eve=records.malware())
+    write_silver(events, str(tmp_path / "silver"))
+    stored, direct = SensorTables.from_path(spark, str(tmp_path / "silver")), SensorTables.from_events(events)
+    assert stored.conn.count() == 8 and stored.alerts.count() == 6 and stored.dns.count() == 0
+    assert sorted(map(str, stored.conn.drop("event_date").collect())) == sorted(map(str, direct.conn.collect()))
