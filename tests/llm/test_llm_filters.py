@@ -1,0 +1,159 @@
+"""Quality rules, secret scans and language ID."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+from llm_cases import SCHEMA, frame, rows, split
+from pyspark.sql import functions as F
+
+from hearthwatch.llm import language, quality, secrets
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain_statistics(text):
+    text = text or ""
+    w = split(text)
+    lines = [x for x in text.split("\n") if split(x)]
+    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    inside = {i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(3)}
+    return [len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in text), dup, len(inside)]
+
+
+def test_statistics():
+    texts = ["", " \n", "a b c a b c\nx\n\nx\n \nX #$ é日", "a a a a", "a\nb\na\nb", "one two", "  x y \x85"]
+    texts += [t for _, t, *_ in rows() if t and len(t) < 4000]
+    for t in texts:
+        assert quality.statistics(t)[0] == plain_statistics(t), t[:40]
+
+
+def test_trees_are_monotonic_and_equal_a_plain_walk():
+    rnd = np.random.default_rng(1)
+    x = rnd.random((500, 3))
+    y = ((x[:, 0] > 0.5) ^ (rnd.random(500) < 0.2)).astype(float)
+    trees = quality.fit_trees(x, y, np.array([-1, 1, 0]), trees=25)
+    assert (trees.left >= np.arange(len(trees.left))).all()
+    for f, sign in ((0, -1), (1, 1)):
+        grid = np.repeat(rnd.random((50, 3)), 40, axis=0)
+        grid[:, f] = np.tile(np.linspace(-0.1, 1.1, 40), 50)
+        steps = np.diff(trees.scores(grid).reshape(50, 40), axis=1) * sign
+        assert (steps >= -1e-12).all()
+
+    def walk(row):
+        total = trees.start
+        for at in trees.roots:
+            while trees.left[at] != at:
+                at = trees.left[at] if row[trees.feature[at]] <= trees.threshold[at] else trees.right[at]
+            total += trees.value[at]
+        return total
+
+    assert np.allclose(trees.scores(x[:40]), [walk(r) for r in x[:40]])
+    free = quality.fit_trees(x, y, np.array([0, 0, 0]), trees=25)
+    assert ((free.scores(x) > 0) == (y > 0.5)).mean() > 0.78
+
+
+def test_quality_on_labelled_documents(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where("pmod(doc_id, 2) = 1")
+    got = {r.doc_id: r for r in quality.quality_verdicts(docs, labels.where("pmod(doc_id, 2) = 0")).collect()}
+    assert len(got) == docs.count()
+    rest = [(got[r.doc_id], r.quality) for r in held.collect() if not got[r.doc_id].base_failed]
+    assert sum(g.kept == (q == 1) for g, q in rest) / len(rest) > 0.95
+    texts = {r.doc_id: r.text for r in docs.limit(40).collect()}
+    for i, t in texts.items():
+        g = got[i]
+        n = plain_statistics(t)
+        assert [g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words] == n
+        assert g.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and not (g.base_failed and g.kept)
+
+
+def test_quality_of_awkward_rows(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (99, None, 0), (12345, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.quality_verdicts(frame(spark), labels).collect()  # one class only: no trees
+    assert len(got) == len(rows()) and all(r.score is None and r.kept == (not r.base_failed) for r in got)
+    assert quality.quality_verdicts(frame(spark, []), labels).count() == 0
+
+
+def base_only(text):
+    found = [(m.start(), m.end(), 0) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+    found += [(m.start(), m.end(), 1) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), m.end(), 2) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found, key=lambda s: (s[0], s[2]))
+
+
+def test_secret_base_patterns(spark):
+    rnd = random.Random(3)
+    atoms = ["token", "PassWord", "secret", "api_key", "apikey", "=", " : ", '"', "'", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef" * 2, "deadbeef", "é", " ", "x.y=z", "\n", "ſecret", "AKIAAKIA"]
+    data = [(i, "".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 25))), "", "", 1) for i in range(400)]
+    data += [(1000, "token: token= abcdefghij", "", "", 1), (1001, 'api_key="' + "q" * 9 + '"', "", "", 1)]
+    for r in secrets.secret_spans(spark.createDataFrame(data, SCHEMA)).collect():
+        text = next(t for i, t, *_ in data if i == r.doc_id)
+        base = base_only(text)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for *_, k in base) for i in range(3)]
+        assert r.base_sha256 == hashlib.sha256(secrets.joined(base).encode()).hexdigest()
+        spans = [s for s in r.spans.split(",") if s]
+        assert [s for s in spans if not s.startswith("novel")] == [s for s in secrets.joined(base).split(",") if s]
+
+
+def test_novel_strings(spark):
+    fresh = "Zk3vQ9mT1xLw8RbY5nHc2Gd7"
+    data = [
+        (1, f"authorization header is Bearer {fresh} for now", "", "", 1),
+        (2, f"the value {fresh} stands far from any such word", "", "", 1),
+        (3, f"{fresh} was made public; the credential {fresh} is no longer in use", "", "", 1),
+        (4, "the credential file is configuration-settings-2024-example", "", "", 1),
+        (5, "private_key_path xxxxxxxxxxxxxxxxxxxxxxxx00000000", "", "", 1),
+        (6, None, "", "", 1), (None, "", "", "", 1),
+    ]
+    got = {r.doc_id: r for r in secrets.secret_spans(spark.createDataFrame(data, SCHEMA)).collect()}
+    at = data[0][1].index(fresh)
+    assert got[1].spans == f"novel:{at}:{at + len(fresh)}"
+    assert all(got[i].spans == "" for i in (2, 3, 4, 5, 6, None))
+    assert secrets.secret_spans(frame(spark, [])).count() == 0 and secrets.secret_spans(frame(spark)).count() == len(rows())
+
+
+def test_language_on_held_out_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = language.identified(language.documents_evidence(docs), "doc_id").collect()
+    assert len(got) == docs.count()
+    assert sum(r.language == r.declared for r in got) > 0.99 * len(got) and all(r.accepted for r in got)
+    # half of the labels, and text alone on the other half
+    half = docs.selectExpr("doc_id", "text", "CASE WHEN pmod(doc_id, 2) = 0 THEN lang END AS lang", "source")
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    rest = [r for r in language.identified(language.documents_evidence(half), "doc_id").collect() if r.doc_id % 2]
+    assert sum(r.text_language == truth[r.doc_id] for r in rest) / len(rest) > 0.97
+
+
+def test_evidence_is_fused(spark):
+    """Where the text says little, what the host's other pages are in, its suffix and the markup decide."""
+    full = {"en": "the water and the stone of the morning light ", "de": "das wasser und der stein am morgen im licht "}
+    data = [(i, full[l] * 3, l, f"www.{l}{i % 3}.{ 'uk' if l == 'en' else 'at'}", "uk" if l == "en" else "at") for i, l in enumerate(["en", "de"] * 40)]
+    data += [(1000, "xqx", None, "www.de1.at", "at"), (1001, "xqx", None, "www.en0.uk", "uk"), (1002, "xqx", None, "new.at", "at"), (1003, "xqx", "de", None, None), (1004, "xqx", "en", None, None), (1005, "...", "en", "www.en0.uk", "uk"), (1006, None, "en", None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, declared string, host string, suffix string")
+    got = {r.doc_id: r for r in language.identified(df, "doc_id").collect()}
+    assert [got[i].language for i in (1000, 1001, 1002, 1003, 1004)] == ["de", "en", "de", "de", "en"]
+    assert got[1005].language is None and not got[1005].accepted and not got[1006].accepted
+
+
+def test_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = language.identified(language.pages_evidence(pages), "page_id").collect()
+    assert len(got) == pages.count() and sum(r.language == r.declared for r in got) > 0.98 * sum(r.declared is not None for r in got)
+    odd = spark.createDataFrame([(1, None, None), (2, "nonsense", "<p>"), (3, "https://u@Host.Example:80/x", "<HTML LANG=pt-BR>")], "page_id long, url string, html string")
+    r = {x.page_id: x for x in language.pages_evidence(odd).collect()}
+    assert (r[3].declared, r[3].host, r[3].suffix) == ("pt", "host.example", "example") and r[1].host is None and r[2].host is None
+
+
+def test_accepted_documents(spark):
+    df = frame(spark)
+    out = language.accepted(df, F.col("lang"), F.col("source"))
+    assert out.columns == df.columns and out.schema == df.schema
+    ids = [r.doc_id for r in out.select("doc_id").collect()]
+    assert not {8, 9, 10, 20} & set(ids) and {1, 4, 5, 7, 19, 100} <= set(ids)
+    assert language.accepted(frame(spark, []), F.col("lang"), F.col("source")).count() == 0
+    nothing = df.withColumn("lang", F.lit(None).cast("string"))
+    assert language.accepted(nothing, F.col("lang"), F.col("source")).count() == len(rows())
+    assert language.identified(language.documents_evidence(nothing), "doc_id").where("accepted OR language IS NOT NULL").count() == 0
