@@ -120,8 +120,8 @@ def test_silver_tables_round_trip(spark, tmp_path, now):
 
     from hearthwatch.operators.silver import SensorTables, write_silver
 
-    events = records.events_frame(spark, zeek=records.new_device(), eve=records.malware())
+    events = records.events_frame(spark, zeek=records.printer_joins(), eve=records.dropper_alerts())
     write_silver(events, str(tmp_path / "silver"))
     stored, direct = SensorTables.from_path(spark, str(tmp_path / "silver")), SensorTables.from_events(events)
-    assert stored.conn.count() == 8 and stored.alerts.count() == 6 and stored.dns.count() == 0
+    assert stored.conn.count() == 5 and stored.alerts.count() == 4 and stored.dns.count() == 0
     assert sorted(map(str, stored.conn.drop("event_date").collect())) == sorted(map(str, direct.conn.collect()))
