@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.payload import to_double, to_int, to_long
-from ..sources.tables import write_by_day
+from ..sources.tables import days_between, write_by_day
 
 
 def _is(tool: str, log: str | None = None) -> Column:
@@ -130,10 +130,14 @@ def activity(events: DataFrame) -> DataFrame:
 _BUILDERS = {"conn": conn, "dhcp": dhcp, "alerts": alerts, "dns": dns, "tls": tls, "activity": activity}
 
 
-def read_silver(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One stored silver table, with the schema its builder declares (so an empty table reads too)."""
+def read_silver(spark: SparkSession, root: str, name: str, days: tuple | None = None) -> DataFrame:
+    """One stored silver table, with the schema its builder declares (so an empty table reads too).
+
+    `days` is the time range (start, end) that will be asked for: other days are not listed or opened.
+    """
     schema = _BUILDERS[name](spark.createDataFrame([], schemas.EVENTS)).schema.add("event_date", "date")
-    return spark.read.schema(schema).parquet(f"{root}/{name}")
+    table = spark.read.schema(schema).parquet(f"{root}/{name}")
+    return table if days is None else table.filter(days_between(*days))
 
 
 class SensorTables:
@@ -164,8 +168,8 @@ class SensorTables:
         return cls(**{name: partial(build, events) for name, build in _BUILDERS.items()}, **summaries)
 
     @classmethod
-    def from_path(cls, spark: SparkSession, root: str, **summaries) -> "SensorTables":
-        return cls(**{name: partial(read_silver, spark, root, name) for name in _BUILDERS}, **summaries)
+    def from_path(cls, spark: SparkSession, root: str, days: tuple | None = None, **summaries) -> "SensorTables":
+        return cls(**{name: partial(read_silver, spark, root, name, days) for name in _BUILDERS}, **summaries)
 
 
 def write_silver(events: DataFrame, root: str, mode: str = "overwrite") -> None:
