@@ -19,10 +19,10 @@ class Settings:
     alert_cooldown_min: int = 30
     volume_threshold_mb: int = 500
     volume_cooldown_min: int = 60
-    volume_top: int = 5
+    volume_top: int | None = None  # report only so many, busiest first
     watch_countries: tuple[str, ...] = ("CN", "RU", "KP", "IR", "BY")
     country_cooldown_min: int = 60
-    country_top: int = 10
+    country_top: int | None = None
     behavior_ratio: float = 10.0
     behavior_cooldown_min: int = 60
     min_samples: int = 3

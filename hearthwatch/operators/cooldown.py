@@ -27,10 +27,8 @@ def throttled_by_key(candidates: DataFrame, anomalies: DataFrame, anomaly_type:
 def throttled_by_type(candidates: DataFrame, anomalies: DataFrame, anomaly_type: str, minutes: int,
                       as_of) -> DataFrame:
     """Drop all candidates when any anomaly of the type fired within the cooldown."""
-    fired = cooling(anomalies, anomaly_type, minutes, as_of).limit(1).select(F.lit(anomaly_type).alias("_fired"))
-    return (
-        candidates.withColumn("_fired", F.lit(anomaly_type)).join(fired, "_fired", "left_anti").drop("_fired")
-    )
+    fired = cooling(anomalies, anomaly_type, minutes, as_of).agg(F.count("*").alias("n"))
+    return candidates.filter(fired.scalar() == 0)
 
 
 def replayed_cooldown(candidates: DataFrame, minutes: int, tick: str,

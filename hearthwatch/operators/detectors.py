@@ -50,7 +50,7 @@ def new_devices(devices: DataFrame, known: DataFrame, as_of) -> DataFrame:
 def traffic_spike(conn: DataFrame, anomalies: DataFrame, as_of, settings: Settings = Settings()) -> DataFrame:
     """Connections of the last window against the average window of the trend period.
 
-    One pass counts both periods per source; the network totals and the top talkers come from those counts.
+    Both periods are counted per source; the network totals and the top talkers come from those counts.
     """
     recent = within(F.col("timestamp"), as_of, settings.recent)
     per_source = (
@@ -114,7 +114,7 @@ def severe_alerts(alerts: DataFrame, anomalies: DataFrame, as_of, settings: Sett
     """
     groups = alert_groups(alerts, as_of, settings).withColumn("dedup_key", F.col("signature"))
     groups = throttled_by_key(groups, anomalies, "suricata_alert", settings.alert_cooldown_min, as_of)
-    unkeyed = F.when(F.col("signature").isNull(), F.xxhash64("category", "src_ip", "dest_ip"))
+    unkeyed = F.when(F.col("signature").isNull(), F.struct("category", "src_ip", "dest_ip"))
     order = F.struct(
         (-F.col("count")).alias("rank"), "src_ip", "dest_ip", "category", "severity", "count", "first_seen",
         "last_seen",
@@ -136,12 +136,12 @@ def watched_countries(external_ips: DataFrame, anomalies: DataFrame, as_of,
                       settings: Settings = Settings()) -> DataFrame:
     """Busiest external hosts in watch-list countries; an empty list switches the detector off."""
     countries = [c for c in settings.watch_countries if c]
-    top = (
-        external_ips.filter(F.col("country").isin(countries) & (F.col("total_conns") > 0))
-        .orderBy(F.desc("total_conns"), "ip").limit(settings.country_top)
-        .withColumn("dedup_key", F.col("ip"))
-    )
-    top = throttled_by_key(top, anomalies, "suspicious_country", settings.country_cooldown_min, as_of)
+    watched = external_ips.filter(F.col("country").isin(countries) & (F.col("total_conns") > 0))
+    watched = watched.withColumn("dedup_key", F.col("ip"))
+    # a limit counts hosts that are not cooling down
+    top = throttled_by_key(watched, anomalies, "suspicious_country", settings.country_cooldown_min, as_of)
+    if settings.country_top is not None:
+        top = top.orderBy(F.desc("total_conns"), "ip").limit(settings.country_top)
     summary = F.concat(
         F.lit("Traffic to suspicious country: "), "ip", F.lit(" ("), "country", F.lit(") — "),
         F.col("total_conns").cast("string"), F.lit(" connections"),
@@ -157,8 +157,9 @@ def massive_volume(conn: DataFrame, anomalies: DataFrame, as_of, settings: Setti
         .groupBy(F.col("orig_h").alias("ip"))
         .agg(F.sum(byte_total()).alias("total_bytes"), F.count("*").alias("connections"))
         .filter(F.col("total_bytes") > settings.volume_threshold_mb * MIB)
-        .orderBy(F.desc("total_bytes"), "ip").limit(settings.volume_top)
     )
+    if settings.volume_top is not None:
+        heavy = heavy.orderBy(F.desc("total_bytes"), "ip").limit(settings.volume_top)
     heavy = throttled_by_type(heavy, anomalies, "massive_volume", settings.volume_cooldown_min, as_of)
     mb = _rounded(F.col("total_bytes") / F.lit(float(MIB)), 1)
     summary = F.concat(
@@ -260,10 +261,43 @@ def drained(queue: DataFrame, drained_ids: DataFrame, as_of) -> DataFrame:
 
 
 def stored_form(anomalies: DataFrame) -> DataFrame:
-    """Rows as the anomaly table keeps them: a deterministic id and the details as JSON."""
+    """Rows as the anomaly table keeps them: a deterministic id and the details as JSON.
+
+    The id covers the details, since anomalies without a key (alerts without a signature) share all the rest.
+    """
+    details = F.to_json("details")
     return anomalies.select(
-        F.xxhash64("anomaly_type", "dedup_key", F.col("detected_at").cast("string")).alias("id"),
-        "detected_at", "anomaly_type", "dedup_key", "severity", "summary", F.to_json("details").alias("details"),
+        F.xxhash64("anomaly_type", "dedup_key", F.col("detected_at").cast("string"), details).alias("id"),
+        "detected_at", "anomaly_type", "dedup_key", "severity", "summary", details.alias("details"),
+    )
+
+
+# Subject and body of the message for a device seen by the live path.
+FAST_SUBJECT = "[IDS FAST ALERT] New Device: {ip}"
+FAST_BODY = (
+    "New device detected on the network.\n\n"
+    "IP Address:  {ip}\n"
+    "MAC Address: {mac}\n"
+    "Detected At: {detected_at}\n\n"
+    "This is an automated fast alert.\n"
+    "A detailed LLM analysis email will follow shortly."
+)
+
+
+def _filled(template: str, **values: Column) -> Column:
+    """A text with {name} places; every value is text or NULL, which shows as `None`."""
+    text = F.lit(template)
+    for name, value in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(value, F.lit("None")))
+    return text
+
+
+def fast_alert_texts(queue: DataFrame) -> DataFrame:
+    """(id, subject, body) of live-path queue rows; sending them is not built here."""
+    mac = F.coalesce(F.nullif("mac", F.lit("")), F.lit("unknown"))
+    return queue.select(
+        "id", _filled(FAST_SUBJECT, ip=F.col("ip")).alias("subject"),
+        _filled(FAST_BODY, ip=F.col("ip"), mac=mac, detected_at=F.date_format("detected_at", "yyyy-MM-dd HH:mm:ss")).alias("body"),
     )
 
 

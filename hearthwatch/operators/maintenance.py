@@ -55,8 +55,8 @@ def delete_keys(table: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
 
 
 def unexpired(table: DataFrame, as_of, hours: int, time: str = "timestamp") -> DataFrame:
-    """Rows inside the retention period (rows without a time stay)."""
-    return table.filter(F.coalesce(F.col(time) >= back(as_of, f"{hours} hours"), F.lit(True)))
+    """Rows inside the retention period. Every stored row has a time, and the plain comparison reaches the scan."""
+    return table.filter(F.col(time) >= back(as_of, f"{hours} hours"))
 
 
 def register_devices(known: DataFrame, devices: DataFrame, as_of) -> DataFrame:
@@ -88,9 +88,14 @@ def _tagged(results: Column, source_id: Column) -> Column:
     is_object = F.try_parse_json(body).isNotNull() & body.startswith("{")
     empty = body.rlike(r"^\{\s*\}$")
     tag = F.concat(F.lit('"sqlite_id":'), source_id.cast("string"), F.lit("}"))
+    # a document that has the key already is rebuilt without it, so that the new value is the only one
+    others = F.map_filter(F.from_json(body, "map<string, variant>"), lambda k, _: k != "sqlite_id")
+    rebuilt = F.regexp_replace(F.to_json(others), r"\}\s*$", "")
+    rebuilt = F.concat(rebuilt, F.when(F.size(others) > 0, F.lit(",")).otherwise(F.lit("")), tag)
     opened = F.regexp_replace(body, r"\}\s*$", "")
     return (
-        F.when(is_object & empty, F.concat(F.lit("{"), tag))
+        F.when(is_object & body.contains('"sqlite_id"'), rebuilt)
+        .when(is_object & empty, F.concat(F.lit("{"), tag))
         .when(is_object, F.concat(opened, F.lit(","), tag))
         .otherwise(F.concat(F.regexp_replace(F.to_json(F.struct(results.alias("raw")), {"ignoreNullFields": "false"}),
                                              r"\}$", ","), tag))

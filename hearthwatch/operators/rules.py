@@ -37,9 +37,9 @@ CLASS_DESCRIPTIONS = {
 # fixed values: where each option sits in a rule line
 SID = r"\bsid:\s*(\d+)\s*;"
 MSG = r'\bmsg:\s*"([^"]+)"\s*;'
+# (the two below leave white space to the trimming further down, which gives the same values)
 CLASSTYPE = r"\bclasstype:([^;]+);"
 METADATA = r"\bmetadata:([^;]+);"
-METADATA_LENGTH = 200
 
 
 def class_description(classtype: Column) -> Column:
@@ -56,9 +56,11 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def parsed_rules(lines: DataFrame) -> DataFrame:
+def parsed_rules(lines: DataFrame, metadata_length: int | None = None) -> DataFrame:
     """Rule lines (`value`, plus any ordering columns) to sid, msg, classtype and search text.
 
+    `metadata_length` cuts the metadata part of the search text; by default all of it is kept.
+
     Blank and commented lines and lines without sid or msg are skipped.
     """
     kept = [c for c in lines.columns if c != "value"]
@@ -73,15 +75,15 @@ def parsed_rules(lines: DataFrame) -> DataFrame:
         )
         .filter("sid IS NOT NULL AND msg IS NOT NULL")
         .select(*kept, "sid", "msg", "classtype",
-                search_text(F.col("msg"), F.col("classtype"), F.col("metadata")).alias("chunk_text"))
+                search_text(F.col("msg"), F.col("classtype"), F.col("metadata"), metadata_length).alias("chunk_text"))
     )
 
 
-def search_text(msg: Column, classtype: Column, metadata: Column) -> Column:
+def search_text(msg: Column, classtype: Column, metadata: Column, metadata_length: int | None = None) -> Column:
     """Sentence a rule is searched by; the category and metadata parts are left out when empty."""
     category = F.when(classtype != "", F.concat(F.lit("Category: "), class_description(classtype)))
     tidy = F.nullif(F.trim(F.regexp_replace(metadata, r"(?U)\s+", " ")), F.lit(""))
-    details = F.concat(F.lit("Metadata: "), F.substring(tidy, 1, METADATA_LENGTH))
+    details = F.concat(F.lit("Metadata: "), tidy if metadata_length is None else F.substring(tidy, 1, metadata_length))
     parts = F.concat_ws(". ", F.concat(F.lit("Suricata rule: "), msg), category, details)
     return F.concat(parts, F.lit("."))
 

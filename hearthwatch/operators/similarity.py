@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-# Query vectors shipped to the tasks at once; a larger set is searched block by block.
+# Query vectors and corpus rows that meet in one task.
 QUERY_BLOCK = 2048
+CORPUS_PART = 1 << 15
 # Equal vectors must tie whichever batch they sit in, so scores are compared to this many decimals.
 SCORE_DIGITS = 12
 
@@ -20,25 +21,30 @@ SCORE_DIGITS = 12
 def with_embeddings(rules: DataFrame, embed: Callable[[list[str]], np.ndarray], batch: int = 50) -> DataFrame:
     """Add `embedding` from a caller-supplied function over batches of search texts.
 
-    A batch the function fails on keeps NULL vectors, which every search skips.
+    A batch the function fails on keeps NULL vectors, which every search skips; `embedding_error` says why, so that
+    those rows can be found and done again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records in batches:
             texts = records.column("chunk_text").to_pylist()
             vectors: list[list[float] | None] = []
+            errors: list[str | None] = []
             for start in range(0, len(texts), batch):
                 part = texts[start:start + batch]
                 try:
                     vectors.extend(np.asarray(embed(part), dtype=np.float32).tolist())
-                except Exception:  # the embedding service is outside our control
+                    errors.extend([None] * len(part))
+                except Exception as e:  # the embedding service is outside our control
                     vectors.extend([None] * len(part))
+                    errors.extend([f"{type(e).__name__}: {e}"] * len(part))
             yield pa.RecordBatch.from_arrays(
-                [*records.columns, pa.array(vectors, pa.list_(pa.float32()))], [*records.schema.names, "embedding"]
+                [*records.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())],
+                [*records.schema.names, "embedding", "embedding_error"]
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rules.schema.fields)
-    return rules.mapInArrow(run, f"{schema}, embedding ARRAY<FLOAT>")
+    return rules.mapInArrow(run, f"{schema}, embedding ARRAY<FLOAT>, embedding_error STRING")
 
 
 def with_term_vectors(rules: DataFrame, dims: int = 256, text: str = "chunk_text") -> DataFrame:
@@ -52,74 +58,64 @@ def with_term_vectors(rules: DataFrame, dims: int = 256, text: str = "chunk_text
     return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
 
 
-def _top_of_batches(ids: pa.Array, queries: np.ndarray, key: str, k: int):
-    lengths = np.linalg.norm(queries, axis=1)
-    usable = np.flatnonzero(lengths > 0)
-    unit = queries[usable] / lengths[usable, None]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for records in batches:
-            vectors = records.column("embedding")
-            width = queries.shape[1]
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            matrix = flat.reshape(-1, width)
-            norms = np.linalg.norm(matrix, axis=1)
-            rows = np.flatnonzero(norms > 0)
-            if not len(rows) or not len(usable):
-                continue
-            scores = np.round((matrix[rows] / norms[rows, None]) @ unit.T, SCORE_DIGITS)
-            keys = records.column(key).to_numpy(zero_copy_only=False)[rows]
-            found_q, found_r, found_s = [], [], []
-            for column, q in enumerate(usable):
-                score = scores[:, column]
-                best = np.lexsort((keys, -score))[:k]
-                found_q.append(np.full(len(best), q))
-                found_r.append(rows[best])
-                found_s.append(score[best])
-            picked = np.concatenate(found_r)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(np.concatenate(found_q))), records.column(key).take(pa.array(picked)),
-                 pa.array(np.concatenate(found_s))],
-                ["query_id", key, "score"],
-            )
+def _best_of_part(key: str, k: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k best corpus rows of one part for each query of one block: one matrix product, one selection a query."""
+
+    def unit(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        matrix = np.array(column.to_pylist(), dtype=np.float64)
+        length = np.linalg.norm(matrix, axis=1)
+        usable = np.flatnonzero(length > 0)
+        return usable, matrix[usable] / length[usable, None]
+
+    def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        if not queries.num_rows or not corpus.num_rows:
+            return schema.empty_table()
+        rows, vectors = unit(corpus.column("embedding"))
+        asked, wanted = unit(queries.column("vector"))
+        keys = corpus.column(key).to_numpy()[rows]
+        scores = np.round(vectors @ wanted.T, SCORE_DIGITS)
+        found_q, found_r, found_s = [], [], []
+        for column, q in enumerate(asked):
+            score = scores[:, column]
+            some = np.arange(len(score))
+            if len(some) > k:  # the k-th best and whatever equals it; ties go by key below
+                some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+            best = some[np.lexsort((keys[some], -score[some]))[:k]]
+            found_q.append(np.full(len(best), q))
+            found_r.append(rows[best])
+            found_s.append(score[best])
+        if not found_q:
+            return schema.empty_table()
+        return pa.Table.from_arrays(
+            [queries.column("query_id").take(pa.array(np.concatenate(found_q))), corpus.column(key).take(pa.array(np.concatenate(found_r))),
+             pa.chunked_array([pa.array(np.concatenate(found_s))])], schema=schema)
 
     return run
 
 
-def _search_block(corpus: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame | None:
-    rows = queries.collect()  # at most about QUERY_BLOCK vectors, see nearest()
-    rows = [r for r in rows if r["vector"] is not None]
-    if not rows:
-        return None
-    width = len(rows[0]["vector"])
-    matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
-    usable = corpus.filter(F.col("embedding").isNotNull() & (F.size("embedding") == width)).select(key, "embedding")
-    types = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *corpus.schema.fields]}
-    schema = f"query_id {types['query_id']}, `{key}` {types[key]}, score DOUBLE"
-    ids = pa.array([r["query_id"] for r in rows], to_arrow_type(queries.schema["query_id"].dataType))
-    return usable.mapInArrow(_top_of_batches(ids, matrix, key, k), schema)
-
-
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, key: str = "sid") -> DataFrame:
     """The k most similar corpus rows per query, exactly.
 
-    `corpus` has `key` and `embedding`, `queries` has `query_id` and `vector`. Query vectors travel to the
-    corpus in blocks of bounded size; every Arrow batch of the corpus is scored with one matrix product and
-    only its own best k per query leave the task (equal scores by smaller key). Vectors that are NULL or have no length never match.
+    `corpus` has `key` and `embedding`, `queries` has `query_id` and `vector`; only vectors of equal width are
+    compared, and vectors that are NULL or have no length never match. Queries go into blocks and the corpus into
+    parts of bounded size, each block meets each part in a task of its own, and only its best k per query leave
+    the task (equal scores by smaller key). Nothing is collected, and nothing runs before the result is asked for.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        hits = _search_block(corpus, part, key, k)
-        if hits is not None:
-            found = hits if found is None else found.union(hits)
-    if found is None:
-        id_type = queries.schema["query_id"].dataType.simpleString()
-        key_type = corpus.schema[key].dataType.simpleString()
-        return corpus.sparkSession.createDataFrame(
-            [], f"query_id {id_type}, `{key}` {key_type}, score DOUBLE, rank INT"
-        )
+    asked = queries.filter("vector IS NOT NULL").select("query_id", "vector", F.size("vector").alias("_width"))
+    stored = corpus.filter("embedding IS NOT NULL").select(key, "embedding", F.size("embedding").alias("_width"))
+
+    def pieces(rows: DataFrame, size: int) -> Column:
+        return F.greatest(F.lit(1).cast("long"), F.ceil(rows.agg(F.count("*") / size).scalar()))
+
+    blocks, parts = pieces(asked, QUERY_BLOCK), pieces(stored, CORPUS_PART)
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), blocks)).withColumn("_part", spread(parts))
+    stored = stored.withColumn("_part", F.pmod(F.xxhash64(key), parts)).withColumn("_block", spread(blocks))
+    types = {f.name: f.dataType for f in [*queries.schema.fields, *corpus.schema.fields]}
+    schema = f"query_id {types['query_id'].simpleString()}, `{key}` {types[key].simpleString()}, score DOUBLE"
+    arrow = pa.schema([("query_id", to_arrow_type(types["query_id"])), (key, to_arrow_type(types[key])), ("score", pa.float64())])
+    meet = ["_block", "_part", "_width"]
+    found = asked.groupBy(*meet).cogroup(stored.groupBy(*meet)).applyInArrow(_best_of_part(key, k, arrow), schema)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
