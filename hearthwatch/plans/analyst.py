@@ -12,7 +12,6 @@ from ..operators.maintenance import unprocessed, upsert
 from ..operators.silver import SensorTables
 from ..schemas import SCAN_RESULT
 
-MAX_ROWS = 50
 DEVICE_ORDER = {"bytes": "total_bytes", "conns": "total_conns", "last_seen": "last_seen"}
 QUERY_VIEWS = ("events", "devices", "external_ips", "oui_lookup", "geoip_lookup")
 
@@ -21,14 +20,19 @@ def _recent(df: DataFrame, as_of, hours: int) -> DataFrame:
     return df.filter(within(F.col("timestamp"), as_of, f"{int(hours)} hours"))
 
 
-def query_events(spark: SparkSession, sql: str) -> DataFrame:
-    """Run one read-only query over the temporary views and cap the answer.
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of an ordered report; all of them without a limit."""
+    return df if limit is None else df.limit(max(0, int(limit)))
+
+
+def query_events(spark: SparkSession, sql: str, limit: int | None = None) -> DataFrame:
+    """Run one read-only query over the temporary views; `limit` caps the answer.
 
     The text is placed as a derived table, so Spark's own grammar refuses anything that is not a query
     (commands, DDL, writes, several statements). Values that are not plain scalars come back as text.
     """
     text = sql.strip().rstrip(";")
-    answer = spark.sql(f"SELECT * FROM (\n{text}\n)").limit(MAX_ROWS)
+    answer = _first(spark.sql(f"SELECT * FROM (\n{text}\n)"), limit)
     plain = (T.StringType, T.NumericType, T.BooleanType, T.NullType)
     return answer.select(*[
         answer[f"`{f.name}`"] if isinstance(f.dataType, plain) else answer[f"`{f.name}`"].cast("string").alias(f.name)
@@ -36,52 +40,50 @@ def query_events(spark: SparkSession, sql: str) -> DataFrame:
     ])
 
 
-def devices_report(t: SensorTables, sort_by: str = "bytes", limit: int = MAX_ROWS) -> DataFrame:
+def devices_report(t: SensorTables, sort_by: str = "bytes", limit: int | None = None) -> DataFrame:
     order = DEVICE_ORDER.get(sort_by, "total_bytes")
-    return t.devices.orderBy(F.desc(order), "ip").limit(max(1, min(int(limit), MAX_ROWS)))
+    return _first(t.devices.orderBy(F.desc(order), "ip"), limit)
 
 
-def alerts_report(t: SensorTables, as_of, hours: int = 24) -> DataFrame:
+def alerts_report(t: SensorTables, as_of, hours: int = 24, limit: int | None = None) -> DataFrame:
     rows = _recent(t.alerts.filter("log_type = 'eve'"), as_of, hours).select(
         "timestamp", "signature", F.col("severity_text").alias("severity"), "category", "src_ip", "dest_ip",
         "src_port", "dest_port")
-    return rows.orderBy(F.desc("timestamp"), *rows.columns[1:]).limit(MAX_ROWS)
+    return _first(rows.orderBy(F.desc("timestamp"), *rows.columns[1:]), limit)
 
 
-def external_report(t: SensorTables, country: str = "") -> DataFrame:
+def external_report(t: SensorTables, country: str = "", limit: int | None = None) -> DataFrame:
     rows = t.external_ips
     if country:
         rows = rows.filter(F.col("country") == country.strip().upper()[:2])
-    return rows.orderBy(F.desc("total_conns"), "ip").limit(MAX_ROWS)
+    return _first(rows.orderBy(F.desc("total_conns"), "ip"), limit)
 
 
-def dns_report(t: SensorTables, as_of, hours: int = 24, limit: int = 10) -> DataFrame:
+def dns_report(t: SensorTables, as_of, hours: int = 24, limit: int | None = None) -> DataFrame:
     rows = _recent(t.dns.filter("source_tool = 'zeek'"), as_of, hours)
-    return (
-        rows.groupBy(F.col("query").alias("domain")).agg(F.count("*").alias("queries"))
-        .orderBy(F.desc("queries"), "domain").limit(min(int(limit), MAX_ROWS))
-    )
+    counts = rows.groupBy(F.col("query").alias("domain")).agg(F.count("*").alias("queries"))
+    return _first(counts.orderBy(F.desc("queries"), "domain"), limit)
 
 
 def protocol_report(t: SensorTables, as_of, hours: int = 24) -> DataFrame:
     return (
         _recent(t.conn, as_of, hours).groupBy(F.col("proto").alias("protocol"))
         .agg(F.count("*").alias("connections"), F.sum(byte_total()).alias("total_bytes"))
-        .orderBy(F.desc("connections"), "protocol").limit(20)
+        .orderBy(F.desc("connections"), "protocol")
     )
 
 
 def event_stats(t: SensorTables) -> DataFrame:
     return (
         t.activity.groupBy("source_tool", "log_type").agg(F.count("*").alias("count"))
-        .orderBy(F.desc("count"), "source_tool", "log_type").limit(MAX_ROWS)
+        .orderBy(F.desc("count"), "source_tool", "log_type")
     )
 
 
-def scan_history(scans: DataFrame, ip: str = "") -> DataFrame:
+def scan_history(scans: DataFrame, ip: str = "", limit: int | None = None) -> DataFrame:
     """Newest scans, optionally those whose target contains `ip`; the document is parsed where it is JSON."""
     rows = scans.filter(F.col("target").contains(ip)) if ip else scans
-    newest = rows.orderBy(F.desc("scanned_at"), F.desc("id")).limit(20)
+    newest = _first(rows.orderBy(F.desc("scanned_at"), F.desc("id")), limit)
     return newest.withColumn("document", F.from_json("results", SCAN_RESULT))
 
 

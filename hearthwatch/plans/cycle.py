@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import Settings
-from ..functions.timing import instant
+from ..functions.timing import back, instant
 from ..operators import baselines, detectors, inventory, maintenance, silver
 from ..sources.event_files import list_files, read_lines, staged_events
+from ..sources.tables import REPLACE_ALL
 
+# tables of which a cycle writes its own version; the last one stays for a cycle that is run again
+STORED = ("ledger", "changed", "fast", "known_fast", "drained", "devices", "external_ips", "found", "baselines", "known_devices", "anomalies")
 LEDGER = "source_file STRING, modified_at TIMESTAMP, batch INT"
 
 
@@ -35,27 +38,63 @@ class TableFolder:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _sub_folders(self, name: str, key: str) -> tuple[object, dict[int, object]]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = files.listStatus(at) if files.exists(at) else []
+        paths = [f.getPath() for f in found if f.getPath().getName().startswith(f"{key}=")]
+        return files, {int(p.getName().split("=")[1]): p for p in paths}
+
+    def keep_batches(self, name: str, batches: list[int]) -> None:
+        """Delete the batches of a table that are not among `batches`."""
+        files, paths = self._sub_folders(name, "batch")
+        for batch, path in paths.items():
+            if batch not in batches:
+                files.delete(path, True)
+
+    def keep_cycles(self, last: int, names: tuple[str, ...]) -> None:
+        """Delete the tables of cycles before `last`, so that the folder doesn't grow with the number of cycles."""
+        for name in names:
+            files, paths = self._sub_folders(name, "cycle")
+            for cycle, path in paths.items():
+                if cycle < last:
+                    files.delete(path, True)
+
 
 def ingest(store: TableFolder, staged: str, cycle: int, as_of, settings: Settings) -> DataFrame:
-    """Append the new and changed files and return the events in force, within retention."""
+    """Append the new and changed files and return the events in force, within retention.
+
+    Files last written before the retention period hold expired events only: they are not read, they leave the
+    ledger, and batches that no file of the ledger is in force from are deleted.
+    """
     spark = store.spark
-    ledger = store.read("ledger", cycle - 1, LEDGER)
-    changed = store.write("changed", cycle, maintenance.changed_files(list_files(spark, staged), ledger))
+    oldest_kept = F.col("modified_at") >= back(instant(as_of), f"{settings.retention_hours} hours")
+    ledger = store.read("ledger", cycle - 1, LEDGER).filter(oldest_kept)
+    listed = list_files(spark, staged).filter(oldest_kept)
+    changed = store.write("changed", cycle, maintenance.changed_files(listed, ledger))
     oldest = changed.agg(F.min("modified_at")).first()[0]  # one value
     events_path = f"{store.root}/events"
     if oldest is not None:
         lines = read_lines(spark, staged, since=oldest).join(changed.select("source_file"), "source_file", "left_semi")
         fresh = staged_events(lines, staged, instant(as_of))
-        fresh.write.mode("overwrite").partitionBy("source_tool", "log_type").parquet(f"{events_path}/batch={cycle}")
+        fresh.write.mode("overwrite").options(**REPLACE_ALL).partitionBy("source_tool", "log_type").parquet(f"{events_path}/batch={cycle}")
     ledger = store.write("ledger", cycle, maintenance.upsert(
         ledger, changed.withColumn("batch", F.lit(cycle)), "source_file"))
+    batches = [r["batch"] for r in ledger.select("batch").distinct().collect()]  # one number a cycle within retention
+    store.keep_batches("events", batches)
+    if not batches:
+        return spark.createDataFrame([], schemas.EVENTS).withColumn("batch", F.lit(cycle))
     events = spark.read.schema(f"{schemas.EVENTS}, batch INT").parquet(events_path)
     return maintenance.unexpired(maintenance.current_rows(events, ledger), as_of, settings.retention_hours)
 
 
 def run_cycle(spark: SparkSession, root: str, staged: str, cycle: int, as_of, vendors: DataFrame, ranges: DataFrame,
-              settings: Settings = Settings()) -> DataFrame:
-    """Run cycle number `cycle` (1, 2, …) and return its new anomalies."""
+              settings: Settings = Settings(), queue: DataFrame | None = None) -> DataFrame:
+    """Run cycle number `cycle` (1, 2, …) and return its new anomalies.
+
+    `queue` holds rows of the live path (id, detected_at, ip, mac): those not drained yet are reported and their
+    addresses registered, as are devices first seen in the last minutes, so that the summary does not report them again.
+    """
     store = TableFolder(spark, root)
     last = cycle - 1
     events = ingest(store, staged, cycle, as_of, settings)
@@ -65,13 +104,27 @@ def run_cycle(spark: SparkSession, root: str, staged: str, cycle: int, as_of, ve
     tables = silver.SensorTables.from_events(events, devices=devices, external_ips=external)
 
     known = store.read("known_devices", last, schemas.KNOWN_DEVICES)
+    fast = detectors.first_sight(tables.conn, known, as_of, settings)
+    taken = store.read("drained", last, "id BIGINT")
+    if queue is not None:
+        waiting = queue.join(known.select("ip"), "ip", "left_anti").dropDuplicates(["ip"])
+        fast = fast.join(waiting.select(F.col("ip").alias("dedup_key")), "dedup_key", "left_anti")
+        fast = detectors.stored_form(fast).unionByName(detectors.stored_form(detectors.drained(waiting, taken, as_of)))
+        taken = taken.unionByName(queue.select("id")).distinct()
+    else:
+        fast = detectors.stored_form(fast)
+    store.write("drained", cycle, taken)
+    fast = store.write("fast", cycle, fast)
+    known = store.write("known_fast", cycle, maintenance.register_devices(known, fast.select(F.col("dedup_key").alias("ip")), as_of))
     past = store.read("baselines", last, schemas.BASELINES)
     history = store.read("anomalies", last, schemas.ANOMALIES)
-    found = store.write("found", cycle, detectors.detect_all(tables, known, past, history, as_of, settings))
+    found = fast.unionByName(detectors.detect_all(tables, known, past, history, as_of, settings))
+    found = store.write("found", cycle, found)
 
     current = baselines.recent_stats(tables.conn, as_of, settings)
     store.write("baselines", cycle, baselines.updated_baselines(past, current, devices, as_of, settings.ema_alpha))
     store.write("known_devices", cycle, maintenance.register_devices(known, devices, as_of))
     kept = maintenance.unexpired(history, as_of, settings.retention_hours, "detected_at")
     store.write("anomalies", cycle, kept.unionByName(found))
+    store.keep_cycles(last, STORED)
     return found

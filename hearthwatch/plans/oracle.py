@@ -81,7 +81,8 @@ CTES = {
     "known": "SELECT ip, first_seen AS first_detected FROM devices WHERE first_seen < TIMESTAMP '2024-01-15 00:00:00'",
     "history": """SELECT CAST(src_port AS BIGINT) AS id, timestamp AS detected_at,
         CASE category WHEN 'Category 0' THEN 'suricata_alert' WHEN 'Category 1' THEN 'suspicious_country'
-            WHEN 'Category 2' THEN 'device_behavior' ELSE 'dest_fanout' END AS anomaly_type,
+            WHEN 'Category 2' THEN 'device_behavior' WHEN 'Category 3' THEN 'traffic_spike' WHEN 'Category 4' THEN 'massive_volume'
+            WHEN 'Category 5' THEN 'new_device' ELSE 'dest_fanout' END AS anomaly_type,
         CASE category WHEN 'Category 0' THEN signature WHEN 'Category 1' THEN dest_ip ELSE src_ip END AS dedup_key,
         'high' AS severity, 'Alert ' || signature AS summary, signature FROM alerts WHERE severity = 1""",
     "cooling": f"""SELECT DISTINCT anomaly_type, dedup_key FROM history
@@ -122,7 +123,7 @@ CTES = {
           || CASE classtype {" ".join(f"WHEN '{c}' THEN '. Category: {CLASS_DESCRIPTIONS[c]}'" for c in ("trojan-activity", "misc-attack", "policy-violation"))}
              WHEN 'home-made' THEN '. Category: home-made' ELSE '' END
           || CASE WHEN trim(regexp_replace(meta, '\\s+', ' ', 'g')) = '' THEN ''
-             ELSE '. Metadata: ' || substr(trim(regexp_replace(meta, '\\s+', ' ', 'g')), 1, 200) END || '.' AS chunk_text
+             ELSE '. Metadata: ' || trim(regexp_replace(meta, '\\s+', ' ', 'g')) END || '.' AS chunk_text
         FROM rule_docs""",
     "corpus": """SELECT vec_id AS sid, 'Rule ' || vec_id AS msg,
         CASE WHEN label % 3 = 0 THEN 'unknown' ELSE 'class-' || label END AS classtype,
@@ -192,7 +193,7 @@ def _mask(c: str) -> str:
 # --- panels: overview and alerts
 _put("panel_overview_total_events",
      f"SELECT count(*) AS value FROM activity WHERE timestamp > {T} - INTERVAL 24 HOUR AND timestamp <= {T}")
-for _n in ("panel_overview_alerts", "panel_alerts_total"):
+for _n in ("panel_overview_alerts", "panel_alerts_total", "panel_alerts_total_stored"):
     _count(_n, "alerts")
 _count("panel_overview_unique_sources", "activity", what="DISTINCT src_ip")
 _count("panel_overview_unique_destinations", "activity", what="DISTINCT dest_ip")
@@ -387,7 +388,13 @@ _put("source_sensor_logs", f"""
     WHERE {A.IS_EVE} OR event_id % 7 NOT IN (0, 1)""")
 _HOURS = "SELECT source_tool, log_type, strftime(timestamp, '%Y-%m-%d-%H') AS event_hour, count(*) AS rows FROM activity"
 _put("source_hourly_layout", f"{_HOURS} GROUP BY 1, 2, 3")
-_put("sink_hourly_roundtrip", f"{_HOURS} WHERE log_type = 'eve' GROUP BY 1, 2, 3")
+_put("sink_hourly_roundtrip", f"{_HOURS} GROUP BY 1, 2, 3")
+_put("sink_partitioned_rewrite", "SELECT proto, count(*) AS rows, CAST(sum(orig_bytes) AS BIGINT) AS bytes FROM conn WHERE proto <> 'udp' GROUP BY 1")
+_put("anomaly_texts", """SELECT CAST(src_port AS BIGINT) AS id, '[IDS FAST ALERT] New Device: ' || src_ip AS subject,
+    'New device detected on the network.' || chr(10) || chr(10) || 'IP Address:  ' || src_ip || chr(10) || 'MAC Address: '
+      || CASE WHEN src_port % 3 = 0 THEN dest_ip ELSE 'unknown' END || chr(10) || 'Detected At: ' || strftime(timestamp, '%Y-%m-%d %H:%M:%S')
+      || chr(10) || chr(10) || 'This is an automated fast alert.' || chr(10) || 'A detailed LLM analysis email will follow shortly.' AS body
+    FROM alerts WHERE severity = 1""")
 _put("sink_parquet_roundtrip", "SELECT * FROM devices")
 _put("source_vendor_table", """
     SELECT oui_prefix, least(manufacturer, 'Reseller of ' || manufacturer) AS manufacturer FROM vendors""")
@@ -507,14 +514,14 @@ _PARTS["detect_watched_countries"] = (f"""SELECT 'suspicious_country' AS anomaly
     'Traffic to suspicious country: ' || ip || ' (' || country || ') — ' || total_conns || ' connections' AS summary,
     {T} AS detected_at""", f"""ip AS d_ip, country AS d_country, total_conns AS d_total_conns, total_bytes AS d_total_bytes,
     contacted_by AS d_contacted_by, top_service AS d_top_service FROM (SELECT * FROM external_ips
-        WHERE country IN ('CN', 'RU', 'KP', 'IR', 'BY') ORDER BY total_conns DESC, ip LIMIT 10) x
+        WHERE country IN ('CN', 'RU', 'KP', 'IR', 'BY')) x
     WHERE {_cool('suspicious_country', 'x.ip')}""")
 _PARTS["detect_massive_volume"] = (f"""SELECT 'massive_volume' AS anomaly_type, ip AS dedup_key, 'high' AS severity,
     'Massive data transfer: ' || coalesce(ip, 'None') || ' moved ' || printf('%.1f', round_even(total_bytes / 1048576.0::DOUBLE, 1))
       || ' MB in 5 minutes (' || connections || ' connections)' AS summary, {T} AS detected_at""",
     f"""ip AS d_ip, total_bytes AS d_total_bytes, round_even(total_bytes / 1048576.0::DOUBLE, 1) AS d_total_mb,
     connections AS d_connections FROM (SELECT orig_h AS ip, {SUM_BYTES} AS total_bytes, count(*) AS connections
-        FROM conn WHERE {RECENT} GROUP BY 1 HAVING sum({BYTES}) > 0 ORDER BY total_bytes DESC, ip LIMIT 5)
+        FROM conn WHERE {RECENT} GROUP BY 1 HAVING sum({BYTES}) > 0)
     WHERE {_none_of('massive_volume')}""")
 
 
@@ -557,6 +564,13 @@ def _all_detectors(parts: dict[str, tuple[str, str]]) -> str:
     return " UNION ALL ".join(f"SELECT {names} FROM ({head}, {rest})" for head, rest in parts.values())
 
 
+for _n, _order in (("detect_watched_countries", "d_total_conns DESC, d_ip LIMIT 10"), ("detect_massive_volume", "d_total_bytes DESC, d_ip LIMIT 5")):
+    _put(f"{_n}_top", f"SELECT * FROM ({', '.join(_PARTS[_n])}) ORDER BY {_order}")
+# severe alerts of severity 2 keep their signature; the others are one row for each category, source and destination
+_put("anomalies_null_signature", f"""WITH severe AS (SELECT CASE WHEN severity > 1 THEN signature END AS signature, category, src_ip, dest_ip
+        FROM alerts WHERE severity <= 2 AND {RECENT}),
+    found AS (SELECT DISTINCT signature, CASE WHEN signature IS NULL THEN category || '|' || coalesce(src_ip, '') || '|' || coalesce(dest_ip, '') END AS g FROM severe)
+    SELECT count(*) - 1 AS "left", count(*) - 1 AS ids FROM found""")
 _put("detect_all", _all_detectors(_PARTS))
 _put("detect_all_updated_baseline", _all_detectors({
     **_PARTS, "detect_device_behavior": _behavior("ema_next"), "detect_destination_fanout": _fanout("ema_next")}))
@@ -590,27 +604,26 @@ _put("cooldown_anti_join", f"""
             AND detected_at > {T} - INTERVAL 12 HOUR AND detected_at <= {T}) GROUP BY 1""")
 
 # --- analyst queries
-_put("report_devices_by_bytes", "SELECT * FROM devices ORDER BY total_bytes DESC, ip LIMIT 50")
+_put("report_devices_by_bytes", "SELECT * FROM devices")
 _put("report_devices_by_last_seen", "SELECT * FROM devices ORDER BY last_seen DESC, ip LIMIT 20")
-_top("report_alerts", f"timestamp, signature, severity_text AS severity, category, src_ip, dest_ip, src_port, dest_port "
-     f"FROM alerts WHERE timestamp > {T} - INTERVAL 24 HOUR AND timestamp <= {T}",
-     "timestamp", "signature, severity, category, src_ip, dest_ip, src_port, dest_port", 50)
-_put("report_external", "SELECT * FROM external_ips ORDER BY total_conns DESC, ip LIMIT 50")
-_put("report_external_one_country", "SELECT * FROM external_ips WHERE country = 'RU' ORDER BY total_conns DESC, ip LIMIT 50")
+_put("report_alerts", f"SELECT timestamp, signature, severity_text AS severity, category, src_ip, dest_ip, src_port, dest_port "
+     f"FROM alerts WHERE timestamp > {T} - INTERVAL 24 HOUR AND timestamp <= {T}")
+_put("report_external", "SELECT * FROM external_ips")
+_put("report_external_one_country", "SELECT * FROM external_ips WHERE country = 'RU'")
 _LAST_10_DAYS = f"timestamp > {T} - INTERVAL 240 HOUR AND timestamp <= {T}"
 _top("report_dns", f"query AS domain, count(*) AS queries FROM dns WHERE source_tool = 'zeek' AND {_LAST_10_DAYS} GROUP BY 1",
      "queries", "domain", 10)
-_top("report_protocols", f"proto AS protocol, count(*) AS connections, {SUM_BYTES} AS total_bytes FROM conn "
-     f"WHERE {_LAST_10_DAYS} GROUP BY 1", "connections", "protocol", 20)
+_put("report_protocols", f"SELECT proto AS protocol, count(*) AS connections, {SUM_BYTES} AS total_bytes FROM conn "
+     f"WHERE {_LAST_10_DAYS} GROUP BY 1")
 _put("report_event_stats", "SELECT source_tool, log_type, count(*) AS count FROM activity GROUP BY 1, 2")
 _put("report_scan_history", f"""
     SELECT id, target, scan_type, host_count FROM (
         SELECT o_orderkey AS id, o_orderdate, {_TARGET} AS target,
             CASE WHEN o_orderstatus = 'F' THEN 'scheduled_service' ELSE 'quick' END AS scan_type,
             CASE WHEN o_orderkey % 7 <> 0 THEN (SELECT nullif(CAST(count(*) AS INT), 0) FROM lineitem WHERE l_orderkey = o_orderkey) END AS host_count
-        FROM orders) WHERE contains(target, '10.0.1') ORDER BY o_orderdate DESC, id DESC LIMIT 20""")
+        FROM orders) WHERE contains(target, '10.0.1') """)
 _put("report_sql", """SELECT orig_h AS source, count(*) AS conns, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS newest
-    FROM conn GROUP BY 1 ORDER BY conns DESC, source NULLS FIRST LIMIT 50""")
+    FROM conn GROUP BY 1 """)
 _put("allow_list_newest_first", "SELECT * FROM allowed")
 _put("allow_list_check", """SELECT d.ip, a.ip IS NOT NULL AS whitelisted, a.description, a.added_at
     FROM devices d LEFT JOIN allowed a ON a.ip = d.ip""")
@@ -657,7 +670,7 @@ _put("upkeep_upsert", """SELECT ip, coalesce(hostname, 'unnamed') AS description
     UNION ALL SELECT * FROM allowed WHERE ip NOT IN (SELECT ip FROM devices)""")
 _put("upkeep_last_by_key", """SELECT assigned_addr, timestamp, mac, host_name FROM dhcp QUALIFY row_number() OVER (
     PARTITION BY assigned_addr ORDER BY timestamp DESC, mac DESC NULLS LAST, host_name DESC NULLS LAST) = 1""")
-_put("upkeep_delete_keys", "SELECT * FROM allowed WHERE ip NOT IN (SELECT ip FROM known)")
+_put("upkeep_delete_keys", "SELECT * FROM allowed WHERE ip NOT IN (SELECT ip FROM known WHERE ip LIKE '%1')")
 _put("upkeep_retention", f"""SELECT source_tool, log_type, count(*) AS rows, min(timestamp) AS oldest FROM activity
     WHERE timestamp >= {T} - INTERVAL 72 HOUR GROUP BY 1, 2""")
 _put("upkeep_anomaly_retention", f"""SELECT id, detected_at, anomaly_type, dedup_key, severity, summary FROM history
@@ -666,7 +679,7 @@ _put("upkeep_unsynced_scans", """
     SELECT o_orderkey AS id, '10.0.0.' || (o_custkey % 250) AS target, 'quick' AS scan_type,
         CASE o_orderstatus WHEN 'O' THEN '{"total":' || o_custkey || ',"sqlite_id":' || o_orderkey || '}'
             WHEN 'F' THEN '{"raw":"no \\"route\\"","sqlite_id":' || o_orderkey || '}'
-            ELSE '{"sqlite_id":' || o_orderkey || '}' END AS results
+            ELSE CASE WHEN o_custkey % 2 = 0 THEN '{"hosts":[1,{"a":"b"}],' ELSE '{' END || '"sqlite_id":' || o_orderkey || '}' END AS results
     FROM orders WHERE o_orderkey > (SELECT coalesce(max(o_orderkey), 0) FROM orders WHERE o_orderpriority = '1-URGENT'
         AND o_custkey % 5 <> 0 AND o_orderkey <= (SELECT max(o_orderkey) // 2 FROM orders))""")
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,7 @@ from ..functions.timing import back, instant
 from ..functions.vectors import cosine
 from ..operators import baselines as B
 from ..operators import correlate, cooldown, detectors, enrich, inventory, maintenance, rules, silver, similarity
-from ..session import shared_dir
+from ..session import scratch_dir
 from ..streaming import jobs, live
 from ..sources import event_files, lookups, scans, tables
 from . import analyst
@@ -138,19 +138,69 @@ def source_hourly_layout(spark, sf_dir):
 
 @query("sink_hourly_roundtrip")
 def sink_hourly_roundtrip(spark, sf_dir):
-    path = f"{shared_dir(spark)}/hourly/{uuid.uuid4().hex}"
-    alerts = A.raw_events(spark, sf_dir).filter("log_type = 'eve'")
-    event_files.write_hourly(alerts, path)
+    path = scratch_dir(spark, "hourly")
+    event_files.write_hourly(A.raw_events(spark, sf_dir), path)
     return spark.read.parquet(path).groupBy("source_tool", "log_type", "event_hour").agg(F.count("*").alias("rows"))
 
 
 @query("sink_parquet_roundtrip")
 def sink_parquet_roundtrip(spark, sf_dir):
-    path = f"{shared_dir(spark)}/export/{uuid.uuid4().hex}"
+    path = scratch_dir(spark, "export")
     tables.export_table(A.devices(spark, sf_dir), path)
     return tables.import_table(spark, path)
 
 
+@query("sink_partitioned_rewrite")
+def sink_partitioned_rewrite(spark, sf_dir):
+    """Written by service with all services, then again with fewer: what is gone must not come back."""
+    path = scratch_dir(spark, "export")
+    conn = A.silver(spark, sf_dir, "conn").select("proto", "orig_h", "orig_bytes")
+    tables.export_table(conn, path, ("proto",))
+    tables.export_table(conn.filter("proto <> 'udp'"), path, ("proto",))
+    return tables.import_table(spark, path).groupBy("proto").agg(F.count("*").alias("rows"), F.sum("orig_bytes").alias("bytes"))
+
+
+@query("panel_alerts_total_stored")
+def panel_alerts_total_stored(spark, sf_dir):
+    """A panel on stored silver: the range of the panel prunes days."""
+    path = scratch_dir(spark, "silver")
+    for name in ("alerts",):
+        tables.write_by_day(A.silver(spark, sf_dir, name), f"{path}/{name}")
+    stored = spark.read.parquet(f"{path}/alerts").filter(tables.days_between(START, AS_OF))
+    return PANELS["alerts_total"](silver.SensorTables(alerts=stored), START, AS_OF)
+
+
+@query("anomaly_texts")
+def anomaly_texts(spark, sf_dir):
+    """Messages for the sources of severe alerts, as if the live path had seen them for the first time."""
+    queue = A.silver(spark, sf_dir, "alerts").filter("severity = 1").select(
+        F.col("src_port").cast("bigint").alias("id"), F.col("timestamp").alias("detected_at"), F.col("src_ip").alias("ip"),
+        F.when(F.col("src_port") % 3 == 0, F.col("dest_ip")).when(F.col("src_port") % 3 == 1, F.lit("")).alias("mac"))
+    return detectors.fast_alert_texts(queue)
+
+
+@query("anomalies_null_signature")
+def anomalies_null_signature(spark, sf_dir):
+    """Alerts without a signature share all keys: each still has an id of its own, so one can be delivered alone."""
+    alerts = A.silver(spark, sf_dir, "alerts").withColumn("signature", F.when(F.col("severity") > 1, F.col("signature")))
+    found = detectors.stored_form(detectors.severe_alerts(alerts, _history(spark, sf_dir).limit(0), AS_OF, SETTINGS))
+    one = found.filter("dedup_key IS NULL").agg(F.min("id").alias("anomaly_id")).select("anomaly_id", instant(AS_OF).alias("detected_at"))
+    left = maintenance.unprocessed(found, one)
+    return left.agg(F.count("*").alias("left"), F.count_distinct("id").alias("ids"))
+
+
+@query("detect_watched_countries_top")
+def detect_watched_countries_top(spark, sf_dir):
+    top = replace(SETTINGS, country_top=10)
+    return _flat(detectors.watched_countries(A.external_ips(spark, sf_dir), _history(spark, sf_dir), AS_OF, top))
+
+
+@query("detect_massive_volume_top")
+def detect_massive_volume_top(spark, sf_dir):
+    top = replace(SETTINGS, volume_top=5)
+    return _flat(detectors.massive_volume(A.silver(spark, sf_dir, "conn"), _history(spark, sf_dir), AS_OF, top))
+
+
 @query("source_vendor_table")
 def source_vendor_table(spark, sf_dir):
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
@@ -448,7 +498,8 @@ def _history(spark, sf_dir) -> DataFrame:
     return alerts.select(
         F.col("src_port").cast("bigint").alias("id"), F.col("timestamp").alias("detected_at"),
         F.when(kind == "0", "suricata_alert").when(kind == "1", "suspicious_country")
-        .when(kind == "2", "device_behavior").otherwise("dest_fanout").alias("anomaly_type"),
+        .when(kind == "2", "device_behavior").when(kind == "3", "traffic_spike").when(kind == "4", "massive_volume")
+        .when(kind == "5", "new_device").otherwise("dest_fanout").alias("anomaly_type"),
         F.when(kind == "0", F.col("signature")).when(kind == "1", F.col("dest_ip")).otherwise(F.col("src_ip"))
         .alias("dedup_key"),
         F.lit("high").alias("severity"), F.concat(F.lit("Alert "), "signature").alias("summary"),
@@ -520,7 +571,7 @@ def detect_drained_queue(spark, sf_dir):
 
 def _stored(spark, df: DataFrame) -> DataFrame:
     """A summary written once to the shared folder, as a running cycle keeps it."""
-    path = f"{shared_dir(spark)}/summaries/{uuid.uuid4().hex}"
+    path = scratch_dir(spark, "summaries")
     tables.export_table(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -779,7 +830,7 @@ def upkeep_last_by_key(spark, sf_dir):
 
 @query("upkeep_delete_keys")
 def upkeep_delete_keys(spark, sf_dir):
-    return maintenance.delete_keys(_allow_list(spark, sf_dir), _known(spark, sf_dir), "ip")
+    return maintenance.delete_keys(_allow_list(spark, sf_dir), _known(spark, sf_dir).filter("ip LIKE '%1'"), "ip")
 
 
 @query("upkeep_retention")
@@ -801,7 +852,8 @@ def upkeep_unsynced_scans(spark, sf_dir):
         F.concat(F.lit("10.0.0."), F.col("o_custkey") % 250).alias("target"),
         F.lit("quick").alias("scan_type"),
         F.when(F.col("o_orderstatus") == "O", F.concat(F.lit('{"total":'), "o_custkey", F.lit("}")))
-        .when(F.col("o_orderstatus") == "F", F.lit("no \"route\"")).otherwise(F.lit("{ }")).alias("results"))
+        .when(F.col("o_orderstatus") == "F", F.lit("no \"route\""))
+        .when(F.col("o_custkey") % 2 == 0, F.lit('{"sqlite_id":7,"hosts":[1,{"a":"b"}]}')).otherwise(F.lit("{ }")).alias("results"))
     # earlier syncs took the urgent orders of the first half
     urgent = orders.filter("o_orderpriority = '1-URGENT'")
     half = orders.agg((F.max("o_orderkey") / 2).cast("bigint").alias("half")).scalar()
@@ -816,7 +868,7 @@ def upkeep_unsynced_scans(spark, sf_dir):
 
 def _stage_files(spark, sf_dir) -> str:
     """The raw events as staged files `<tool>/<log>/*.txt` in the shared folder."""
-    root = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
+    root = scratch_dir(spark, "staged")
     raw = A.raw_events(spark, sf_dir)
     for tool, log in (("zeek", "conn"), ("zeek", "dhcp"), ("zeek", "dns"), ("zeek", "ssl"), ("suricata", "eve")):
         raw.filter((F.col("source_tool") == tool) & (F.col("log_type") == log)).select("raw").write.text(f"{root}/{tool}/{log}")
@@ -861,7 +913,7 @@ def upkeep_current_rows(spark, sf_dir):
 
 
 def _appended(spark, stream: DataFrame) -> str:
-    base = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    base = scratch_dir(spark, "stream")
     jobs.append_to_table(stream, f"{base}/table", f"{base}/checkpoint").awaitTermination()
     return f"{base}/table"
 
@@ -920,7 +972,7 @@ def stream_queue_consumers(spark, sf_dir):
     """Two readers of one queue table, each with its own progress."""
     seen = A.silver_stream(spark, sf_dir, "activity").select(F.col("src_ip").alias("ip"))
     queue = _appended(spark, live.new_addresses(seen, _known(spark, sf_dir)))
-    base = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    base = scratch_dir(spark, "stream")
     taken = []
     for name in ("mailer", "store"):
         jobs.read_queue(spark, queue, name, f"{base}/checkpoints", jobs.batch_writer(f"{base}/{name}")).awaitTermination()
@@ -932,7 +984,7 @@ def stream_queue_consumers(spark, sf_dir):
 @query("stream_detector_tick")
 def stream_detector_tick(spark, sf_dir):
     """The volume detector run by the stream's batch, with the newest event as its clock."""
-    path = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    path = scratch_dir(spark, "stream")
     history = _history(spark, sf_dir)
 
     def detect(_, as_of):

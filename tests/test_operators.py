@@ -118,10 +118,22 @@ def test_keyed_upkeep(spark):
 
 
 def test_retention(spark, now):
-    df = spark.createDataFrame([(1, ago(hours=72)), (2, ago(hours=72, seconds=1)), (3, None)], "i INT, timestamp TIMESTAMP")
+    df = spark.createDataFrame([(1, ago(hours=72)), (2, ago(hours=72, seconds=1)), (3, now)], "i INT, timestamp TIMESTAMP")
     assert [r.i for r in maintenance.unexpired(df, now, 72).orderBy("i").collect()] == [1, 3]
 
 
+def test_a_synced_document_has_one_queue_id(spark):
+    docs = ['{"sqlite_id":99,"a":1,"sqlite_id":5}', '{ "sqlite_id" : 3 }', '{"a":{"sqlite_id":1}}', '{}', "text"]
+    queue = spark.createDataFrame([(i + 10, None, "t", "quick", d) for i, d in enumerate(docs)], "id BIGINT, scanned_at TIMESTAMP, target STRING, scan_type STRING, results STRING")
+    none = spark.createDataFrame([], "scan_type STRING, results STRING")
+    got = {r.id: r.results for r in maintenance.unsynced_scans(queue, none).collect()}
+    import json
+
+    assert [json.loads(got[i])["sqlite_id"] for i in range(10, 15)] == [10, 11, 12, 13, 14]
+    assert all(json.loads(got[i], object_pairs_hook=list).count(("sqlite_id", i)) == 1 for i in range(10, 14))
+    assert sum(k == "sqlite_id" for k, _ in json.loads(got[10], object_pairs_hook=list)) == 1
+
+
 def test_replace_by_file_is_idempotent(spark):
     cols = "source_file STRING, raw STRING"
     events = spark.createDataFrame([("f1", "old"), ("f2", "x"), ("gone", "y")], cols)
@@ -169,7 +181,8 @@ def test_rules(spark):
     assert got[0].chunk_text == ("Suricata rule: ET SCAN test. Category: Detection of a network scan — port scanning or "
                                  "host discovery. Metadata: a b, c.")
     assert got[7].chunk_text == "Suricata rule: odd class. Category: my-own."
-    assert got[8].chunk_text == "Suricata rule: long. Metadata: " + "x" * 200 + "."
+    assert got[8].chunk_text == "Suricata rule: long. Metadata: " + "x" * 300 + "."
+    assert len({r.position: r for r in rules.parsed_rules(lines, 200).collect()}[8].chunk_text) == len(got[8].chunk_text) - 100
     latest = {r.sid: r.msg for r in rules.latest_rules(parsed).collect()}
     assert latest == {1: "again", 5: "odd class", 6: "long"}
 
@@ -205,8 +218,9 @@ def test_nearest_equals_brute_force(spark, corpus, monkeypatch):
     wanted = [3, 50, 120, 300]
     queries = spark.createDataFrame([(i, vectors[i].astype(float).tolist()) for i in wanted] + [(999, None), (998, [0.0] * 8)],
                                     "query_id BIGINT, vector ARRAY<DOUBLE>")
-    for block in (2048, 2):
+    for block, part in ((2048, 1 << 15), (2, 50)):
         monkeypatch.setattr(similarity, "QUERY_BLOCK", block)
+        monkeypatch.setattr(similarity, "CORPUS_PART", part)
         got = {}
         for r in similarity.nearest(df, queries, 5).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.sid)
@@ -215,6 +229,13 @@ def test_nearest_equals_brute_force(spark, corpus, monkeypatch):
     assert top == 398
 
 
+def test_widths_do_not_mix(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0, 1.0]), (4, None)], "sid BIGINT, embedding ARRAY<FLOAT>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0, 1.0]), (3, [1.0])], "query_id BIGINT, vector ARRAY<DOUBLE>")
+    got = {(r.query_id, r.sid, r.rank) for r in similarity.nearest(corpus, queries, 5).collect()}
+    assert got == {(1, 1, 1), (1, 3, 2), (2, 2, 1)}
+
+
 def test_no_queries(spark, corpus):
     empty = spark.createDataFrame([], "query_id STRING, vector ARRAY<DOUBLE>")
     assert similarity.nearest(corpus[0], empty, 3).count() == 0
@@ -228,7 +249,9 @@ def test_embedding_hook(spark):
             raise RuntimeError("down")
         return [[1.0, 2.0] for _ in texts]
 
-    got = {r.sid: r.embedding for r in similarity.with_embeddings(rows, embed, 2).collect()}
+    embedded = similarity.with_embeddings(rows, embed, 2).collect()
+    got = {r.sid: r.embedding for r in embedded}
+    assert {r.sid: r.embedding_error for r in embedded if r.embedding_error} == {2: "RuntimeError: down", 3: "RuntimeError: down"}
     assert got[0] == [1.0, 2.0] and got[2] is None and got[3] is None and got[4] == [1.0, 2.0]
     assert len(similarity.with_term_vectors(rows, 16).first().embedding) == 16
 

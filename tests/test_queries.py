@@ -8,6 +8,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from hearthwatch.plans import analyst
+from hearthwatch.plans.oracle import ORACLE
+from hearthwatch.plans.registry import QUERIES
 from tools.check_oracle import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +20,8 @@ SAMPLE = [
     "panel_nodes_new_ips_over_time", "panel_geo_unsolicited_inbound", "similarity_alert_context", "rules_latest_per_sid",
     "scan_json_ports", "upkeep_replace_by_file", "report_sql", "stream_cooldown",
 ]
-NAMES = list(queries()) if os.environ.get("HEARTHWATCH_ALL") else SAMPLE
+OWN = {name: q for name, q in queries().items() if name in QUERIES}
+NAMES = list(OWN) if os.environ.get("HEARTHWATCH_ALL") else SAMPLE
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +43,7 @@ def test_query_equals_oracle(spark, db, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(OWN) == set(ORACLE) <= set(oracle_sql())
 
 
 def test_entry(spark):
@@ -53,7 +56,7 @@ def plan(df):
 
 @pytest.mark.parametrize("name", [
     "device_inventory", "external_inventory", "join_ip_range", "panel_threats_alert_flow_correlation",
-    "panel_map_connection_details", "detect_device_behavior", "detect_traffic_spike", "join_alerts_with_flows",
+    "panel_map_connection_details", "detect_device_behavior", "detect_watched_countries", "detect_traffic_spike", "join_alerts_with_flows",
 ])
 def test_no_nested_loop_joins(spark, name):
     text = plan(queries()[name](spark, SF))
@@ -67,17 +70,25 @@ def test_time_filters_reach_the_scan(spark):
     assert "props" not in plan(queries()["panel_alerts_total"](spark, SF))
 
 
+def test_stored_tables_prune_days(spark):
+    text = plan(queries()["panel_alerts_total_stored"](spark, SF))
+    assert "PartitionFilters: [isnotnull(event_date" in text
+    raw = queries()["upkeep_retention"](spark, SF)
+    assert "GreaterThanOrEqual(ts," in plan(raw)
+
+
 @pytest.fixture(scope="module")
 def views(spark):
     spark.range(100).selectExpr("id", "array(id) AS ids", "current_timestamp() AS t").createOrReplaceTempView("events")
 
 
 @pytest.mark.parametrize("sql,rows", [
-    ("SELECT id FROM events", 50), ("select id from events limit 5;", 5), ("WITH x AS (SELECT 1 AS a) SELECT * FROM x", 1),
-    ("SELECT id FROM events ORDER BY id DESC -- newest", 50),
+    ("SELECT id FROM events", 100), ("select id from events limit 5;", 5), ("WITH x AS (SELECT 1 AS a) SELECT * FROM x", 1),
+    ("SELECT id FROM events ORDER BY id DESC -- newest", 100),
 ])
 def test_sql_entry(spark, views, sql, rows):
     assert analyst.query_events(spark, sql).count() == rows
+    assert analyst.query_events(spark, sql, 3).count() == min(rows, 3)
 
 
 def test_sql_entry_keeps_order_and_prints_other_types(spark, views):
@@ -100,7 +111,7 @@ def test_report_limits(spark):
 
     devices = spark.range(80).selectExpr("cast(id AS STRING) ip", "id total_bytes", "-id total_conns", "current_timestamp() last_seen")
     t = SensorTables(devices=devices)
-    assert analyst.devices_report(t, "nonsense", 1000).count() == 50 and analyst.devices_report(t, limit=0).count() == 1
+    assert analyst.devices_report(t, "nonsense").count() == 80 and analyst.devices_report(t, limit=7).count() == 7
     assert analyst.devices_report(t, "conns", 1).first().ip == "0" and analyst.devices_report(t, "bytes", 1).first().ip == "79"
     assert Counter(analyst.sensors_present(spark.createDataFrame([("a",), ("a",)], "source_tool STRING")).collect()).total() == 1
     with pytest.raises(TypeError):
