@@ -388,11 +388,11 @@ _put("source_sensor_logs", f"""
     WHERE {A.IS_EVE} OR event_id % 7 NOT IN (0, 1)""")
 _HOURS = "SELECT source_tool, log_type, strftime(timestamp, '%Y-%m-%d-%H') AS event_hour, count(*) AS rows FROM activity"
 _put("source_hourly_layout", f"{_HOURS} GROUP BY 1, 2, 3")
-_put("sink_hourly_roundtrip", f"{_HOURS} GROUP BY 1, 2, 3")
+_put("sink_hourly_roundtrip", f"{_HOURS.replace('%Y-%m-%d-%H', '2024-01-01-%H')} GROUP BY 1, 2, 3")
 _put("sink_partitioned_rewrite", "SELECT proto, count(*) AS rows, CAST(sum(orig_bytes) AS BIGINT) AS bytes FROM conn WHERE proto <> 'udp' GROUP BY 1")
 _put("anomaly_texts", """SELECT CAST(src_port AS BIGINT) AS id, '[IDS FAST ALERT] New Device: ' || src_ip AS subject,
     'New device detected on the network.' || chr(10) || chr(10) || 'IP Address:  ' || src_ip || chr(10) || 'MAC Address: '
-      || CASE WHEN src_port % 3 = 0 THEN dest_ip ELSE 'unknown' END || chr(10) || 'Detected At: ' || strftime(timestamp, '%Y-%m-%d %H:%M:%S')
+      || CASE WHEN CAST(src_port AS BIGINT) % 3 = 0 THEN dest_ip ELSE 'unknown' END || chr(10) || 'Detected At: ' || strftime(timestamp, '%Y-%m-%d %H:%M:%S')
       || chr(10) || chr(10) || 'This is an automated fast alert.' || chr(10) || 'A detailed LLM analysis email will follow shortly.' AS body
     FROM alerts WHERE severity = 1""")
 _put("sink_parquet_roundtrip", "SELECT * FROM devices")
@@ -567,10 +567,10 @@ def _all_detectors(parts: dict[str, tuple[str, str]]) -> str:
 for _n, _order in (("detect_watched_countries", "d_total_conns DESC, d_ip LIMIT 10"), ("detect_massive_volume", "d_total_bytes DESC, d_ip LIMIT 5")):
     _put(f"{_n}_top", f"SELECT * FROM ({', '.join(_PARTS[_n])}) ORDER BY {_order}")
 # severe alerts of severity 2 keep their signature; the others are one row for each category, source and destination
-_put("anomalies_null_signature", f"""WITH severe AS (SELECT CASE WHEN severity > 1 THEN signature END AS signature, category, src_ip, dest_ip
-        FROM alerts WHERE severity <= 2 AND {RECENT}),
-    found AS (SELECT DISTINCT signature, CASE WHEN signature IS NULL THEN category || '|' || coalesce(src_ip, '') || '|' || coalesce(dest_ip, '') END AS g FROM severe)
-    SELECT count(*) - 1 AS "left", count(*) - 1 AS ids FROM found""")
+_put("anomalies_null_signature", f"""SELECT n AS "left", n AS ids FROM (SELECT count(*) - CAST(count(*) FILTER (signature IS NULL) > 0 AS INT) AS n FROM (
+    SELECT DISTINCT signature, CASE WHEN signature IS NULL THEN category || '|' || coalesce(src_ip, '') || '|' || coalesce(dest_ip, '') END AS g
+    FROM (SELECT CASE WHEN severity > 1 THEN signature END AS signature, category, src_ip, dest_ip
+          FROM alerts WHERE severity <= 2 AND {RECENT})))""")
 _put("detect_all", _all_detectors(_PARTS))
 _put("detect_all_updated_baseline", _all_detectors({
     **_PARTS, "detect_device_behavior": _behavior("ema_next"), "detect_destination_fanout": _fanout("ema_next")}))
