@@ -6,7 +6,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -16,7 +15,8 @@ from pyspark.sql import functions as F
 from hearthwatch.llm.base import byte_slices, texts_of
 
 END = "</w>"  # fixed value: the mark of a word's last symbol in the vocabulary file
-CHUNKS = 300_000  # encoded chunks that a worker keeps; beyond this it starts anew
+CHUNKS = 300_000  # encoded chunks in each of the two generations that a worker keeps
+PAIRS = 500_000  # pairs of tokens whose verdict a worker keeps
 CHUNK = re.compile(r"[^ \t-\r]+")
 CHUNK_LENGTH = 64  # longer chunks are not kept
 
@@ -25,13 +25,14 @@ class Merges:
     """Vocabulary and merge ranks of a BPE file, with the test that two tokens may stand side by side."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list) -> None:
-        self.vocabulary = vocabulary
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(merges)}
+        self.parts = {a + b: (i, a, b) for (a, b), i in self.ranks.items()}
+        if len(self.parts) != len(self.ranks):
+            raise ValueError("two merges make the same token")
         self.longest = max((len(t) for t in vocabulary), default=0)
-        self.symbols: dict[str, tuple[str, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        single = {t for t in vocabulary if len(t.removesuffix(END) or t) == 1}
-        self.made = single | {a + b for a, b in self.ranks}
+        # tokens that merges can make; whether they do make one of its own letters is found when it is first met
+        self.made: dict[str, bool | None] = dict.fromkeys([*(t for t in vocabulary if len(t.removesuffix(END) or t) == 1), *self.parts])
 
     def apply(self, symbols: list[str]) -> list[str]:
         """Merge the best-ranked pair, leftmost first, until none is left."""
@@ -43,17 +44,34 @@ class Merges:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def split(self, token: str) -> tuple[str, ...]:
-        if (s := self.symbols.get(token)) is None:
-            body, end = (token[: -len(END)], True) if token.endswith(END) and len(token) > len(END) else (token, False)
-            s = tuple(body[:-1]) + (body[-1] + END,) if end else tuple(body)
-            self.symbols[token] = s
-        return s
+    def whole(self, token: str) -> bool:
+        """Whether the letters of a token merge into just this token."""
+        body = token.removesuffix(END) or token
+        ok = self.made[token] = self.apply([*body[:-1], body[-1] + token[len(body) :]]) == [token]
+        return ok
 
     def beside(self, left: str, right: str) -> bool:
-        """Whether the merges leave `left` and `right` as they are, side by side."""
-        if (ok := self.pairs.get((left, right))) is None:
-            ok = self.pairs[left, right] = self.apply([*self.split(left), *self.split(right)]) == [left, right]
+        """Whether the merges leave `left` and `right` as they are, side by side: undoing their merges from the last
+        one on, no pair across the border may have a merge that came before what was just undone (or with it, if
+        that was on the right, since the leftmost of equal merges comes first)."""
+        ok = self.pairs.get((left, right))
+        if ok is None:
+            key, limit, none = (left, right), 1 << 60, (-1, "", "")
+            while True:
+                if self.ranks.get((left, right), 1 << 60) < limit:
+                    ok = False
+                    break
+                (l, _, left_end), (r, right_start, _) = self.parts.get(left, none), self.parts.get(right, none)
+                if l == r == -1:
+                    ok = True
+                    break
+                if l > r:
+                    limit, left = l, left_end
+                else:
+                    limit, right = r + 1, right_start
+            if len(self.pairs) > PAIRS:
+                self.pairs.clear()
+            self.pairs[key] = ok
         return ok
 
 
@@ -74,8 +92,9 @@ def encode_words(words: Iterable[str], merges: Merges) -> dict[str, list[str]]:
     def state(prefix: str, n: int, end: str) -> str:
         for begin in range(max(0, n - longest), n):
             token = prefix[begin:n] + end
-            if token in made and (not begin or beside(states[begin - 1], token)):
-                return token
+            if token in made and (merges.whole(token) if made[token] is None else made[token]):
+                if not begin or beside(states[begin - 1], token):
+                    return token
         raise ValueError(f"no token of the vocabulary ends {prefix[:n]!r}")
 
     for word in sorted(set(words)):
@@ -98,10 +117,26 @@ def encode_words(words: Iterable[str], merges: Merges) -> dict[str, list[str]]:
     return out
 
 
+def byte_letters() -> dict[int, int]:
+    """Letters that stand for bytes in the vocabulary: printable ones for themselves, the others from 256 on in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - own))}
+
+
 class ChunkCodec:
-    """Chunks between white space -> (ids joined by spaces, number of ids, decoded text), each computed once."""
+    """Chunks between white space -> (ids joined by spaces, number of ids, decoded text).
+
+    Chunks that come again are looked up. Two generations are kept: what is used goes to the young one, and when that
+    is full it becomes the old one, so that frequent chunks stay and memory has a bound.
+    """
+
+    # plain letters, digits and marks below U+0300: nothing to compose, and lower() is the library's
+    PLAIN = re.compile(r"[!-~\xa1-\xac\xae-\u02ff]+")
+    # fixed value: the file's own pattern
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -110,48 +145,60 @@ class ChunkCodec:
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != END or model.get("unk_token") or spec.get("decoder"):
             raise ValueError("made for a BPE file with word ends, no unknown token and no decoder")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         self.merges = Merges(model["vocab"], model["merges"])
-        self.ids = {t: str(i) for t, i in model["vocab"].items()}
-        self.special = [a["content"] for a in spec["added_tokens"]]
-        self.special_ids = {a["content"]: str(a["id"]) for a in spec["added_tokens"]}
-        self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, tuple[str, int, str]] = {}
-        self.words: dict[str, list[str]] = {}
+        self.ids = {t: str(i) for t, i in model["vocab"].items()} | {a["content"]: str(a["id"]) for a in spec["added_tokens"]}
+        self.special = {a["content"] for a in spec["added_tokens"]}
+        self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.fast = regex.compile(self.PATTERN) if self.PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") else None
+        self.letters = byte_letters()
+        self.young: dict[str, tuple[str, int, str]] = {}
+        self.old: dict[str, tuple[str, int, str]] = {}
+        self.words: dict[str, tuple[str, int, str]] = {}
 
     def _pre_tokens(self, text: str) -> list[str]:
+        if self.fast and self.PLAIN.fullmatch(text):
+            words = self.fast.findall(text.lower())
+            return words if text.isascii() else [w.encode().decode("latin-1").translate(self.letters) for w in words]
         normal = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
         return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
+    def _split(self, chunk: str) -> list:
+        """Special tokens as strings, anything else as a list of words."""
+        parts = self.parts.split(chunk) if self.special and "<|" in chunk else [chunk]
+        return [p if p in self.special else self._pre_tokens(p) for p in parts if p]
+
     def learn(self, chunks: Iterable[str]) -> None:
-        """Encode the chunks that aren't known yet: one trie over all their words."""
-        new = [c for c in set(chunks) if c not in self.known]
-        if len(self.known) + len(new) > CHUNKS:
-            self.known, self.words = {}, {}
-        split: dict[str, list] = {}
-        for c in new:
-            parts = self.parts.split(c) if self.parts and "<|" in c else [c]
-            split[c] = [p if p in self.special_ids else self._pre_tokens(p) for p in parts if p]
-        wanted = {w for parts in split.values() for p in parts if isinstance(p, list) for w in p}
-        self.words.update(encode_words(wanted - self.words.keys(), self.merges))
+        """Bring the given distinct chunks into the young generation, with one trie over the words not known yet."""
+        split, new = {}, set()
+        for c in chunks:
+            if (known := self.old.get(c)) is not None:
+                self.young[c] = known
+            else:
+                split[c] = parts = self._split(c)
+                for p in parts:
+                    if p.__class__ is list:
+                        new.update(p)
+        words = self.words
+        new -= words.keys()
+        for word, tokens in encode_words(new, self.merges).items():
+            words[word] = " ".join([self.ids[t] for t in tokens]), len(tokens), " ".join(tokens)
         for c, parts in split.items():
-            tokens = [t for p in parts for t in ([p] if isinstance(p, str) else [t for w in p for t in self.words[w]])]
-            ids = [self.special_ids.get(t) or self.ids[t] for t in tokens]
-            # without a decoder the library joins the token strings by single spaces
-            self.known[c] = " ".join(ids), len(ids), " ".join(tokens)
+            got = [g for p in parts for g in ([words[w] for w in p] if p.__class__ is list else [(self.ids[p], 1, p)])]
+            self.young[c] = got[0] if len(got) == 1 else (" ".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got]))
 
     def run(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by spaces, decoded text) of each text."""
+        young = self.young
         split = [CHUNK.findall(t) for t in texts]
-        chunks = {c for s in split for c in s}
-        if len(chunks - self.known.keys()) + len(self.known) > CHUNKS:
-            self.known, self.words = {}, {}
-        self.learn(chunks)
+        self.learn({c for s in split for c in s if c not in young})
         out = []
         for s in split:
-            got = [g for c in s if (g := self.known[c])[1]]
-            out.append((sum(g[1] for g in got), " ".join([g[0] for g in got]), " ".join([g[2] for g in got])))
+            got = [g for c in s if (g := young[c])[1]]
+            out.append((sum([g[1] for g in got]), " ".join([g[0] for g in got]), " ".join([g[2] for g in got])))
+        if len(young) > CHUNKS:
+            self.young, self.old = {}, {c: v for c, v in young.items() if len(c) <= CHUNK_LENGTH}
+        if len(self.words) > 2 * CHUNKS:
+            self.words = {}
         return out
 
 

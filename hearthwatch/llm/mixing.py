@@ -96,10 +96,10 @@ def mixed_sources(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] =
     had = stored(first.where("take = 1").groupBy("none", "name").agg(F.sum("size").alias("had")))
     first = first.join(had, ["none", "name"], "left").withColumn("open", F.col("rest") - F.coalesce("had", F.lit(0))).withColumnRenamed("take", "taken1")
     fits = "taken1 = 0 AND size > 0 AND size <= open"
-    columns = ["doc_id", "source", "size", "source_size", "target", "copies", "extra", *extra]
+    columns = ["doc_id", "source", "size", "source_size", "target", "copies", "p", "extra", *extra]
     second = _first_in_order(first.where(fits), "open").withColumnRenamed("take", "extra").select(*columns)
     out = first.where(f"NOT ({fits})").withColumnRenamed("taken1", "extra").select(*columns).unionByName(second)
-    copies = (F.col("copies") + F.col("extra")).cast("int")
+    copies = (F.col("copies") + F.when(F.col("p") > 0, F.col("extra")).otherwise(0)).cast("int")
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), "source", copies.alias("copies"), *extra)
 
 

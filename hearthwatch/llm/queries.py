@@ -95,7 +95,7 @@ WITH docs AS (
 second AS (
   SELECT *, (take = 0 AND size > 0 AND size <= open) AS fits,
     sum(CASE WHEN take = 0 AND size > 0 AND size <= open THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY u, size, doc_id ROWS UNBOUNDED PRECEDING) AS had FROM opened
-), done AS (SELECT *, copies + CASE WHEN fits THEN (had <= open)::INT ELSE take END AS c FROM second)
+), done AS (SELECT *, copies + CASE WHEN source_size = 0 OR target / source_size <= copies THEN 0 WHEN fits THEN (had <= open)::INT ELSE take END AS c FROM second)
 SELECT doc_id, size, source_size, target, (c * size)::BIGINT AS taken, source, c::INT AS copies FROM done""",
 }
 if corpus_pipeline.ORACLE_SQL:
