@@ -939,6 +939,19 @@ def stream_new_addresses(spark, sf_dir):
     return _drained(spark, live.new_addresses(seen, _known(spark, sf_dir)))
 
 
+@query("stream_sightings")
+def stream_sightings(spark, sf_dir):
+    """Live log lines of both tools to addresses seen for the first time; DNS logs are no sightings."""
+    activity = A.silver_stream(spark, sf_dir, "activity")
+    zeek = F.col("source_tool") == "zeek"
+    lines = activity.select(
+        F.when(zeek, F.to_json(F.struct(F.col("src_ip").alias("id.orig_h"))))
+        .otherwise(F.to_json(F.struct(F.lit("alert").alias("event_type"), "src_ip"))).alias("value"),
+        F.when(zeek, F.concat(F.lit("/logs/zeek/"), "log_type", F.lit(".log"))).otherwise("/logs/suricata/eve.json").alias("source_file"),
+        F.col("timestamp").alias("modified_at"))
+    return _drained(spark, live.new_addresses(live.sightings(lines), _known(spark, sf_dir)).select("ip"))
+
+
 @query("stream_trailing_stats")
 def stream_trailing_stats(spark, sf_dir):
     return _drained(spark, live.trailing_stats(A.silver_stream(spark, sf_dir, "conn"), "6 hours", "2 hours"))

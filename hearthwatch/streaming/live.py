@@ -36,7 +36,8 @@ def sightings(lines: DataFrame) -> DataFrame:
 def new_addresses(seen: DataFrame, known: DataFrame) -> DataFrame:
     """First sighting of every private address that is not registered; each address is reported once.
 
-    The state is the set of addresses reported so far, which is what the known-device table holds anyway.
+    The state is the set of addresses reported so far, which is what the known-device table holds anyway: at most the
+    private IPv4 addresses, 18 million in all.
     """
     private = seen.filter(is_private_host(F.col("ip")))
     return private.join(known.select("ip"), "ip", "left_anti").dropDuplicates(["ip"])
@@ -77,39 +78,41 @@ BASELINE_ROW = (
     "ip STRING, window_start TIMESTAMP, avg_bytes_5min DOUBLE, avg_conns_5min DOUBLE, avg_dest_ips DOUBLE, samples INT"
 )
 _METRICS = ["bytes_5min", "conns_5min", "dest_ips"]
+_AVERAGES = ["avg_bytes_5min", "avg_conns_5min", "avg_dest_ips"]
 
 
-def running_baselines(stats: DataFrame, alpha: float = 0.3) -> DataFrame:
+def running_baselines(stats: DataFrame, alpha: float = 0.3, idle: str = "30 days", lateness: str = LATENESS) -> DataFrame:
     """Baseline after every window of a stream of per-window statistics (one row per device and window).
 
-    The state per device is three averages and a counter. A window that is not newer than the last one
-    folded in is ignored, so a replayed batch changes nothing.
+    The state per device is three averages and a counter; it goes when the device has been silent for `idle`. A
+    window that is not newer than the last one folded in has been folded in before (or came too late to have a
+    place in the order): it is ignored, so a replayed batch changes nothing.
     """
+    silence = pd.Timedelta(idle)
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        averages, samples, last = None, 0, None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows, samples = pd.concat(list(frames)).sort_values("window_start"), 0
+        before = rows[_METRICS].iloc[:0]
         if state.exists:
-            b, c, d, samples, last = state.get
-            averages, last = [b, c, d], pd.Timestamp(last)
-        rows = []
-        for row in pd.concat(list(frames)).sort_values("window_start").itertuples(index=False):
-            if last is not None and row.window_start <= last:
-                continue
-            values = [getattr(row, m) for m in _METRICS]
-            if averages is None:
-                averages = values
-            else:
-                averages = [alpha * x + (1 - alpha) * e for x, e in zip(values, averages)]
-            samples, last = samples + 1, row.window_start
-            rows.append((key[0], last, *averages, samples))
-        if rows:
-            state.update((*averages, samples, last.to_pydatetime()))
-        yield pd.DataFrame(rows, columns=["ip", "window_start", "avg_bytes_5min", "avg_conns_5min", "avg_dest_ips",
-                                          "samples"])
-
-    return stats.groupBy("ip").applyInPandasWithState(
+            *averages, samples, last = state.get
+            rows = rows[rows["window_start"] > pd.Timestamp(last)]
+            before = pd.DataFrame([averages], columns=_METRICS)
+        if len(rows):
+            # the state is the row before the first: the weighted mean of all up to each row, in one go
+            means = pd.concat([before, rows[_METRICS]]).ewm(alpha=alpha, adjust=False).mean().iloc[len(before):]
+            counts = range(samples + 1, samples + 1 + len(rows))
+            out = pd.DataFrame({"ip": key[0], "window_start": rows["window_start"].to_numpy(), **dict(zip(_AVERAGES, means.to_numpy().T)), "samples": counts})
+            last = rows["window_start"].iloc[-1]
+            state.update((*map(float, means.iloc[-1]), counts[-1], last.to_pydatetime()))
+            state.setTimeoutTimestamp(max(int((last + silence).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+            yield out
+
+    return stats.withWatermark("window_start", lateness).groupBy("ip").applyInPandasWithState(
         fold, BASELINE_ROW, "b DOUBLE, c DOUBLE, d DOUBLE, samples INT, last TIMESTAMP", "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -136,16 +139,18 @@ def throttled(ticks: DataFrame, minutes: int, lateness: str = LATENESS) -> DataF
             state.remove()
             return
         last = pd.Timestamp(state.get[0]) if state.exists else None
-        rows = []
-        for row in pd.concat(list(frames)).sort_values("detected_at").itertuples(index=False):
-            if last is None or row.detected_at >= last + wait:
-                last = row.detected_at
-                rows.append((key[0], key[1], last, row.hits))
+        ticks = pd.concat(list(frames)).sort_values("detected_at", ignore_index=True)
+        times, fired = ticks["detected_at"], []
+        at = 0 if last is None else int(times.searchsorted(last + wait))
+        while at < len(ticks):  # from one that fires straight to the next that may
+            fired.append(at)
+            last = times[at]
+            at = int(times.searchsorted(last + wait))
         if last is not None:
             state.update((last.to_pydatetime(),))
             expires = int((last + wait).timestamp() * 1000)
             state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["anomaly_type", "dedup_key", "detected_at", "hits"])
+        yield ticks.iloc[fired][["anomaly_type", "dedup_key", "detected_at", "hits"]]
 
     return ticks.withWatermark("detected_at", lateness).groupBy("anomaly_type", "dedup_key").applyInPandasWithState(
         fire, "anomaly_type STRING, dedup_key STRING, detected_at TIMESTAMP, hits BIGINT", "last TIMESTAMP", "append",
@@ -156,11 +161,14 @@ def throttled(ticks: DataFrame, minutes: int, lateness: str = LATENESS) -> DataF
 def alerts_with_flows(alerts: DataFrame, conn: DataFrame, spread: str = "1 hour", lateness: str = LATENESS) -> DataFrame:
     """Alerts with the flows of the same id seen within `spread` of them.
 
-    An alert without a flow comes out, with empty flow columns, once the watermark has passed its time range.
+    An alert without a flow comes out, with empty flow columns, once the watermark has passed its time range. Alerts
+    without a flow id meet no flow: a second key scatters them, so that they don't wait in one state partition.
     """
+    scatter = F.when(F.col("community_id").isNull(), F.pmod(F.xxhash64("src_ip", "dest_ip", "timestamp"), F.lit(1 << 16))).otherwise(0)
     a = alerts.withWatermark("timestamp", lateness).select(
-        F.col("timestamp").alias("alert_time"), "signature", "severity", "src_ip", "dest_ip", "community_id")
+        F.col("timestamp").alias("alert_time"), "signature", "severity", "src_ip", "dest_ip", "community_id", scatter.alias("spot"))
     c = conn.filter("community_id IS NOT NULL").withWatermark("timestamp", lateness).select(
-        F.col("timestamp").alias("flow_time"), F.col("community_id").alias("flow_id"), "duration", "conn_state")
+        F.col("timestamp").alias("flow_time"), F.col("community_id").alias("flow_id"), F.lit(0).cast("bigint").alias("flow_spot"), "duration", "conn_state")
     near = F.expr(f"flow_time BETWEEN alert_time - INTERVAL '{spread}' AND alert_time + INTERVAL '{spread}'")
-    return a.join(c, (F.col("community_id") == F.col("flow_id")) & near, "leftOuter").drop("flow_id")
+    same = (F.col("community_id") == F.col("flow_id")) & (F.col("spot") == F.col("flow_spot"))
+    return a.join(c, same & near, "leftOuter").drop("flow_id", "spot", "flow_spot")
