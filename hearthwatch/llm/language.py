@@ -64,9 +64,13 @@ def fit_text_model(rows: Iterable[tuple[str, str]]) -> TextModel | None:
 
 
 def labelled_sample(rows: DataFrame, sample: int = SAMPLE) -> TextModel | None:
-    """A model of at most `sample` rows that declare a language, those of least hash; 64 KB of a text at most."""
-    some = rows.where("declared IS NOT NULL AND text IS NOT NULL").select("declared", F.substring("text", 1, 1 << 16).alias("text"))
-    some = some.orderBy(F.xxhash64("text"), "text").limit(sample)
+    """A model of at most `sample` different texts that declare a language, those of least hash, and the first 16,384
+    characters of each: the bound on what the driver gets. Where equal texts differ in it, the least language counts."""
+    told = rows.where("declared IS NOT NULL AND text IS NOT NULL").select("declared", "text", F.xxhash64("text").alias("h"))
+    least = [r["h"] for r in told.select("h").distinct().orderBy("h").limit(sample).collect()]
+    if not least:
+        return None
+    some = told.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("declared").alias("declared"), F.first(F.substring("text", 1, 1 << 14)).alias("text"))
     return fit_text_model((r["declared"], r["text"]) for r in some.toLocalIterator())
 
 
