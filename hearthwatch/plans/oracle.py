@@ -399,6 +399,9 @@ _put("sink_parquet_roundtrip", "SELECT * FROM devices")
 _put("source_vendor_table", """
     SELECT oui_prefix, least(manufacturer, 'Reseller of ' || manufacturer) AS manufacturer FROM vendors""")
 _put("source_range_table", "SELECT ip_start, ip_end, upper(country) AS country FROM ranges")
+_put("source_vendor_csv", "SELECT oui_prefix, least(manufacturer, 'Reseller of ' || manufacturer) AS manufacturer FROM vendors")
+_put("source_range_csv", "SELECT ip_start, ip_end, upper(country) AS country FROM ranges")
+_put("rules_from_files", "SELECT sid, msg, classtype, chunk_text FROM rule_rows")
 _put("rules_parse", "SELECT position, sid, msg, classtype, chunk_text FROM rule_rows")
 _put("rules_latest_per_sid", """SELECT sid, msg, classtype, chunk_text FROM rule_rows
     QUALIFY row_number() OVER (PARTITION BY sid ORDER BY position DESC) = 1""")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import adapter as A
@@ -203,18 +203,31 @@ def detect_massive_volume_top(spark, sf_dir):
     return _flat(detectors.massive_volume(A.silver(spark, sf_dir, "conn"), _history(spark, sf_dir), AS_OF, top))
 
 
-@query("source_vendor_table")
-def source_vendor_table(spark, sf_dir):
+def _vendor_rows(spark, sf_dir) -> DataFrame:
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     key = F.expr(A.VENDOR_PREFIX)
-    rows = suppliers.select(F.lower(key).alias("assignment"), F.col("s_name").alias("organization")).union(
+    return suppliers.select(F.lower(key).alias("assignment"), F.col("s_name").alias("organization")).union(
         suppliers.select(key, F.concat(F.lit("Reseller of "), "s_name"))
     ).union(
         suppliers.select(F.concat(key, F.lit("F")), F.col("s_name"))
     ).union(
         suppliers.select(F.concat(F.lit("A"), F.substring(key, 2, 5)), F.when(F.col("s_suppkey") % 2 == 0, "").otherwise(F.lit(None)))
     )
-    return lookups.vendor_table(rows)
+
+
+@query("source_vendor_table")
+def source_vendor_table(spark, sf_dir):
+    return lookups.vendor_table(_vendor_rows(spark, sf_dir))
+
+
+@query("source_vendor_csv")
+def source_vendor_csv(spark, sf_dir):
+    path = scratch_dir(spark, "vendors") + "/csv"
+    _vendor_rows(spark, sf_dir).select(
+        F.lit("MA-L").alias("Registry"), F.col("assignment").alias("Assignment"), F.col("organization").alias("Organization Name"),
+        F.lit('5 "Main" Street, Town').alias("Organization Address"),
+    ).write.option("header", "true").option("escape", '"').csv(path)
+    return lookups.vendor_table(lookups.read_vendor_csv(spark, path))
 
 
 def _quad(value: str) -> str:
@@ -222,10 +235,9 @@ def _quad(value: str) -> str:
             f"({value}) % 256)")
 
 
-@query("source_range_table")
-def source_range_table(spark, sf_dir):
+def _range_rows(spark, sf_dir) -> DataFrame:
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    rows = nations.select(
+    return nations.select(
         F.expr(_quad(A.RANGE_START)).alias("ip_start"), F.expr(_quad(A.RANGE_END)).alias("ip_end"),
         F.lower(F.concat(F.expr(A.COUNTRY), F.lit("x"))).alias("country"),
     ).union(
@@ -235,7 +247,18 @@ def source_range_table(spark, sf_dir):
     ).union(
         nations.select(F.lit("1.0.0.0"), F.lit("1.0.0.255"), F.lit(None).cast("string"))
     )
-    return lookups.range_table(rows)
+
+
+@query("source_range_table")
+def source_range_table(spark, sf_dir):
+    return lookups.range_table(_range_rows(spark, sf_dir))
+
+
+@query("source_range_csv")
+def source_range_csv(spark, sf_dir):
+    path = scratch_dir(spark, "ranges") + "/csv"
+    _range_rows(spark, sf_dir).write.option("compression", "gzip").csv(path)
+    return lookups.range_table(lookups.read_range_csv(spark, path))
 
 
 def _rule_lines(spark, sf_dir) -> DataFrame:
@@ -263,6 +286,13 @@ def rules_parse(spark, sf_dir):
     return rules.parsed_rules(_rule_lines(spark, sf_dir).drop("modified_at"))
 
 
+@query("rules_from_files")
+def rules_from_files(spark, sf_dir):
+    path = scratch_dir(spark, "rules") + "/text"
+    _rule_lines(spark, sf_dir).select("value").write.text(path)
+    return rules.parsed_rules(lookups.read_rule_lines(spark, path)).select("sid", "msg", "classtype", "chunk_text")
+
+
 @query("rules_latest_per_sid")
 def rules_latest_per_sid(spark, sf_dir):
     return rules.latest_rules(rules.parsed_rules(_rule_lines(spark, sf_dir)))
@@ -313,10 +343,8 @@ def scan_json_ports(spark, sf_dir):
     return scans.scan_host_ports(_scan_documents(spark, sf_dir)).drop("scanned_at")
 
 
-@query("scan_xml_documents")
-def scan_xml_documents(spark, sf_dir):
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    xml = F.concat(
+def _scan_xml() -> Column:
+    return F.concat(
         F.lit("<nmaprun><host>"),
         F.when(F.col("c_custkey") % 3 == 0, "").otherwise('<status state="up"/>'),
         F.lit('<address addr="10.0.0.'), F.col("c_custkey") % 250, F.lit('" addrtype="ipv4"/><address addr="aa:bb"/>'),
@@ -325,6 +353,11 @@ def scan_xml_documents(spark, sf_dir):
         F.lit('<port protocol="udp" portid="53"><state state="closed"/><service name="dns" product="d"/></port>'),
         F.lit("</ports></host><host></host></nmaprun>"),
     )
+
+
+@query("scan_xml_documents")
+def scan_xml_documents(spark, sf_dir):
+    customers, xml = spark.read.parquet(f"{sf_dir}/customer.parquet"), _scan_xml()
     docs = scans.scan_documents(customers.select(
         F.col("c_custkey").alias("id"), F.lit("10.0.0.0/24").alias("target"), F.lit("service").alias("scan_type"),
         F.when(F.col("c_custkey") % 10 == 9, "<nmaprun><host>").otherwise(xml).alias("xml")))
