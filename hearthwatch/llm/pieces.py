@@ -114,10 +114,27 @@ def _frequencies(path: str, head):
     return run
 
 
+def _head(sizes: DataFrame, head: int) -> dict[str, int]:
+    """Pieces of at most `head` frequent short pre-tokens: those of the highest classes of frequency that fit whole.
+
+    The classes are sixteenths of a power of two, a thousand at most, so finding the cut needs no ordering of words.
+    """
+    short = sizes.where(F.length("word") <= HEAD_LENGTH).withColumn("level", F.floor(F.log2("n") * 16))
+    least, total = None, 0
+    for level, n in sorted(map(tuple, short.groupBy("level").count().collect()), reverse=True):
+        total += n
+        if total > head:
+            break
+        least = level
+    if least is None:
+        return {}
+    return {r["word"]: r["pieces"] for r in short.where(F.col("level") >= least).select("word", "pieces").toLocalIterator()}
+
+
 def token_counts(docs: DataFrame, model: str, limit: int = 4096, head: int = HEAD) -> DataFrame:
     """Tokens of every document: (doc_id, n_bytes, n_tokens, over_limit).
 
-    `model` is the path of a piece model, the same on every machine. The `head` most frequent pre-tokens travel as a
+    `model` is the path of a piece model, the same on every machine. Up to `head` frequent pre-tokens travel as a
     map of bounded size; all others meet their counts in a join on the pre-token. A document's rows are tied by a
     number of their own, so repeated and NULL ids keep one row each. A NULL text is empty: no tokens. An empty table
     gives no rows; other columns are not read.
@@ -125,8 +142,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, head: int = HEA
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = docs.select("text").mapInArrow(_vocabulary(model), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     sizes = stored(words.mapInArrow(_sizes(model), "word string, n long, pieces int"))
-    first = sizes.where(F.length("word") <= HEAD_LENGTH).orderBy(F.desc("n"), "word").limit(head)
-    known = docs.sparkSession.sparkContext.broadcast({w: k for w, _, k in first.toLocalIterator()} if head else {})
+    known = docs.sparkSession.sparkContext.broadcast(_head(sizes, head))
     rows = docs.mapInArrow(_frequencies(model, known), "row long, doc_id long, n_bytes long, word string, n long")
     rows = stored(rows)
     rest = rows.where("word IS NOT NULL").join(sizes.select("word", "pieces"), "word").select("row", F.expr("n * pieces AS n"))
