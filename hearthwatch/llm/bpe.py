@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hearthwatch.llm.base import byte_slices, texts_of
 
 END = "</w>"  # fixed value: the mark of a word's last symbol in the vocabulary file
-CHUNKS = 300_000  # encoded chunks in each of the two generations that a worker keeps
+CHUNKS = 200_000  # encoded words and chunks in each of the two generations that a worker keeps
 PAIRS = 500_000  # pairs of tokens whose verdict a worker keeps
 CHUNK = re.compile(r"[^ \t-\r]+")
 CHUNK_LENGTH = 64  # longer chunks are not kept
@@ -124,19 +124,20 @@ def byte_letters() -> dict[int, int]:
 
 
 class ChunkCodec:
-    """Chunks between white space -> (ids joined by spaces, number of ids, decoded text).
+    """Words, and chunks between white space -> (ids joined by spaces, number of ids, decoded text).
 
-    Chunks that come again are looked up. Two generations are kept: what is used goes to the young one, and when that
+    Those that come again are looked up. Two generations are kept: what is used goes to the young one, and when that
     is full it becomes the old one, so that frequent chunks stay and memory has a bound.
     """
 
-    # plain letters, digits and marks below U+0300: nothing to compose, and lower() is the library's
-    PLAIN = re.compile(r"[!-~\xa1-\xac\xae-\u02ff]+")
+    # Letters, digits and marks below U+0300 without superscripts and fractions, and the six separators: nothing to
+    # compose, lower() is the library's, and WORDS finds what the file's pattern finds.
+    PLAIN = re.compile(r"[\t-\r -~\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u02ff]*")
+    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
     # fixed value: the file's own pattern
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -149,15 +150,14 @@ class ChunkCodec:
         self.ids = {t: str(i) for t, i in model["vocab"].items()} | {a["content"]: str(a["id"]) for a in spec["added_tokens"]}
         self.special = {a["content"] for a in spec["added_tokens"]}
         self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.fast = regex.compile(self.PATTERN) if self.PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") else None
+        self.plain = self.PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\")
         self.letters = byte_letters()
-        self.young: dict[str, tuple[str, int, str]] = {}
-        self.old: dict[str, tuple[str, int, str]] = {}
-        self.words: dict[str, tuple[str, int, str]] = {}
+        self.young: tuple[dict[str, str], dict[str, str]] = ({}, {})  # ids and decoded text by chunk
+        self.old: tuple[dict[str, str], dict[str, str]] = ({}, {})
 
     def _pre_tokens(self, text: str) -> list[str]:
-        if self.fast and self.PLAIN.fullmatch(text):
-            words = self.fast.findall(text.lower())
+        if self.plain and self.PLAIN.fullmatch(text):
+            words = self.WORDS.findall(text.lower())
             return words if text.isascii() else [w.encode().decode("latin-1").translate(self.letters) for w in words]
         normal = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
         return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
@@ -167,38 +167,46 @@ class ChunkCodec:
         parts = self.parts.split(chunk) if self.special and "<|" in chunk else [chunk]
         return [p if p in self.special else self._pre_tokens(p) for p in parts if p]
 
+    def units(self, text: str) -> list[str]:
+        """What is looked up: the words of a plain text, or the chunks between white space of any other. A word that is
+        taken for a chunk is split into itself, so both kinds live in one table."""
+        if self.plain and "<|" not in text and self.PLAIN.fullmatch(text):
+            return self.WORDS.findall(text.lower())
+        return CHUNK.findall(text)
+
     def learn(self, chunks: Iterable[str]) -> None:
         """Bring the given distinct chunks into the young generation, with one trie over the words not known yet."""
         split, new = {}, set()
+        (young_ids, young_texts), (old_ids, old_texts) = self.young, self.old
         for c in chunks:
-            if (known := self.old.get(c)) is not None:
-                self.young[c] = known
+            if (known := old_ids.get(c)) is not None:
+                young_ids[c], young_texts[c] = known, old_texts[c]
             else:
                 split[c] = parts = self._split(c)
                 for p in parts:
                     if p.__class__ is list:
                         new.update(p)
-        words = self.words
-        new -= words.keys()
-        for word, tokens in encode_words(new, self.merges).items():
-            words[word] = " ".join([self.ids[t] for t in tokens]), len(tokens), " ".join(tokens)
+        words = encode_words(new, self.merges)
+        ids = self.ids
         for c, parts in split.items():
-            got = [g for p in parts for g in ([words[w] for w in p] if p.__class__ is list else [(self.ids[p], 1, p)])]
-            self.young[c] = got[0] if len(got) == 1 else (" ".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got]))
+            tokens = [t for p in parts for t in ([t for w in p for t in words[w]] if p.__class__ is list else [p])]
+            # without a decoder the library joins the token strings by single spaces
+            young_ids[c], young_texts[c] = " ".join([ids[t] for t in tokens]), " ".join(tokens)
 
     def run(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by spaces, decoded text) of each text."""
-        young = self.young
-        split = [CHUNK.findall(t) for t in texts]
-        self.learn({c for s in split for c in s if c not in young})
+        ids, decoded = self.young
+        split = [self.units(t) for t in texts]
+        self.learn({c for s in split for c in s if c not in ids})
         out = []
         for s in split:
-            got = [g for c in s if (g := young[c])[1]]
-            out.append((sum([g[1] for g in got]), " ".join([g[0] for g in got]), " ".join([g[2] for g in got])))
-        if len(young) > CHUNKS:
-            self.young, self.old = {}, {c: v for c, v in young.items() if len(c) <= CHUNK_LENGTH}
-        if len(self.words) > 2 * CHUNKS:
-            self.words = {}
+            if not all(map(ids.__getitem__, s)):
+                s = [c for c in s if ids[c]]  # a chunk of white space beyond the six separators has no ids
+            joined = " ".join(map(ids.__getitem__, s))
+            out.append((joined.count(" ") + 1 if joined else 0, joined, " ".join(map(decoded.__getitem__, s))))
+        if len(ids) > CHUNKS:
+            kept = [c for c in ids if len(c) <= CHUNK_LENGTH]
+            self.young, self.old = ({}, {}), ({c: ids[c] for c in kept}, {c: decoded[c] for c in kept})
         return out
 
 
