@@ -3,12 +3,31 @@ before it has written."""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthwatch.llm import bpe, exact, language, mixing, near
-from hearthwatch.llm.base import stored, table
+from hearthwatch.llm.base import STORED, drop_unread, stored, table
+
+_MADE: list[str] = []  # tables that stages have stored for themselves
+
+
+def _fresh(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that first deletes what earlier stages stored, but for what its own documents still read."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _MADE[:] = drop_unread(docs, _MADE)
+        before = len(STORED)
+        out = stage(spark, docs, sf_dir)
+        _MADE.extend(STORED[before:])
+        return out
+
+    return run_stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +56,8 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
-    ("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources),
-    ("bpe_encoding", bpe_encoding),
+    ("language_id", _fresh(language_id)), ("exact_dedup", _fresh(exact_dedup)), ("near_dedup", _fresh(near_dedup)),
+    ("mix_sources", _fresh(mix_sources)), ("bpe_encoding", _fresh(bpe_encoding)),
 ]
 
 #: Estimates, trained likelihoods and encodings are beyond SQL; tests/llm/test_pipeline.py holds a brute-force version.

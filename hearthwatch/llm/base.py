@@ -27,6 +27,19 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+STORED: list[str] = []  # paths of the tables stored so far
+
+
+def drop_unread(docs: DataFrame, paths: list[str]) -> list[str]:
+    """Delete those stored tables that `docs` does not read; the paths that are left."""
+    spark, read = docs.sparkSession, docs.inputFiles()
+    left = [p for p in paths if any(p.rpartition("/")[2] in f for f in read)]
+    for path in set(paths) - set(left):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return left
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: computed once, cut from its lineage, safe from lost executors.
 
@@ -35,6 +48,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STORED.append(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
