@@ -157,3 +157,17 @@ def test_accepted_documents(spark):
     nothing = df.withColumn("lang", F.lit(None).cast("string"))
     assert language.accepted(nothing, F.col("lang"), F.col("source")).count() == len(rows())
     assert language.identified(language.documents_evidence(nothing), "doc_id").where("accepted OR language IS NOT NULL").count() == 0
+
+
+def novel_strings(text):
+    low = text.lower()
+    base = secrets.base_spans(text, low)
+    return [text[a:b] for a, b, _ in secrets.novel_spans(text, low, base, secrets.Novelty())]
+
+
+def test_repeated_secrets_are_reported_wherever_they_stand():
+    fresh = "Zk3vQ9mT1xLw8RbY5nHc2Gd7"
+    assert novel_strings(f"Authorization: Bearer {fresh}\n" * 3) == [fresh] * 3
+    assert novel_strings(f"{fresh} was public; the credential {fresh} is no longer in use") == [fresh] * 2
+    for gap in range(secrets.AROUND - 40, secrets.AROUND + 40, 4):  # the copy stands across the edge of what is seen
+        assert novel_strings(f"bearer {fresh}{' ab' * (gap // 3)}{' ' * (gap % 3)} bearer {fresh} x") == [fresh] * 2
