@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hearthwatch.llm import bpe, exact, language, mixing, near
 from hearthwatch.llm.base import STORED, drop_unread, stored, table
 
+NEAR = 80  # percent of similarity that links two documents in the stage; the query op3 has 85
 _MADE: list[str] = []  # tables that stages have stored for themselves
 
 
@@ -41,8 +42,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document of the smallest id."""
-    return near.one_of_each(docs)
+    """Of each group of near copies, linked from a similarity of 0.80 on, the document of the smallest id."""
+    return near.one_of_each(docs, NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

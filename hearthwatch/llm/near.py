@@ -14,8 +14,9 @@ from hearthwatch.llm.base import ROW, byte_slices, mixed, span_hashes, stored, w
 from hearthwatch.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 36, 6  # a pair at 0.85 shares no band once in 4 * 10 ** 7 pairs
+BANDS, ROWS = 36, 6  # at 85 percent; other thresholds have their own
 REGISTERS = BANDS * ROWS
+MISSED = 4e-8  # part of the pairs at the threshold that share no band, at most
 MANTISSA = 10  # bits kept behind the leading-zero count: registers are 16 bits
 SPREAD = 5.5  # standard errors by which an estimate may lie below the threshold and still be verified
 BLOCK = 1024  # documents of a bucket or candidate group that are compared at a time
@@ -62,11 +63,21 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return ((zeros << np.uint64(MANTISSA)) | (rest >> np.uint64(64 - MANTISSA))).astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
+def bands_of(percent: int) -> tuple[int, int]:
+    """(bands, rows of each) for a threshold: as many rows as leave no more than MISSED of the pairs at it without a band
+    in common; 36 x 6 at 85 percent, 43 x 5 at 80."""
+    for rows in range(REGISTERS, 0, -1):
+        bands = REGISTERS // rows
+        if 0 < percent <= 100 and (1 - (percent / 100) ** rows) ** bands <= MISSED:
+            return bands, rows
+    raise ValueError(f"{REGISTERS} registers have no bands for a threshold of {percent} percent")
+
+
+def band_keys(regs: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key for each band of a (documents, REGISTERS) matrix."""
-    parts = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(regs), BANDS))
-    for i in range(ROWS):
+    parts = regs[:, : bands * rows].reshape(len(regs), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(regs), bands))
+    for i in range(rows):
         key = mixed(key * np.uint64(0x9DDFEA08EB382D69) + parts[:, :, i])
     return key.view(np.int64)
 
@@ -102,11 +113,14 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def _banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            keys = band_keys(_matrix(batch.column("regs")))
-            yield pa.record_batch([pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS)), pa.array(keys.ravel())], ["rep", "key"])
+def _banded(bands: int, rows: int) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(_matrix(batch.column("regs")), bands, rows)
+                yield pa.record_batch([pa.array(np.repeat(batch.column("rep").to_numpy(), bands)), pa.array(keys.ravel())], ["rep", "key"])
+
+    return run
 
 
 def _runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -251,12 +265,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, carry: str | None = None
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of distinct five-word shingles
     (A-Z lower-cased). Equal sets are one class and go on as one row. Classes that share a band of registers meet in
     a bucket; those whose estimate allows it form candidate groups; within a group full sets decide every pair. Large
-    buckets and groups are compared block against block, so none is gathered in a task and no pair is left out.
+    buckets and groups are compared block against block, so none is gathered in a task and no pair is left out. Bands
+    follow `percent`; a threshold too low for any (below 8 percent) is an error.
 
     A NULL text is empty; documents without words have an empty set and are linked with nothing. Rows that share a
     doc_id count as one node. A NULL doc_id is linked to equal sets only: its component is theirs, or NULL if no other
     row has that set, and then it is kept. An empty table gives no rows; other columns are not read.
     """
+    bands = bands_of(percent)
     extra = [carry] if carry else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
     docs = rows.select("doc_id", "text")
@@ -264,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, carry: str | None = None
     classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = stored(classes)
     nodes = classes.where("rep IS NOT NULL").select("rep", "n", "regs")
-    keyed = nodes.select("rep", "regs").mapInArrow(_banded, "rep long, key long")
+    keyed = nodes.select("rep", "regs").mapInArrow(_banded(*bands), "rep long, key long")
     met = in_blocks(keyed, "key", BLOCK).join(nodes, "rep")
     met = met.repartition("key", "part").sortWithinPartitions("key", "part")
     candidates = components(met.mapInArrow(_similar_sketches(percent / 100), "u long, v long").distinct())

@@ -186,3 +186,21 @@ def test_kept_bytes(spark):
     df = spark.createDataFrame([(1, text, "", "", 1), (2, "y" + "0123456789" * 21, "", "", 1)], SCHEMA)
     kept = {r.doc_id: bytes(r.kept) for r in repeats.without_repeats(df, texts=True).collect()}
     assert kept == {1: b"x" * 10, 2: b"y"}
+
+
+def test_bands_follow_the_threshold():
+    assert near.bands_of(85) == (near.BANDS, near.ROWS)
+    for percent in (50, 80, 85, 95):
+        bands, wide = near.bands_of(percent)
+        assert bands * wide <= near.REGISTERS and (1 - (percent / 100) ** wide) ** bands <= near.MISSED
+    with pytest.raises(ValueError):
+        near.bands_of(0)
+
+
+def test_pairs_far_below_the_usual_threshold_meet(spark):
+    data = []
+    for i in range(60):  # pairs that share just over half of their shingles
+        common = [f"c{i}x{k}" for k in range(120)]
+        data += [(2 * i, " ".join(common + [f"a{i}x{k}" for k in range(50)]), "en", "a", 1), (2 * i + 1, " ".join(common + [f"b{i}x{k}" for k in range(50)]), "en", "a", 1)]
+    got = near.near_duplicates(spark.createDataFrame(data, SCHEMA), 50).where("kept").count()
+    assert got == 60

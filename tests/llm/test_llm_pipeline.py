@@ -67,3 +67,11 @@ def test_query_equals_sql(spark, name):
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, result.fetchall())
+
+
+def test_near_stage_links_from_four_fifths(spark):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles
+    for changed, left in ((9, 1), (13, 2)):  # 91 of 109 shared, then 87 of 113
+        data = [(1, " ".join(words), "en", "a", 1), (2, " ".join(words[:-changed] + [f"x{i}" for i in range(changed)]), "en", "a", 1)]
+        docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+        assert corpus_pipeline.near_dedup(spark, docs, SF).count() == left
