@@ -8,12 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthwatch.llm.base import SPACES, byte_slices, stored
 
-SAMPLE = 4000  # labelled texts that the trigram model is fitted on, at most
+SAMPLE = 4000  # labelled texts that the trigram model is fitted on, shared evenly by the languages
+EACH = 100  # texts that a language may have at least, however many languages share the sample
+LETTERS = 1 << 14  # characters of a sampled text that are read
 CELLS = 1 << 15  # hashed byte trigrams
 SMOOTHING = 20.0  # rows that a prior of the next wider level counts for
 TEMPER = 0.25  # trigrams overlap and repeat each other, so each counts for so much of an independent one
@@ -49,29 +51,35 @@ class TextModel:
         return out, n
 
 
-def fit_text_model(rows: Iterable[tuple[str, str]]) -> TextModel | None:
-    rows = sorted(rows)
-    languages = sorted({lang for lang, _ in rows})
-    if not languages:
-        return None
+def fit_text_model(rows: Iterable[tuple[str, str]], languages: list[str]) -> TextModel:
+    place = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((CELLS, len(languages)))
     for lang, text in rows:
         data = np.frombuffer(text.encode(), np.uint8)
         if len(data) >= 3:
-            counts[:, languages.index(lang)] += np.bincount(trigrams(data), minlength=CELLS)
+            counts[:, place[lang]] += np.bincount(trigrams(data), minlength=CELLS)
     counts += 0.5
     return TextModel(languages, np.log(counts / counts.sum(0)))
 
 
 def labelled_sample(rows: DataFrame, sample: int = SAMPLE) -> TextModel | None:
-    """A model of at most `sample` different texts that declare a language, those of least hash, and the first 16,384
-    characters of each: the bound on what the driver gets. Where equal texts differ in it, the least language counts."""
+    """A model of all languages that any text declares, on texts of each: those of least hash, an even share of `sample`
+    but EACH at least, and the first LETTERS characters of each text. The driver reads them one after the other; its
+    memory grows with the number of languages only. Where equal texts differ in language, each counts once."""
     told = rows.where("declared IS NOT NULL AND text IS NOT NULL").select("declared", "text", F.xxhash64("text").alias("h"))
-    least = [r["h"] for r in told.select("h").distinct().orderBy("h").limit(sample).collect()]
-    if not least:
+    sizes = {r["declared"]: r["n"] for r in told.groupBy("declared").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not sizes:
         return None
-    some = told.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("declared").alias("declared"), F.first(F.substring("text", 1, 1 << 14)).alias("text"))
-    return fit_text_model((r["declared"], r["text"]) for r in some.toLocalIterator())
+    share = max(sample // len(sizes), EACH)
+    # hashes are even, so a cut at twice the share holds the least ones of each language and little more
+    cuts = [(d, int(2.0**64 * 2 * share / n) - (1 << 63)) for d, n in sizes.items() if n > 4 * share]
+    if cuts:
+        cuts = F.broadcast(rows.sparkSession.createDataFrame(cuts, "declared string, cut long"))
+        told = told.join(cuts, "declared", "left").where("cut IS NULL OR h <= cut").drop("cut")
+    some = told.groupBy("declared", "h").agg(F.first(F.substring("text", 1, LETTERS)).alias("text"))
+    order = Window.partitionBy("declared").orderBy("h")
+    least = some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= share).select("declared", "text")
+    return fit_text_model(((r["declared"], r["text"]) for r in least.toLocalIterator()), sorted(sizes))
 
 
 def html_declared(html: Column) -> Column:

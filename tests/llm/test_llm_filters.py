@@ -190,3 +190,11 @@ def test_long_secrets_are_reported_whole():
     for n in (600, 900, 3 * secrets.AROUND, 40000):
         long = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(n))
         assert novel_strings(f"Authorization: Bearer {long} end\nAuthorization: Bearer {long} end") == [long] * 2
+
+
+def test_rare_languages_are_known(spark):
+    rnd, sounds = random.Random(2), {"en": ["th", "er", "ow", "ing", "st"], "de": ["sch", "ei", "un", "cht", "ge"], "fi": ["kk", "aa", "yl", "nni", "uo"]}
+    word = lambda lang: "".join(rnd.choice(sounds[lang]) for _ in range(3))
+    data = [(i, " ".join(word(lang) for _ in range(40)), lang, "a", 1) for i, lang in enumerate(["en", "de"] * 1500 + ["fi"] * 3)]
+    got = language.identified(language.documents_evidence(spark.createDataFrame(data, SCHEMA)), "doc_id", sample=50).collect()
+    assert len(got) == len(data) and all(r.accepted and r.language == r.declared == r.text_language for r in got)
