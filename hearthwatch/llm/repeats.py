@@ -1,9 +1,9 @@
-"""Removal of repeated byte strings, by bucket-pointer refinement of a sampled suffix array.
+"""Removal of repeated byte strings by minimizer fingerprints, in place of bucket-pointer refinement of a suffix array.
 
-Suffixes are sampled where a q-gram is the least of its surroundings, so equal strings have their samples at equal
-places. Samples start in buckets named by the string that every window of theirs contains, and buckets are refined by
-the names found at later offsets: names of 2d bytes are pairs of names of d bytes at an offset of d, and are used again
-for the next depth. A bucket with one member leaves; what is left is compared window by window.
+Positions are sampled where a q-gram is the least of its surroundings, so equal strings have their samples at equal
+places. A sample's bucket is named by a hash of the string that every window of it contains; names of 2d bytes are
+hashed from two names of d bytes. Buckets are split by a hash of the bytes of a sample's windows. A bucket with one
+member leaves; what is left is compared window by window. Suffixes are not ordered.
 """
 
 from __future__ import annotations
