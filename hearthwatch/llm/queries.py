@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from hearthwatch.llm import bpe, exact, language, mixing, near, pieces, quality, repeats, secrets, sharding
+from hearthwatch.llm import bpe, exact, language, mixing, near, pieces, quality, repeats, secrets, sharding, spelling, token_files, whitening
 from hearthwatch.llm.base import table
 
 
@@ -28,6 +28,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": lambda s, d: language.identified(language.documents_evidence(table(s, d, "documents")), "doc_id"),
     "op9_mixing_sources": lambda s, d: mixing.mixed_sources(table(s, d, "documents")),
     "op10_bpe_encoding": lambda s, d: bpe.encoded(table(s, d, "documents"), tokenizer_file("word_bpe_49k.json")),
+    "op11_spelling_variants": lambda s, d: spelling.spelling_variants(table(s, d, "documents")),
+    "op12_embedding_whitening": lambda s, d: whitening.whitened(table(s, d, "embeddings")),
+    "op13_token_files": lambda s, d: token_files.stored_tokens(table(s, d, "documents"), tokenizer_file("byte_bpe_50k.json")),
     "pages_language_id": lambda s, d: language.identified(language.pages_evidence(table(s, d, "pages")), "page_id"),
     "pipeline": corpus_pipeline.run,
 }
@@ -97,6 +100,36 @@ second AS (
     sum(CASE WHEN take = 0 AND size > 0 AND size <= open THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY u, size, doc_id ROWS UNBOUNDED PRECEDING) AS had FROM opened
 ), done AS (SELECT *, copies + CASE WHEN source_size = 0 OR target / source_size <= copies THEN 0 WHEN fits THEN (had <= open)::INT ELSE take END AS c FROM second)
 SELECT doc_id, size, source_size, target, (c * size)::BIGINT AS taken, source, c::INT AS copies FROM done""",
+    "op11_spelling_variants": """
+WITH RECURSIVE bits AS (
+  SELECT n AS id, n::BIGINT AS c, 0 AS k FROM range(256) t(n)
+  UNION ALL SELECT id, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY id) AS t FROM bits WHERE k = 8),
+found AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents),
+runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM found WHERE length(r) >= 6 GROUP BY ALL
+), hashed AS (
+  SELECT run, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx, t,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, len(hx), 2), lambda i: ('0x' || substr(hx, i + 1, 2))::BIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM runs, crc
+), words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(c)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(c) >= 5
+), cuts AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, unnest(range(length(word)))::INT AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT word, cut FROM cuts WHERE cut IN (SELECT word FROM words)
+  UNION SELECT cut, word FROM cuts WHERE cut IN (SELECT word FROM words)
+), near AS (
+  SELECT a AS word, count(*) AS n_near, min(struct_pack(less := -n, b := b)) AS best FROM pairs JOIN words ON b = words.word GROUP BY a
+), forms AS (
+  SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.less >= 5 * n THEN best.b END AS form,
+    CASE WHEN -best.less >= 5 * n THEN -best.less END::BIGINT AS form_n FROM words LEFT JOIN near USING (word)
+), ways AS (
+  SELECT word, word AS here, form AS ahead FROM forms UNION ALL SELECT ways.word, forms.word, form FROM ways JOIN forms ON ahead = forms.word
+)
+SELECT word, form, here AS root, n, n_near, form_n FROM forms JOIN ways USING (word) WHERE ahead IS NULL""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
