@@ -697,6 +697,8 @@ _put("stream_new_addresses", """SELECT DISTINCT src_ip AS ip FROM activity
     WHERE regexp_matches(src_ip, '^(10|192[.]168|172[.](1[6-9]|2[0-9]|3[01]))[.]') AND src_ip NOT IN (SELECT ip FROM known)""")
 _put("stream_sightings", """SELECT DISTINCT src_ip AS ip FROM activity WHERE (source_tool = 'suricata' OR log_type = 'conn')
     AND regexp_matches(src_ip, '^(10|192[.]168|172[.](1[6-9]|2[0-9]|3[01]))[.]') AND src_ip NOT IN (SELECT ip FROM known)""")
+_put("stream_tail_files", """SELECT source_tool, log_type, count(*) AS rows, min(timestamp) AS oldest, max(timestamp) AS newest
+    FROM activity WHERE timestamp >= TIMESTAMP '2024-01-16' GROUP BY 1, 2""")
 _put("stream_trailing_stats", f"""
     SELECT orig_h AS ip, w AS window_start, w + INTERVAL 6 HOUR AS window_end, CAST(sum({BYTES}) AS DOUBLE) AS bytes_5min,
         CAST(count(*) AS DOUBLE) AS conns_5min, CAST(count(DISTINCT resp_h) AS DOUBLE) AS dest_ips

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
@@ -20,7 +21,7 @@ from ..operators import baselines as B
 from ..operators import correlate, cooldown, detectors, enrich, inventory, maintenance, rules, silver, similarity
 from ..session import scratch_dir
 from ..streaming import jobs, live
-from ..sources import event_files, lookups, scans, tables
+from ..sources import event_files, lookups, scans, tables, tail
 from . import analyst
 from .panels import PANELS
 
@@ -985,6 +986,43 @@ def stream_sightings(spark, sf_dir):
     return _drained(spark, live.new_addresses(live.sightings(lines), _known(spark, sf_dir)).select("ip"))
 
 
+def _write_logs(lines: DataFrame, root: str) -> None:
+    """Each `file` below the folder `root` anew, from its lines in the order of `place`; readers see it whole."""
+    import pyarrow as pa
+    import pyarrow.fs as fs
+
+    def write(rows: pa.Table) -> pa.Table:
+        store, at = fs.FileSystem.from_uri(f"{root}/{rows.column('file')[0].as_py()}")
+        rows = rows.sort_by([("place", "ascending"), ("value", "ascending")])
+        store.create_dir(at.rpartition("/")[0])
+        fresh = f"{at}.{uuid.uuid4().hex}"
+        with store.open_output_stream(fresh) as out:
+            out.write("".join(f"{v}\n" for v in rows.column("value").to_pylist()).encode())
+        store.move(fresh, at)
+        return pa.table({"n": pa.array([rows.num_rows], pa.int64())})
+
+    lines.select("file", "place", "value").groupBy("file").applyInArrow(write, "n BIGINT").agg(F.sum("n")).first()
+
+
+@query("stream_tail_files")
+def stream_tail_files(spark, sf_dir):
+    """Sensor logs that grow between two looks at them: what is there before the first look is not read, and after the
+    second one exactly the lines of the second half of the month are."""
+    base = scratch_dir(spark, "tail")
+    late = F.col("timestamp") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    name = F.concat("source_tool", F.lit("/"), "log_type", F.lit("."), F.hour("timestamp").cast("string"), F.lit(".log"))
+    lines = A.raw_events(spark, sf_dir).select(name.alias("file"), late.alias("place"), F.col("raw").alias("value"))
+    for grown in (lines.filter("NOT place"), lines):
+        _write_logs(grown, f"{base}/logs")
+        found = tail.tail_lines(spark, f"{base}/logs", "*.log")
+        jobs.append_to_table(found, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    stored = spark.read.schema(tail.TAIL_SCHEMA).parquet(f"{base}/table")
+    parts = F.split(F.substring_index("source_file", "/", -2), "[/.]")
+    time = F.get_json_object("value", "$.timestamp").cast("timestamp").cast("timestamp_ntz")
+    return stored.groupBy(parts[0].alias("source_tool"), parts[1].alias("log_type")).agg(
+        F.count("*").alias("rows"), F.min(time).alias("oldest"), F.max(time).alias("newest"))
+
+
 @query("stream_trailing_stats")
 def stream_trailing_stats(spark, sf_dir):
     return _drained(spark, live.trailing_stats(A.silver_stream(spark, sf_dir, "conn"), "6 hours", "2 hours"))
