@@ -407,6 +407,19 @@ _put("rules_latest_per_sid", """SELECT sid, msg, classtype, chunk_text FROM rule
     QUALIFY row_number() OVER (PARTITION BY sid ORDER BY position DESC) = 1""")
 _put("rules_stale_index", """SELECT '2024-01-31 00:00:00' AS rules_mtime, '2024-01-30 00:00:00' AS indexed_mtime,
     true AS stale, count(DISTINCT sid) AS rule_count FROM rule_rows""")
+_LAST_RULE = "QUALIFY row_number() OVER (PARTITION BY sid ORDER BY position DESC) = 1"
+_put("rules_rebuild", f"""
+    SELECT reader, embedded_by, count(*) AS rules, CAST(sum(length(chunk_text)) AS BIGINT) AS characters FROM (
+        SELECT 'old' AS reader, 1 AS embedded_by, chunk_text FROM (SELECT * FROM rule_rows {_LAST_RULE})
+        UNION ALL
+        SELECT 'new', CASE WHEN chunk_text IN (SELECT chunk_text FROM (SELECT * FROM rule_rows {_LAST_RULE})) THEN 1 ELSE 2 END, chunk_text
+        FROM (SELECT sid, CASE WHEN position % 7 = 0 THEN replace(chunk_text, 'Rule about', 'New rule about') ELSE chunk_text END AS chunk_text
+              FROM rule_rows WHERE position % 9 <> 0 {_LAST_RULE}))
+    GROUP BY 1, 2""")
+_put("rules_embed_batches", f"""
+    SELECT sid, CASE WHEN length(chunk_text) % 11 <> 0 THEN CAST(length(chunk_text) AS INT) END AS length,
+        CASE WHEN length(chunk_text) % 11 = 0 THEN 'ValueError: a text of this length is refused' END AS embedding_error
+    FROM (SELECT * FROM rule_rows {_LAST_RULE})""")
 _put("rules_term_vectors", """SELECT DISTINCT sid, 256 AS dims, CAST(1.0 AS DOUBLE) AS length FROM rule_rows""")
 _TARGET = "'10.0.' || (o_custkey % 256) || '.0/24'"
 _put("scan_json_ports", f"""

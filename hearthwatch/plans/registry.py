@@ -18,7 +18,7 @@ from ..functions.text import mac_prefix, masked_mac
 from ..functions.timing import back, instant
 from ..functions.vectors import cosine
 from ..operators import baselines as B
-from ..operators import correlate, cooldown, detectors, enrich, inventory, maintenance, rules, silver, similarity
+from ..operators import correlate, cooldown, detectors, enrich, inventory, maintenance, rule_index, rules, silver, similarity
 from ..session import scratch_dir
 from ..streaming import jobs, live
 from ..sources import event_files, lookups, scans, tables, tail
@@ -307,6 +307,40 @@ def rules_stale_index(spark, sf_dir):
     return rules.stale_index(lines, meta).withColumn("rule_count", count.scalar().cast("bigint"))
 
 
+@query("rules_rebuild")
+def rules_rebuild(spark, sf_dir):
+    """An index built twice: in between, every seventh document's rule got another text and every ninth one went.
+
+    Vectors name the build that made them, so they show which texts were embedded again; a reader that was there before
+    the second build still sees the first one.
+    """
+    def embedder(build):
+        return lambda texts: [[build, len(t)] for t in texts]
+
+    index = rule_index.IndexFolder(spark, scratch_dir(spark, "index"))
+    lines = _rule_lines(spark, sf_dir)
+    rule_index.rebuild(index, lines, embedder(1.0))
+    before = index.searchable()
+    text = F.when(F.col("position") % 7 == 0, F.replace("value", F.lit("Rule about"), F.lit("New rule about"))).otherwise(F.col("value"))
+    later = lines.filter("position % 9 <> 0").withColumn("value", text).withColumn("modified_at", F.col("modified_at") + F.expr("INTERVAL 1 HOUR"))
+    rule_index.rebuild(index, later, embedder(2.0))
+    seen = before.withColumn("reader", F.lit("old")).unionByName(index.searchable().withColumn("reader", F.lit("new")))
+    return seen.groupBy("reader", F.get("embedding", F.lit(0)).cast("int").alias("embedded_by")).agg(
+        F.count("*").alias("rules"), F.sum(F.get("embedding", F.lit(1)).cast("bigint")).alias("characters"))
+
+
+@query("rules_embed_batches")
+def rules_embed_batches(spark, sf_dir):
+    """Rules embedded by a function that refuses some texts: those stay without a vector and say why."""
+    def embed(texts):
+        if any(len(t) % 11 == 0 for t in texts):
+            raise ValueError("a text of this length is refused")
+        return [[len(t), 1.0] for t in texts]
+
+    found = similarity.with_embeddings(rules.latest_rules(rules.parsed_rules(_rule_lines(spark, sf_dir))), embed, 1)
+    return found.select("sid", F.get("embedding", F.lit(0)).cast("int").alias("length"), "embedding_error")
+
+
 @query("rules_term_vectors")
 def rules_term_vectors(spark, sf_dir):
     indexed = similarity.with_term_vectors(rules.latest_rules(rules.parsed_rules(_rule_lines(spark, sf_dir))))

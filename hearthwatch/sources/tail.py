@@ -52,7 +52,7 @@ def _head(file, size: int) -> int:
 
 
 @dataclass
-class Piece(InputPartition):
+class Piece:
     """Lines of one file that begin in [start, stop); `first` and `last` bound the batch's part of the file."""
 
     path: str
@@ -66,6 +66,13 @@ class Piece(InputPartition):
     last: int
 
 
+@dataclass
+class Pieces(InputPartition):
+    """What one task reads: small files together, large ones in pieces."""
+
+    pieces: list[Piece]
+
+
 class LogTailReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.root = options["path"].rstrip("/")
@@ -125,14 +132,19 @@ class LogTailReader(DataSourceStreamReader):
         self.before = self._offset(self.before, False)
         return self.before
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
-        self.before = end  # a restarted query plans its last batch again before it asks for the next offset
-        pieces = []
+    def partitions(self, start: dict, end: dict) -> list[Pieces]:
+        self.before = end  # a restarted query shows its last offset here before it asks for the next one
+        tasks, room = [], 0
         for key, e in end["files"].items():
             first = start["files"].get(key, {"at": 0})["at"]
             for at in range(first, e["at"], self.chunk):
-                pieces.append(Piece(e["path"], e["name"], e["head"], e["head_size"], e["modified"], first, at, min(at + self.chunk, e["at"]), e["at"]))
-        return pieces
+                stop = min(at + self.chunk, e["at"])
+                if stop - at > room:
+                    tasks.append(Pieces([]))
+                    room = self.chunk
+                tasks[-1].pieces.append(Piece(e["path"], e["name"], e["head"], e["head_size"], e["modified"], first, at, stop, e["at"]))
+                room -= stop - at
+        return tasks
 
     def _open(self, piece: Piece):
         """The file of a piece, wherever it is now."""
@@ -150,7 +162,11 @@ class LogTailReader(DataSourceStreamReader):
             raise FileNotFoundError(f"{piece.path} was removed or cut off before its lines up to {piece.last} were read")
         return None
 
-    def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        for piece in partition.pieces:
+            yield from self._lines(piece)
+
+    def _lines(self, piece: Piece) -> Iterator[pa.RecordBatch]:
         file = self._open(piece)
         if file is None:
             return
@@ -186,7 +202,7 @@ def tail_lines(spark: SparkSession, root: str, files: str = "*", start_at: str =
     there when the query first starts are read from their end on, unless `start_at` is "start"; files that come later are
     read from their beginning. Lines keep the name under which their file was first seen. Blank lines are left out, and a
     line is read once its end is written. Each batch takes up to `max_bytes_per_file` of a file, dealt to tasks in pieces
-    of `chunk_bytes`. If a file is gone before what it held was read, the query fails, or skips it if told so.
+    of `chunk_bytes`, small files together. If a file is gone before what it held was read, the query fails, or skips it if told so.
     """
     spark.dataSource.register(LogTail)
     return (
