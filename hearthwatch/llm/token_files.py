@@ -20,8 +20,9 @@ from hearthwatch.llm.base import byte_slices, texts_of
 from hearthwatch.session import scratch_dir
 
 END = 0  # fixed value: the id behind each document
-CHUNKS = 200_000  # encoded chunks in each of the two generations that a worker keeps
+CHUNKS = 150_000  # encoded chunks in each of the two generations that a worker keeps
 CHUNK_LENGTH = 64  # longer chunks are not kept
+GROUP = 1 << 17  # characters that the library encodes at once (a longer text comes alone)
 LAYOUT = {
     "compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "1000",
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
@@ -52,8 +53,16 @@ class ChunkEncoder:
         self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        """Ids of texts; the library sees few at a time, since what it returns is far larger than the ids."""
+        out, group, size = [], [], 0
+        for text in [*texts, None]:
+            if text is None or size > GROUP:
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(group, add_special_tokens=False)]
+                group, size = [], 0
+            if text is not None:
+                group.append(text)
+                size += len(text) + 8
+        return out
 
     def chunks(self, text: str) -> list[str] | None:
         """Chunks of a text, or None if it has to be encoded whole."""
