@@ -31,6 +31,7 @@ class Settings:
     fanout_cooldown_min: int = 60
     ema_alpha: float = 0.3
     retention_hours: int = 72
+    compact_every: int = 100  # cycles between two compactions of the stored batches; 0 for none
     # look-back windows; the hourly average is split into `trend / recent` slices
     recent: str = "5 minutes"
     trend: str = "1 hour"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.ip import is_home_lan
-from ..functions.timing import bucket, instant, within
+from ..functions.timing import bucket, instant, recent_rows, within
 from .inventory import byte_total
 
 METRICS = (
@@ -26,9 +26,37 @@ def _with_stats(grouped):
     )
 
 
+def source_totals(conn: DataFrame, as_of, settings: Settings = Settings()) -> DataFrame:
+    """What every detector of a tick needs about each source (NULL included), in one pass over the trend period:
+    connections, bytes and distinct destinations of the last window, and connections of the whole period.
+
+    The first grouping keys on the destination too, so that the distinct count needs no set per source.
+    """
+    recent = within(F.col("timestamp"), as_of, settings.recent)
+    met = recent_rows(conn, as_of, settings.trend).groupBy(
+        F.col("orig_h").alias("ip"), F.when(recent, F.col("resp_h")).alias("resp_h")
+    ).agg(
+        F.count_if(recent).alias("conns"), F.sum(F.when(recent, byte_total())).alias("total_bytes"), F.count("*").alias("trend_conns"),
+    )
+    return met.groupBy("ip").agg(
+        F.sum("conns").alias("conns"), F.sum("total_bytes").alias("total_bytes"), F.count("resp_h").alias("dest_ips"),
+        F.sum("trend_conns").alias("trend_conns"),
+    )
+
+
+def stats_of(totals: DataFrame, lan_only: bool = True) -> DataFrame:
+    """`recent_stats` from `source_totals`."""
+    active = totals.filter("conns > 0")
+    active = active.filter(is_home_lan(F.col("ip"))) if lan_only else active.filter("ip IS NOT NULL")
+    return active.select(
+        "ip", F.col("total_bytes").cast("double").alias("bytes_5min"), F.col("conns").cast("double").alias("conns_5min"),
+        F.col("dest_ips").cast("double").alias("dest_ips"),
+    )
+
+
 def recent_stats(conn: DataFrame, as_of, settings: Settings = Settings(), lan_only: bool = True) -> DataFrame:
     """Bytes, connections and distinct destinations per device in the last window."""
-    recent = conn.filter(within(F.col("timestamp"), as_of, settings.recent))
+    recent = recent_rows(conn, as_of, settings.recent)
     recent = recent.filter(is_home_lan(F.col("orig_h"))) if lan_only else recent.filter("orig_h IS NOT NULL")
     return _with_stats(recent.groupBy(F.col("orig_h").alias("ip")))
 

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..config import MIB, Settings
 from ..functions.ip import is_private_host
 from ..functions.text import one_decimal
-from ..functions.timing import instant, within
-from .baselines import recent_stats, updated_baselines
+from ..functions.timing import instant, recent_rows, within
+from .baselines import recent_stats, source_totals, stats_of, updated_baselines
 from .cooldown import throttled_by_key, throttled_by_type
-from .inventory import byte_total
+from .inventory import byte_total, with_client_lists
 from .silver import SensorTables
 
 ANOMALY_COLUMNS = ["anomaly_type", "dedup_key", "severity", "summary", "details", "detected_at"]
@@ -53,11 +53,13 @@ def traffic_spike(conn: DataFrame, anomalies: DataFrame, as_of, settings: Settin
     Both periods are counted per source; the network totals and the top talkers come from those counts.
     """
     recent = within(F.col("timestamp"), as_of, settings.recent)
-    per_source = (
-        conn.filter(within(F.col("timestamp"), as_of, settings.trend))
-        .groupBy(F.col("orig_h").alias("ip"))
-        .agg(F.count_if(recent).alias("conns"), F.count("*").alias("trend_conns"))
-    )
+    counts = recent_rows(conn, as_of, settings.trend).groupBy(F.col("orig_h").alias("ip")).agg(
+        F.count_if(recent).alias("conns"), F.count("*").alias("trend_conns"))
+    return spikes_of(counts, anomalies, as_of, settings)
+
+
+def spikes_of(per_source: DataFrame, anomalies: DataFrame, as_of, settings: Settings = Settings()) -> DataFrame:
+    """`traffic_spike` from counts (ip, conns, trend_conns)."""
     totals = per_source.agg(F.sum("conns").alias("current"), F.sum("trend_conns").alias("trend"))
     talkers = (
         per_source.filter("conns > 0").orderBy(F.desc("conns"), "ip").limit(settings.spike_top_talkers)
@@ -95,8 +97,7 @@ def traffic_spike(conn: DataFrame, anomalies: DataFrame, as_of, settings: Settin
 def alert_groups(alerts: DataFrame, as_of, settings: Settings = Settings()) -> DataFrame:
     """Recent severe alerts per signature, category, source and destination."""
     return (
-        alerts.filter(F.col("log_type") == "eve")
-        .filter(within(F.col("timestamp"), as_of, settings.recent))
+        recent_rows(alerts, as_of, settings.recent).filter(F.col("log_type") == "eve")
         .filter(F.col("severity") <= settings.alert_max_severity)
         .groupBy("signature", "category", "src_ip", "dest_ip")
         .agg(
@@ -133,8 +134,11 @@ def severe_alerts(alerts: DataFrame, anomalies: DataFrame, as_of, settings: Sett
 
 
 def watched_countries(external_ips: DataFrame, anomalies: DataFrame, as_of,
-                      settings: Settings = Settings()) -> DataFrame:
-    """Busiest external hosts in watch-list countries; an empty list switches the detector off."""
+                      settings: Settings = Settings(), clients: DataFrame | None = None) -> DataFrame:
+    """Busiest external hosts in watch-list countries; an empty list switches the detector off.
+
+    With the edges `clients` (`inventory.external_clients`), lists of clients are made for the hosts found only.
+    """
     countries = [c for c in settings.watch_countries if c]
     watched = external_ips.filter(F.col("country").isin(countries) & (F.col("total_conns") > 0))
     watched = watched.withColumn("dedup_key", F.col("ip"))
@@ -142,6 +146,8 @@ def watched_countries(external_ips: DataFrame, anomalies: DataFrame, as_of,
     top = throttled_by_key(watched, anomalies, "suspicious_country", settings.country_cooldown_min, as_of)
     if settings.country_top is not None:
         top = top.orderBy(F.desc("total_conns"), "ip").limit(settings.country_top)
+    if clients is not None:
+        top = with_client_lists(top, clients)
     summary = F.concat(
         F.lit("Traffic to suspicious country: "), "ip", F.lit(" ("), "country", F.lit(") — "),
         F.col("total_conns").cast("string"), F.lit(" connections"),
@@ -152,12 +158,15 @@ def watched_countries(external_ips: DataFrame, anomalies: DataFrame, as_of,
 
 def massive_volume(conn: DataFrame, anomalies: DataFrame, as_of, settings: Settings = Settings()) -> DataFrame:
     """Sources that moved more than the threshold in the last window."""
-    heavy = (
-        conn.filter(within(F.col("timestamp"), as_of, settings.recent))
-        .groupBy(F.col("orig_h").alias("ip"))
-        .agg(F.sum(byte_total()).alias("total_bytes"), F.count("*").alias("connections"))
-        .filter(F.col("total_bytes") > settings.volume_threshold_mb * MIB)
-    )
+    totals = recent_rows(conn, as_of, settings.recent).groupBy(F.col("orig_h").alias("ip")).agg(
+        F.sum(byte_total()).alias("total_bytes"), F.count("*").alias("conns"))
+    return volumes_of(totals, anomalies, as_of, settings)
+
+
+def volumes_of(totals: DataFrame, anomalies: DataFrame, as_of, settings: Settings = Settings()) -> DataFrame:
+    """`massive_volume` from totals (ip, total_bytes, conns)."""
+    heavy = totals.filter(F.col("total_bytes") > settings.volume_threshold_mb * MIB).select(
+        "ip", "total_bytes", F.col("conns").alias("connections"))
     if settings.volume_top is not None:
         heavy = heavy.orderBy(F.desc("total_bytes"), "ip").limit(settings.volume_top)
     heavy = throttled_by_type(heavy, anomalies, "massive_volume", settings.volume_cooldown_min, as_of)
@@ -177,9 +186,15 @@ def _ratio(now: str, average: str) -> Column:
 def device_behavior(conn: DataFrame, baselines: DataFrame, anomalies: DataFrame, as_of,
                     settings: Settings = Settings()) -> DataFrame:
     """Devices far above their own baseline in bytes or connections."""
+    return behaviors_of(recent_stats(conn, as_of, settings, lan_only=False), baselines, anomalies, as_of, settings)
+
+
+def behaviors_of(stats: DataFrame, baselines: DataFrame, anomalies: DataFrame, as_of,
+                 settings: Settings = Settings()) -> DataFrame:
+    """`device_behavior` from the last window's statistics."""
     mature = baselines.filter((F.col("samples") >= settings.min_samples) & (F.col("avg_bytes_5min") > 0))
     scored = (
-        mature.join(recent_stats(conn, as_of, settings, lan_only=False), "ip")
+        mature.join(stats, "ip")
         .filter("bytes_5min <> 0")
         .withColumn("bytes_ratio", _ratio("bytes_5min", "avg_bytes_5min"))
         .withColumn("conns_ratio", _ratio("conns_5min", "avg_conns_5min"))
@@ -212,9 +227,15 @@ def device_behavior(conn: DataFrame, baselines: DataFrame, anomalies: DataFrame,
 def destination_fanout(conn: DataFrame, baselines: DataFrame, anomalies: DataFrame, as_of,
                        settings: Settings = Settings()) -> DataFrame:
     """Devices that suddenly reach many more distinct hosts than usual."""
+    return fanouts_of(recent_stats(conn, as_of, settings, lan_only=False), baselines, anomalies, as_of, settings)
+
+
+def fanouts_of(stats: DataFrame, baselines: DataFrame, anomalies: DataFrame, as_of,
+               settings: Settings = Settings()) -> DataFrame:
+    """`destination_fanout` from the last window's statistics."""
     mature = baselines.filter((F.col("samples") >= settings.min_samples) & (F.col("avg_dest_ips") > 0))
     scored = (
-        mature.join(recent_stats(conn, as_of, settings, lan_only=False), "ip")
+        mature.join(stats, "ip")
         .filter(F.col("dest_ips") >= settings.fanout_min_ips)
         .withColumn("ratio", _ratio("dest_ips", "avg_dest_ips"))
         .filter(F.col("ratio") >= settings.fanout_ratio)
@@ -238,9 +259,7 @@ def destination_fanout(conn: DataFrame, baselines: DataFrame, anomalies: DataFra
 
 def first_sight(conn: DataFrame, known: DataFrame, as_of, settings: Settings = Settings()) -> DataFrame:
     """Private sources of the last minutes that are not registered yet, with the MAC of their newest event."""
-    recent = conn.filter(within(F.col("timestamp"), as_of, settings.first_sight)).filter(
-        is_private_host(F.col("orig_h"))
-    )
+    recent = recent_rows(conn, as_of, settings.first_sight).filter(is_private_host(F.col("orig_h")))
     sources = (
         recent.groupBy(F.col("orig_h").alias("ip"), "mac").agg(F.max("timestamp").alias("seen"))
         .groupBy("ip").agg(F.max(F.struct("seen", "mac"))["mac"].alias("mac"))
@@ -302,26 +321,30 @@ def fast_alert_texts(queue: DataFrame) -> DataFrame:
 
 
 def detect_all(tables: SensorTables, known: DataFrame, baselines: DataFrame, anomalies: DataFrame, as_of,
-               settings: Settings = Settings(), baseline: str = "previous") -> DataFrame:
+               settings: Settings = Settings(), baseline: str = "previous", totals: DataFrame | None = None,
+               clients: DataFrame | None = None) -> DataFrame:
     """All seven detectors of one tick in stored form.
 
+    Four of them read `totals`, the tick's `source_totals`: give a stored one, or it is computed here. With `clients`
+    (see `watched_countries`) the external hosts need no lists of clients.
+
     `baseline="previous"` compares a device with its past. `"updated"` folds the current window into the
     baseline first; the ratio then cannot exceed 1/alpha.
     """
     if baseline not in ("previous", "updated"):
         raise ValueError(f"unknown baseline order: {baseline}")
+    totals = source_totals(tables.conn, as_of, settings) if totals is None else totals
+    stats = stats_of(totals, lan_only=False)
     if baseline == "updated":
-        baselines = updated_baselines(
-            baselines, recent_stats(tables.conn, as_of, settings), tables.devices, as_of, settings.ema_alpha
-        )
+        baselines = updated_baselines(baselines, stats_of(totals), tables.devices, as_of, settings.ema_alpha)
     found = [
         new_devices(tables.devices, known, as_of),
-        traffic_spike(tables.conn, anomalies, as_of, settings),
+        spikes_of(totals, anomalies, as_of, settings),
         severe_alerts(tables.alerts, anomalies, as_of, settings),
-        watched_countries(tables.external_ips, anomalies, as_of, settings),
-        massive_volume(tables.conn, anomalies, as_of, settings),
-        device_behavior(tables.conn, baselines, anomalies, as_of, settings),
-        destination_fanout(tables.conn, baselines, anomalies, as_of, settings),
+        watched_countries(tables.external_ips, anomalies, as_of, settings, clients),
+        volumes_of(totals, anomalies, as_of, settings),
+        behaviors_of(stats, baselines, anomalies, as_of, settings),
+        fanouts_of(stats, baselines, anomalies, as_of, settings),
     ]
     result = stored_form(found[0])
     for part in found[1:]:

@@ -26,9 +26,12 @@ def spread_nulls(missing: Column, *by: str) -> Column:
 
 
 def with_vendor(df: DataFrame, vendors: DataFrame, mac: str = "mac") -> DataFrame:
-    """Left join on the MAC's vendor prefix; adds `manufacturer`."""
-    lookup = vendors.select(F.col("oui_prefix").alias("_prefix"), "manufacturer")
-    return df.withColumn("_prefix", mac_prefix(F.col(mac))).join(lookup, "_prefix", "left").drop("_prefix")
+    """Left join on the MAC's vendor prefix; adds `manufacturer`. Rows without a MAC match nothing and are scattered."""
+    lookup = vendors.filter("oui_prefix <> ''").select(F.col("oui_prefix").alias("_prefix"), "manufacturer", F.lit(0).alias("_spread"))
+    prefix = F.nullif(mac_prefix(F.col(mac)), F.lit(""))
+    keyed = df.withColumn("_prefix", prefix)
+    keyed = keyed.withColumn("_spread", spread_nulls(F.col("_prefix").isNull(), *df.columns))
+    return keyed.join(lookup, ["_prefix", "_spread"], "left").drop("_prefix", "_spread")
 
 
 def range_buckets(ranges: DataFrame) -> DataFrame:

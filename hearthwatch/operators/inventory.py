@@ -20,11 +20,14 @@ def byte_total() -> Column:
     return or_zero(F.col("orig_bytes")) + or_zero(F.col("resp_bytes"))
 
 
-def source_profile(conn: DataFrame) -> DataFrame:
-    """Private sources by (ip, mac, proto, service): the shared first step of the device summaries."""
+def source_profile(conn: DataFrame, *parts: Column) -> DataFrame:
+    """Private sources by (ip, mac, proto, service): the shared first step of the device summaries.
+
+    With further keys `parts` these are partial profiles; any union of them folds to the same summaries.
+    """
     return (
         conn.filter(is_private(F.col("orig_h")))
-        .groupBy(F.col("orig_h").alias("ip"), "mac", "proto", "service")
+        .groupBy(*parts, F.col("orig_h").alias("ip"), "mac", "proto", "service")
         .agg(
             F.min("timestamp").alias("first_seen"),
             F.max("timestamp").alias("last_seen"),
@@ -60,15 +63,23 @@ def latest_mac(profile: DataFrame) -> DataFrame:
     )
 
 
-def latest_lease(dhcp: DataFrame) -> DataFrame:
-    """MAC and host name of the newest lease per address (the name may be NULL there)."""
-    renewals = (
+def lease_profile(dhcp: DataFrame, *parts: Column) -> DataFrame:
+    """Last renewal by (ip, mac, host name), in parts if further keys are given."""
+    return (
         dhcp.filter("assigned_addr IS NOT NULL")
-        .groupBy(F.col("assigned_addr").alias("ip"), "mac", "host_name")
+        .groupBy(*parts, F.col("assigned_addr").alias("ip"), "mac", "host_name")
         .agg(F.max("timestamp").alias("leased_at"))
     )
+
+
+def latest_lease(dhcp: DataFrame) -> DataFrame:
+    """MAC and host name of the newest lease per address (the name may be NULL there)."""
+    return latest_of(lease_profile(dhcp))
+
+
+def latest_of(leases: DataFrame) -> DataFrame:
     return (
-        renewals.groupBy("ip")
+        leases.groupBy("ip")
         .agg(F.max(F.struct("leased_at", "mac", "host_name")).alias("l"))
         .select(
             "ip", F.col("l.mac").alias("lease_mac"), F.col("l.host_name").alias("hostname"),
@@ -84,21 +95,26 @@ def ip_totals(profile: DataFrame) -> DataFrame:
 
 def device_inventory(conn: DataFrame, dhcp: DataFrame, vendors: DataFrame) -> DataFrame:
     """One row per private source address: totals, protocol and service lists, MAC, host name, vendor."""
+    return devices_of(source_profile(conn), lease_profile(dhcp), vendors)
+
+
+def devices_of(sources: DataFrame, leases: DataFrame, vendors: DataFrame) -> DataFrame:
+    """The device inventory from profiles, which may be partial ones."""
     newest = F.max(F.when(F.col("mac") != "", F.struct("last_seen", "mac")))["mac"]
-    devices = source_profile(conn).groupBy("ip").agg(*_folded(), newest.alias("conn_mac"))
-    named = devices.join(latest_lease(dhcp), "ip", "left").withColumn("mac", F.coalesce("conn_mac", "lease_mac"))
+    devices = sources.groupBy("ip").agg(*_folded(), newest.alias("conn_mac"))
+    named = devices.join(latest_of(leases), "ip", "left").withColumn("mac", F.coalesce("conn_mac", "lease_mac"))
     return with_vendor(named, vendors).select(
         "ip", "mac", "manufacturer", "hostname", "first_seen", "last_seen", "total_conns", "total_bytes",
         "protocols", "services",
     )
 
 
-def external_profile(conn: DataFrame) -> DataFrame:
-    """External destinations by (ip, client, service, port)."""
+def external_profile(conn: DataFrame, *parts: Column) -> DataFrame:
+    """External destinations by (ip, client, service, port), in parts if further keys are given."""
     return (
         conn.filter(is_external(F.col("resp_h")))
         .groupBy(
-            F.col("resp_h").alias("ip"), F.col("orig_h").alias("client"), "service",
+            *parts, F.col("resp_h").alias("ip"), F.col("orig_h").alias("client"), "service",
             to_int(F.col("resp_p")).alias("port"),
         )
         .agg(F.count("*").alias("conns"), F.sum(byte_total()).alias("bytes"))
@@ -110,31 +126,43 @@ def most_frequent(value: str, weight: str, where: Column) -> Column:
     return F.min(F.when(where & F.col(value).isNotNull(), F.struct(-F.col(weight), F.col(value))))[value]
 
 
-def external_totals(conn: DataFrame) -> DataFrame:
-    """One row per external address without its country.
+def external_clients(profile: DataFrame) -> DataFrame:
+    """Edges (ip, client): which internal host met which external address, with connections and bytes.
 
-    The profile is regrouped by client, by service and by port in one pass of grouping sets; each of those
-    groupings keys on the address *and* the facet, so an address that draws a third of the traffic is spread
-    over many tasks. The last grouping sees one row per facet value.
+    This is what grows with the traffic; an address with very many clients is many rows here, not one long text.
     """
-    facets = external_profile(conn).groupingSets(
-        [["ip", "client"], ["ip", "service"], ["ip", "port"]], "ip", "client", "service", "port"
-    ).agg(
+    return profile.filter("client IS NOT NULL").groupBy("ip", "client").agg(F.sum("conns").alias("conns"), F.sum("bytes").alias("bytes"))
+
+
+def external_totals(profile: DataFrame) -> DataFrame:
+    """One row per external address from its profile, without country and clients.
+
+    The profile is regrouped by address, by service and by port in one pass of grouping sets; the latter two key on the
+    address *and* the facet. The last grouping sees one row per facet value.
+    """
+    facets = profile.groupingSets([["ip"], ["ip", "service"], ["ip", "port"]], "ip", "service", "port").agg(
         F.grouping_id().alias("facet"), F.sum("conns").alias("conns"), F.sum("bytes").alias("bytes"),
     )
     # grouping ids of the three sets above
-    by_client, by_service, by_port = (F.col("facet") == n for n in (3, 5, 6))
+    whole, by_service, by_port = (F.col("facet") == n for n in (3, 1, 2))
     return facets.groupBy("ip").agg(
-        F.sum(F.when(by_client, F.col("conns"))).alias("total_conns"),
-        F.sum(F.when(by_client, F.col("bytes"))).alias("total_bytes"),
-        sorted_list(F.collect_list(F.when(by_client, F.col("client")))).alias("contacted_by"),
+        F.max(F.when(whole, F.col("conns"))).alias("total_conns"),
+        F.max(F.when(whole, F.col("bytes"))).alias("total_bytes"),
         most_frequent("service", "conns", by_service).alias("top_service"),
         most_frequent("port", "conns", by_port).alias("top_dest_port"),
     )
 
 
+def with_client_lists(externals: DataFrame, clients: DataFrame) -> DataFrame:
+    """For display: addresses with their clients as one ordered text. Only the addresses given are listed."""
+    lists = clients.join(externals.select("ip"), "ip", "left_semi").groupBy("ip").agg(
+        sorted_list(F.collect_set("client")).alias("contacted_by"))
+    return externals.join(lists, "ip", "left")
+
+
 def external_inventory(conn: DataFrame, ranges: DataFrame) -> DataFrame:
-    """One row per external address with its country."""
-    return with_country(external_totals(conn), ranges).select(
+    """One row per external address with its country and, for display, its clients."""
+    profile = external_profile(conn)
+    return with_client_lists(with_country(external_totals(profile), ranges), external_clients(profile)).select(
         "ip", "country", "total_conns", "total_bytes", "contacted_by", "top_service", "top_dest_port"
     )

@@ -1,4 +1,4 @@
-"""Typed tables cut from `events.raw`: each payload is parsed once, with only the needed leaves."""
+"""Typed tables cut from the events' payloads, with only the needed leaves."""
 
 from __future__ import annotations
 
@@ -7,25 +7,46 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions.payload import to_double, to_int, to_long
 from ..sources.tables import days_between, write_by_day
 
 
+PAYLOAD = "payload"  # column of events that holds the parsed document
+
+
 def _is(tool: str, log: str | None = None) -> Column:
     hit = F.col("source_tool") == tool
     return hit if log is None else hit & (F.col("log_type") == log)
 
 
+def _leaves(payload: Column, fields: StructType, path: str = "$") -> Column:
+    """The wanted leaves of a parsed document as text, in the shape of `fields`."""
+    return F.struct(*[
+        (_leaves(payload, f.dataType, f"{path}['{f.name}']") if isinstance(f.dataType, StructType)
+         else F.try_variant_get(payload, f"{path}['{f.name}']", "string")).alias(f.name)
+        for f in fields.fields
+    ])
+
+
 def _parsed(events: DataFrame, schema: str) -> DataFrame:
+    """Payload leaves as struct `p`: from the parsed `payload` if the events have one, else from their text."""
+    if PAYLOAD in events.columns:
+        return events.withColumn("p", _leaves(F.col(PAYLOAD), StructType.fromDDL(schema)))
     return events.withColumn("p", F.from_json("raw", schema))
 
 
-def conn(events: DataFrame) -> DataFrame:
+def with_payload(events: DataFrame) -> DataFrame:
+    """Events with their text parsed once, to be stored: every table below then reads single fields of it."""
+    return events.withColumn(PAYLOAD, F.try_parse_json("raw"))
+
+
+def conn(events: DataFrame, *keep: str) -> DataFrame:
     """Zeek connections."""
     return _parsed(events.filter(_is("zeek", "conn")), schemas.CONN_PAYLOAD).select(
-        "timestamp",
+        *keep, "timestamp",
         F.col("p.uid").alias("uid"),
         F.col("p.`id.orig_h`").alias("orig_h"),
         F.col("p.`id.resp_h`").alias("resp_h"),
@@ -41,10 +62,10 @@ def conn(events: DataFrame) -> DataFrame:
     )
 
 
-def dhcp(events: DataFrame) -> DataFrame:
+def dhcp(events: DataFrame, *keep: str) -> DataFrame:
     """Zeek DHCP leases."""
     return _parsed(events.filter(_is("zeek", "dhcp")), schemas.DHCP_PAYLOAD).select(
-        "timestamp",
+        *keep, "timestamp",
         F.col("p.assigned_addr").alias("assigned_addr"),
         F.col("p.mac").alias("mac"),
         F.col("p.host_name").alias("host_name"),
@@ -54,13 +75,13 @@ def dhcp(events: DataFrame) -> DataFrame:
     )
 
 
-def alerts(events: DataFrame) -> DataFrame:
+def alerts(events: DataFrame, *keep: str) -> DataFrame:
     """Suricata alerts."""
     return (
         _parsed(events.filter(_is("suricata")), schemas.ALERT_PAYLOAD)
         .filter(F.col("p.event_type") == "alert")
         .select(
-            "timestamp",
+            *keep, "timestamp",
             "log_type",
             F.col("p.alert.signature").alias("signature"),
             F.col("p.alert.category").alias("category"),
@@ -76,14 +97,14 @@ def alerts(events: DataFrame) -> DataFrame:
     )
 
 
-def dns(events: DataFrame) -> DataFrame:
+def dns(events: DataFrame, *keep: str) -> DataFrame:
     """DNS records of both sensors."""
     wanted = _is("zeek", "dns") | (_is("suricata") & (F.col("p.event_type") == "dns"))
     return (
         _parsed(events.filter(_is("zeek", "dns") | _is("suricata")), schemas.DNS_PAYLOAD)
         .filter(wanted)
         .select(
-            "timestamp",
+            *keep, "timestamp",
             "source_tool",
             F.coalesce(F.col("p.dns.rrname"), F.col("p.query")).alias("domain"),
             F.coalesce(F.col("p.dns.rrtype"), F.col("p.qtype_name")).alias("query_type"),
@@ -95,14 +116,14 @@ def dns(events: DataFrame) -> DataFrame:
     )
 
 
-def tls(events: DataFrame) -> DataFrame:
+def tls(events: DataFrame, *keep: str) -> DataFrame:
     """TLS handshakes of both sensors."""
     wanted = _is("zeek", "ssl") | (_is("suricata") & (F.col("p.event_type") == "tls"))
     return (
         _parsed(events.filter(_is("zeek", "ssl") | _is("suricata")), schemas.TLS_PAYLOAD)
         .filter(wanted)
         .select(
-            "timestamp",
+            *keep, "timestamp",
             "source_tool",
             F.coalesce(F.col("p.tls.version"), F.col("p.version")).alias("tls_version"),
             F.col("p.tls.version").alias("eve_version"),
@@ -112,10 +133,10 @@ def tls(events: DataFrame) -> DataFrame:
     )
 
 
-def activity(events: DataFrame) -> DataFrame:
+def activity(events: DataFrame, *keep: str) -> DataFrame:
     """Every event with the few fields both sensors share."""
     return _parsed(events, schemas.ACTIVITY_PAYLOAD).select(
-        "timestamp",
+        *keep, "timestamp",
         "source_tool",
         "log_type",
         F.col("p.event_type").alias("event_type"),
@@ -127,7 +148,7 @@ def activity(events: DataFrame) -> DataFrame:
     )
 
 
-_BUILDERS = {"conn": conn, "dhcp": dhcp, "alerts": alerts, "dns": dns, "tls": tls, "activity": activity}
+BUILDERS = {"conn": conn, "dhcp": dhcp, "alerts": alerts, "dns": dns, "tls": tls, "activity": activity}
 
 
 def read_silver(spark: SparkSession, root: str, name: str, days: tuple | None = None) -> DataFrame:
@@ -135,7 +156,7 @@ def read_silver(spark: SparkSession, root: str, name: str, days: tuple | None =
 
     `days` is the time range (start, end) that will be asked for: other days are not listed or opened.
     """
-    schema = _BUILDERS[name](spark.createDataFrame([], schemas.EVENTS)).schema.add("event_date", "date")
+    schema = BUILDERS[name](spark.createDataFrame([], schemas.EVENTS)).schema.add("event_date", "date")
     table = spark.read.schema(schema).parquet(f"{root}/{name}")
     return table if days is None else table.filter(days_between(*days))
 
@@ -147,7 +168,7 @@ class SensorTables:
     the tables it touches.
     """
 
-    NAMES = (*_BUILDERS, "devices", "external_ips")
+    NAMES = (*BUILDERS, "devices", "external_ips")
 
     def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
         unknown = set(tables) - set(self.NAMES)
@@ -165,14 +186,14 @@ class SensorTables:
 
     @classmethod
     def from_events(cls, events: DataFrame, **summaries) -> "SensorTables":
-        return cls(**{name: partial(build, events) for name, build in _BUILDERS.items()}, **summaries)
+        return cls(**{name: partial(build, events) for name, build in BUILDERS.items()}, **summaries)
 
     @classmethod
     def from_path(cls, spark: SparkSession, root: str, days: tuple | None = None, **summaries) -> "SensorTables":
-        return cls(**{name: partial(read_silver, spark, root, name, days) for name in _BUILDERS}, **summaries)
+        return cls(**{name: partial(read_silver, spark, root, name, days) for name in BUILDERS}, **summaries)
 
 
 def write_silver(events: DataFrame, root: str, mode: str = "overwrite") -> None:
     """Parse the raw events once per payload kind and store the typed tables by day."""
-    for name, build in _BUILDERS.items():
+    for name, build in BUILDERS.items():
         write_by_day(build(events), f"{root}/{name}", mode)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timing import back, instant, within
+from ..functions.timing import back, instant, recent_rows
 from ..operators.inventory import byte_total
 from ..operators.maintenance import unprocessed, upsert
 from ..operators.silver import SensorTables
@@ -17,7 +17,7 @@ QUERY_VIEWS = ("events", "devices", "external_ips", "oui_lookup", "geoip_lookup"
 
 
 def _recent(df: DataFrame, as_of, hours: int) -> DataFrame:
-    return df.filter(within(F.col("timestamp"), as_of, f"{int(hours)} hours"))
+    return recent_rows(df, as_of, f"{int(hours)} hours")
 
 
 def _first(df: DataFrame, limit: int | None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.ip import is_home_lan, is_lan_or_ten, is_map_internal, is_outside_source
 from ..functions.payload import or_zero, to_int
 from ..functions.text import masked_mac, severity_label, shown
-from ..functions.timing import back, between, bucket, instant
+from ..functions.timing import back, bucket, instant, rows_between
 from ..operators.correlate import newest_alerts_with_flows
 from ..operators.inventory import byte_total, most_frequent
 from ..operators.silver import SensorTables
@@ -38,7 +38,7 @@ def panel(name: str) -> Callable[[Panel], Panel]:
 
 
 def in_range(df: DataFrame, start, end) -> DataFrame:
-    return df.filter(between(F.col("timestamp"), start, end))
+    return rows_between(df, start, end)
 
 
 def how_many(df: DataFrame) -> DataFrame:
