@@ -7,8 +7,9 @@ filters on the document ids let a reader pass over what it does not ask for.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,11 @@ from hearthwatch.llm.base import byte_slices, texts_of
 from hearthwatch.session import scratch_dir
 
 END = 0  # fixed value: the id behind each document
-CHUNKS = 150_000  # encoded chunks in each of the two generations that a worker keeps
-CHUNK_LENGTH = 64  # longer chunks are not kept
+PARTS = 300_000  # parts of texts that a worker keeps in each of two generations, besides those of one slice
+PART_LENGTH = 64  # longer parts are not kept
+WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")  # letters, then ASCII punctuation
+SPACE = re.compile(r"\s")
+LINES = 1000  # words that are encoded as one text
 GROUP = 1 << 17  # characters that the library encodes at once (a longer text comes alone)
 LAYOUT = {
     "compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "1000",
@@ -31,12 +35,12 @@ SCHEMA = "part int, place long, row_start long, doc_id long, n_tokens long, ids
 
 
 class ChunkEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct chunk once.
+    """Ids of whole texts by the tokenizers library, which sees each distinct part of them once.
 
-    A chunk goes from a space to the next one. The tokenizer's pattern lets a space only begin a token or stand in a
-    run of white space, so no token reaches over a space behind a character that is not white space. Texts with a
-    special token's string are encoded whole. Chunks are kept in two generations: those that come again go to the
-    young one, which becomes the old one when it is full.
+    The tokenizer's pattern lets a space only begin a token or stand in a run of white space, so no token reaches over a
+    space behind a character that is not white space. A text is cut there, and its parts are looked up: `inner` knows
+    parts behind a space, `first` those without one. New parts are cut further, at single line ends and between letters
+    and punctuation, which no token holds together. Texts with a special token's string are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,8 +53,9 @@ class ChunkEncoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         by_bytes = isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel) and not self.library.pre_tokenizer.add_prefix_space
         self.splits = by_bytes and self.library.normalizer is None and self.library.post_processor is None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        line_end = self.library.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else None
+        self.inner, self.first = Known(), Known()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of texts; the library sees few at a time, since what it returns is far larger than the ids."""
@@ -64,47 +69,154 @@ class ChunkEncoder:
                 size += len(text) + 8
         return out
 
-    def chunks(self, text: str) -> list[str] | None:
-        """Chunks of a text, or None if it has to be encoded whole."""
-        if not self.splits or any(s in text for s in self.special):
-            return None
+    def words(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of strings without white space, with `lead` before each. Joined by line ends, which are tokens of their
+        own, many are one text."""
+        if self.line_end is None:
+            return self.whole([lead + w for w in words])
+        out = []
+        for k in range(0, len(words), LINES):
+            ids = np.frombuffer(self.whole([lead + f"\n{lead}".join(words[k : k + LINES])])[0], "<u4")
+            cuts = np.flatnonzero(ids == self.line_end) * 4
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)])]
+        return out
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        """Parts of a text that has white space before a space: joined where a token may reach over the space."""
         first, *rest = text.split(" ")
-        out = [first, *[" " + c for c in rest]]
-        # `isspace` covers every character that any definition of white space has
-        if not any(c[-1:].isspace() for c in out[:-1]):
-            return out
-        joined = [out[0]]
-        for c in out[1:]:
-            if joined[-1][-1:].isspace():
-                joined[-1] += c
+        out = [first]
+        for part in rest:
+            # `isspace` covers every character that any definition of white space has
+            if out[-1][-1:].isspace() or not out[-1] and len(out) > 1:
+                out[-1] += " " + part
             else:
-                joined.append(c)
-        return joined
+                out.append(part)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.chunks(t) for t in texts]
-        known: dict[str, bytes] = {"": b""}
-        unknown = []
-        for chunk in set().union(*(p for p in parts if p)):
-            ids = self.young.get(chunk)
+        if not self.splits:
+            return self.whole(texts)
+        out: list[bytes | None] = [None] * len(texts)
+        cut: dict[int, list[str]] = {}  # texts that hold parts not met before
+        whole = []
+        get = self.inner.young.get
+        new: set[str] = set()
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special):
+                whole.append(i)
+                continue
+            head, *parts = text.split(" ")
+            ids = list(map(get, parts))
+            if None in ids:
+                new.update([p for p, k in zip(parts, ids) if k is None])
+            elif ODD not in ids and not head[-1:].isspace():
+                out[i] = self._head(head) + b"".join(ids)
+                continue
+            cut[i] = [head, *parts]
+        known = self._of(new, " ")
+        odd: dict[int, list[str]] = {}
+        for i, (head, *parts) in cut.items():
+            ids = [get(p) or known[p] for p in parts]
+            if ODD in ids or head[-1:].isspace():
+                odd[i] = self.parts(texts[i])
+            else:
+                out[i] = self._head(head) + b"".join(ids)
+        if odd:
+            known = self._of({p for parts in odd.values() for p in parts[1:]}, " ", True)
+            for i, (head, *parts) in odd.items():
+                out[i] = self._head(head) + b"".join([known[p] for p in parts])
+        for i, ids in zip(whole, self.whole([texts[i] for i in whole])):
+            out[i] = ids
+        self.inner.turn()
+        self.first.turn()
+        return out
+
+    def _head(self, part: str) -> bytes:
+        return self._of({part}, "", True)[part]
+
+    def _of(self, parts: set[str], lead: str, last: bool = False) -> dict[str, bytes]:
+        """Ids of parts with `lead` before them. Unless a part is the last one, a token may reach from white space at its
+        end into the next one: then it is marked."""
+        known = self.inner if lead else self.first
+        found, new = known.find(parts)
+        if not last:
+            marked = {p: ODD for p in new if not p or p[-1].isspace()}
+            if marked:
+                known.keep(marked)
+                found |= marked
+                new = [p for p in new if p not in marked]
+        else:  # what was marked in the middle of a text counts at the end of a part
+            marked = {p for p, k in found.items() if k is ODD}
+            for p, ids in zip(marked, self.whole([lead + p for p in marked])):
+                found[p] = ids
+        if new:
+            atoms = [self._atoms(p, lead) for p in new]
+            met: dict[str, dict[str, bytes]] = {}
+            for before, kept in {lead: known, "": self.first}.items():
+                wanted = {a for some in atoms for b, a in some if b == before}
+                have, missing = kept.find(wanted)
+                missing += [a for a, k in have.items() if k is ODD]
+                plain = [a for a in missing if not SPACE.search(a)]
+                spaced = [a for a in missing if SPACE.search(a)]
+                fresh = dict(zip(plain, self.words(plain, before)))
+                kept.keep(fresh)
+                met[before] = have | fresh | dict(zip(spaced, self.whole([before + a for a in spaced])))
+            fresh = {p: met[some[0][0]][some[0][1]] if len(some) == 1 else b"".join([met[b][a] for b, a in some]) for p, some in zip(new, atoms)}
+            if not last:
+                known.keep(fresh)
+            found |= fresh
+        return found
+
+    def _atoms(self, part: str, lead: str) -> list[tuple[str, str]]:
+        """(lead, string) of what a part is cut into."""
+        if "\n" in part:
+            lines = part.split("\n")
+            if self.line_end is None or any(not l or l[0].isspace() or l[-1].isspace() for l in lines):
+                return [(lead, part)]
+            out = self._atoms(lines[0], lead)
+            for line in lines[1:]:
+                out += [("", "\n"), *self._atoms(line, "")]
+            return out
+        word = WORD_AND_MARKS.fullmatch(part)
+        if word is None:
+            return [(lead, part)]
+        return [(lead, word[1]), ("", word[2])] if word[2] else [(lead, part)]
+
+
+ODD = b"odd"  # in place of ids: a part that is empty or ends with white space
+
+
+class Known:
+    """Parts whose ids are kept, in two generations of bounded size: those that come again go to the young one, which
+    becomes the old one when it is full."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, parts: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """Ids of known parts, and the parts that are not known."""
+        young, old = self.young, self.old
+        found, new = {}, []
+        for p in parts:
+            ids = young.get(p)
             if ids is None:
-                ids = self.old.get(chunk)
+                ids = old.get(p)
                 if ids is None:
-                    unknown.append(chunk)
+                    new.append(p)
                     continue
-                self._keep(chunk, ids)
-            known[chunk] = ids
-        for chunk, ids in zip(unknown, self.whole(unknown)):
-            known[chunk] = ids
-            self._keep(chunk, ids)
-        left = iter(self.whole([t for t, p in zip(texts, parts) if p is None]))
-        return [next(left) if p is None else b"".join([known[c] for c in p]) for p in parts]
+                young[p] = ids
+            found[p] = ids
+        return found, new
+
+    def keep(self, ids: dict[str, bytes]) -> None:
+        self.young.update({p: i for p, i in ids.items() if len(p) <= PART_LENGTH})
 
-    def _keep(self, chunk: str, ids: bytes) -> None:
-        if len(chunk) <= CHUNK_LENGTH:
-            if len(self.young) >= CHUNKS:
-                self.old, self.young = self.young, {}
-            self.young[chunk] = ids
+    def turn(self) -> None:
+        if len(self.young) > PARTS:
+            self.old, self.young = self.young, {}
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -119,7 +231,7 @@ def _rows(path: str):
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, ChunkEncoder(path))
         part, place, start = TaskContext.get().partitionId(), 0, 0
         end = np.array([END], "<u4").tobytes()
-        for batch in byte_slices(batches):
+        for batch in byte_slices(batches, limit=8 << 20):
             found = encoder.encode(texts_of(batch))
             sizes = np.array([len(b) // 4 + 1 for b in found], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])
