@@ -23,7 +23,8 @@ from hearthwatch.session import scratch_dir
 END = 0  # fixed value: the id behind each document
 PARTS = 300_000  # parts of texts that a worker keeps in each of two generations, besides those of one slice
 PART_LENGTH = 64  # longer parts are not kept
-WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")  # letters, then ASCII punctuation
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # punctuation that may stand behind a word
+LATIN_END = "\u0250"  # words whose letters come before it are cut from their marks
 SPACE = re.compile(r"\s")
 LINES = 1000  # words that are encoded as one text
 GROUP = 1 << 17  # characters that the library encodes at once (a longer text comes alone)
@@ -152,37 +153,38 @@ class ChunkEncoder:
             for p, ids in zip(marked, self.whole([lead + p for p in marked])):
                 found[p] = ids
         if new:
-            atoms = [self._atoms(p, lead) for p in new]
-            met: dict[str, dict[str, bytes]] = {}
-            for before, kept in {lead: known, "": self.first}.items():
-                wanted = {a for some in atoms for b, a in some if b == before}
-                have, missing = kept.find(wanted)
-                missing += [a for a, k in have.items() if k is ODD]
-                plain = [a for a in missing if not SPACE.search(a)]
-                spaced = [a for a in missing if SPACE.search(a)]
-                fresh = dict(zip(plain, self.words(plain, before)))
-                kept.keep(fresh)
-                met[before] = have | fresh | dict(zip(spaced, self.whole([before + a for a in spaced])))
-            fresh = {p: met[some[0][0]][some[0][1]] if len(some) == 1 else b"".join([met[b][a] for b, a in some]) for p, some in zip(new, atoms)}
+            fresh = self._words(new, lead)
             if not last:
                 known.keep(fresh)
             found |= fresh
         return found
 
-    def _atoms(self, part: str, lead: str) -> list[tuple[str, str]]:
-        """(lead, string) of what a part is cut into."""
-        if "\n" in part:
-            lines = part.split("\n")
-            if self.line_end is None or any(not l or l[0].isspace() or l[-1].isspace() for l in lines):
-                return [(lead, part)]
-            out = self._atoms(lines[0], lead)
-            for line in lines[1:]:
-                out += [("", "\n"), *self._atoms(line, "")]
-            return out
-        word = WORD_AND_MARKS.fullmatch(part)
-        if word is None:
-            return [(lead, part)]
-        return [(lead, word[1]), ("", word[2])] if word[2] else [(lead, part)]
+    def _words(self, parts: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of new parts. Words of letters with marks behind are cut between the two, so that a word is encoded once
+        with whatever marks it stands."""
+        bare, marked, others = set(), [], []
+        for part in parts:
+            word = part.rstrip(MARKS)
+            if not (word.isalpha() and max(word) < LATIN_END):
+                others.append(part)
+            elif len(word) == len(part):
+                bare.add(part)
+            else:
+                bare.add(word)
+                marked.append((part, word))
+        found, words = (self.inner if lead else self.first).find(bare)
+        if words:
+            fresh = dict(zip(words, self.words(words, lead)))
+            (self.inner if lead else self.first).keep(fresh)
+            found |= fresh
+        marks = self._of({part[len(word) :] for part, word in marked}, "", True) if marked else {}
+        for part, word in marked:
+            found[part] = found[word] + marks[part[len(word) :]]
+        plain = [p for p in others if not SPACE.search(p)]
+        found.update(zip(plain, self.words(plain, lead)))
+        spaced = [p for p in others if SPACE.search(p)]
+        found.update(zip(spaced, self.whole([lead + p for p in spaced])))
+        return found
 
 
 ODD = b"odd"  # in place of ids: a part that is empty or ends with white space
@@ -231,7 +233,7 @@ def _rows(path: str):
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, ChunkEncoder(path))
         part, place, start = TaskContext.get().partitionId(), 0, 0
         end = np.array([END], "<u4").tobytes()
-        for batch in byte_slices(batches, limit=8 << 20):
+        for batch in byte_slices(batches, limit=16 << 20):
             found = encoder.encode(texts_of(batch))
             sizes = np.array([len(b) // 4 + 1 for b in found], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -255,9 +257,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str) -> None:
     which also splits an id that many rows share. A NULL or empty text is the end id alone. Texts are shuffled, and
     encoded where their range is written; a row's place and first token in its part are stored with it.
     """
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # the driver gets a sample of these to find the ranges
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ranged.mapInArrow(_rows(tokenizer), SCHEMA).write.options(**LAYOUT).mode("overwrite").orc(path)
 
 
