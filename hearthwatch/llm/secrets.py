@@ -29,7 +29,7 @@ PART = re.compile(r"[A-Za-z0-9]{16,}")
 IDENTIFIER = re.compile(r"[A-Za-z0-9_-]*")
 ASSIGNED = re.compile(r"""["'\])]*\s{0,8}[:=]""")
 REACH = 48  # characters behind the identifier of a sensitive word in which a candidate begins
-WORDS = 8  # sensitive words of one run whose tails are measured, besides the last one's and what stands between two
+WORDS = 8  # sensitive words of one run up to which each one's whole tail is measured too, besides what stands between two words
 PIECE = 1 << 14  # characters of a candidate that are compressed at a time
 AROUND = 2048  # characters of surrounding text on either side that the compressor has seen
 NOVEL = 0.6  # marginal compressed bytes per character, from which a string is new
@@ -72,8 +72,9 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans to be measured, by start and the longer first: behind each sensitive word the rest of its own run, and all
-    runs that begin up to REACH behind its identifier; of each of them also what follows an inner `=`. The rest of an
-    identifier that a value is assigned to is a name, and only measured if it has digits like a secret."""
+    runs that begin up to REACH behind its identifier; of each of them also what follows an inner `=`. What stands between
+    two words of a run is always measured. The rest of an identifier that a value is assigned to is a name, and only
+    measured if it has digits like a secret."""
     found, inside, near = set(), {}, []
     starts = [a for a, _ in runs]
 
@@ -91,14 +92,14 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             near.append(IDENTIFIER.match(text, word.end()).end())
     for k, spans in inside.items():
-        some = spans if len(spans) <= WORDS else [*spans[:WORDS], spans[-1]]
-        for _, end in some:
+        # of a run with very many words the parts between two words are measured, and what follows the last one
+        for _, end in spans if len(spans) <= WORDS else [*spans[:WORDS], spans[-1]]:
             at = IDENTIFIER.match(text, end, runs[k][1]).end()
             if digits(end, at) > 1 or not ASSIGNED.match(text, at):
                 add(end, runs[k][1])
             add(at, runs[k][1])
             near.append(at)
-        found.update((a, b) for (_, a), (b, _) in zip(spans, spans[1:]) if digits(a, b) > 1)
+        found.update((a, b) for (_, a), (b, _) in zip(spans, spans[1:]))
         near.append(runs[k][1])
     for at in near:
         k = bisect_left(starts, at)

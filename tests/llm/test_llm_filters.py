@@ -117,6 +117,17 @@ def test_novel_strings(spark):
     assert secrets.secret_spans(frame(spark, [])).count() == 0 and secrets.secret_spans(frame(spark)).count() == len(rows())
 
 
+def test_no_secret_is_lost_among_many_sensitive_words(spark):
+    fresh = "qzKvTxWmLpRgYcNbHdJfSuEo"  # letters only
+    for before, behind in ((0, 0), (1, 1), (9, 0), (0, 9), (17, 13), (200, 300)):
+        run = "secret." * before + f"secret.{fresh}.token" + ".token" * behind
+        text = f"see {run} there"
+        [row] = secrets.secret_spans(spark.createDataFrame([(1, text, "", "", 1)], SCHEMA)).collect()
+        at = text.index(fresh)
+        spans = [tuple(map(int, s.split(":")[1:])) for s in row.spans.split(",") if s]
+        assert any(a <= at and at + len(fresh) <= b for a, b in spans), (before, behind, row.spans)
+
+
 def test_language_on_held_out_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language.identified(language.documents_evidence(docs), "doc_id").collect()
