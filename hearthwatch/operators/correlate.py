@@ -50,11 +50,14 @@ def newest_alerts_with_flows(alerts: DataFrame, conn: DataFrame, n: int) -> Data
     Each alert yields at least one row, so the n newest alerts suffice, and of a flow id's connections only
     the first n can be shown. Both cuts are exact, and the second happens before the shuffle, so a hot flow id
     costs no more than any other.
+
+    The newest alerts are found first, by a job of its own. Their flow ids, n at most, are then constants of the scan of
+    the connections: a stored table with Bloom filters on the id is read where one of them may be, not as a whole.
     """
     alert_order = [F.desc("alert_time"), *ALERT_SIDE[1:]]
     recent = _alert_side(alerts).orderBy(*alert_order).limit(n)
-    wanted = recent.select("community_id").filter("community_id IS NOT NULL").distinct()  # at most n rows
-    flows = _flow_side(conn).join(F.broadcast(wanted), "community_id", "left_semi")
+    ids = sorted({r[0] for r in recent.select("community_id").collect() if r[0] is not None})  # n values at most
+    flows = _flow_side(conn).filter(F.col("community_id").isin(ids))
     place = F.row_number().over(W.partitionBy("community_id").orderBy(*FLOW_SIDE))
     first = flows.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
-from ..functions.payload import to_double, to_int, to_long
+from ..functions.payload import json_text, to_double, to_int, to_long
 from ..sources.tables import days_between, write_by_day
 
 
@@ -44,7 +44,12 @@ def with_payload(events: DataFrame) -> DataFrame:
 
 
 def conn(events: DataFrame, *keep: str) -> DataFrame:
-    """Zeek connections."""
+    """Zeek connections.
+
+    A parsed payload keeps the value of a decimal number but not its digits (2.0 becomes 2); the duration is shown as it was
+    logged, so that one field is read from the text.
+    """
+    duration = json_text(F.col("raw"), "duration") if PAYLOAD in events.columns else F.col("p.duration")
     return _parsed(events.filter(_is("zeek", "conn")), schemas.CONN_PAYLOAD).select(
         *keep, "timestamp",
         F.col("p.uid").alias("uid"),
@@ -53,7 +58,7 @@ def conn(events: DataFrame, *keep: str) -> DataFrame:
         F.col("p.`id.resp_p`").alias("resp_p"),
         F.col("p.proto").alias("proto"),
         F.col("p.service").alias("service"),
-        F.col("p.duration").alias("duration"),
+        duration.alias("duration"),
         to_long(F.col("p.orig_bytes")).alias("orig_bytes"),
         to_long(F.col("p.resp_bytes")).alias("resp_bytes"),
         F.col("p.conn_state").alias("conn_state"),

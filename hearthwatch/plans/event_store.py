@@ -14,6 +14,7 @@ from .. import schemas
 from ..functions.timing import DAY, back
 from ..operators import inventory, silver
 from ..operators.maintenance import current_rows, unexpired
+from ..sources.tables import FLOW_ID
 
 HOUR = "hour"
 # partial summaries: typed table, builder
@@ -83,7 +84,10 @@ class EventStore:
         """Add a batch's rows to a table; the rows as stored."""
         dated = rows.withColumn(DAY, F.to_date(time)).withColumn("batch", F.lit(batch))
         placed = dated.hint("rebalance", DAY).sortWithinPartitions(DAY, time)
-        placed.write.mode("append").partitionBy(DAY, "batch").parquet(f"{self.root}/{table}")
+        writer = placed.write.mode("append").partitionBy(DAY, "batch")
+        if "community_id" in rows.columns:
+            writer = writer.options(**FLOW_ID)
+        writer.parquet(f"{self.root}/{table}")
         return self.read(table).filter(F.col("batch") == batch)
 
     def _parts(self, name: str, rows: DataFrame) -> DataFrame:

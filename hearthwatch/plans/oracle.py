@@ -378,6 +378,7 @@ for _sfx, _s, _d in (
 # --- sources
 for _n in A.SILVER:
     _put(f"silver_{_n}", f"SELECT * FROM {_n}")
+    _put(f"silver_{_n}_from_variant", f"SELECT * FROM {_n}")
 _put("source_staged_events", f"""
     SELECT source_tool, log_type, count(*) AS rows, count(*) FILTER (second(timestamp) = 14) AS untimed,
         count(DISTINCT strftime(timestamp, '%Y-%m-%d-%H')) AS files, max(timestamp) FILTER (second(timestamp) <> 14) AS newest
@@ -494,6 +495,22 @@ _put("baseline_replay", f"SELECT ip, manufacturer, {_AVERAGES}, samples, updated
 _put("baseline_update", f"SELECT ip, manufacturer, {_AVERAGES}, samples, updated_at FROM ema_next")
 
 
+# --- cycles over staged files, and stored tables
+_put("cycle_two_runs", "SELECT * FROM devices")
+_put("cycle_external_hosts", "SELECT * FROM external_ips")
+_put("cycle_drained", """SELECT CAST(CASE WHEN assigned_addr LIKE '%1' THEN 1 ELSE 2 END AS INT) AS cycle, assigned_addr AS ip,
+    'new_device' AS anomaly_type, true AS registered FROM dhcp WHERE assigned_addr IS NOT NULL GROUP BY assigned_addr""")
+_put("cycle_retention", " UNION ALL ".join(
+    f"SELECT '{n}' AS name, count(*) AS rows, min(timestamp) AS oldest FROM {t} WHERE timestamp >= {T} - INTERVAL 163 HOUR"
+    for n, t in (("events", "activity"), *((n, n) for n in A.SILVER))))
+_put("baseline_recent_stats_stored", "SELECT * FROM now_stats")
+_put("external_clients", """SELECT ip, orig_h AS client, count(*) AS conns, CAST(sum(bytes) AS BIGINT) AS bytes
+    FROM ext WHERE orig_h IS NOT NULL GROUP BY 1, 2""")
+ORACLE["join_alerts_with_flows_stored"] = ORACLE["panel_threats_alert_flow_correlation"]
+_put("upkeep_bucketed_upsert", """SELECT ip, CASE WHEN ip LIKE '%1' THEN description WHEN ip LIKE '%5' THEN 'inserted' ELSE 'replaced' END AS description,
+    added_at FROM allowed WHERE ip LIKE '%1' OR ip LIKE '%2' OR ip LIKE '%4' OR ip LIKE '%5'""")
+ORACLE["panel_threats_top_sni_stored"] = ORACLE["panel_threats_top_sni"]
+
 # --- detectors
 def _cool(kind: str, key: str) -> str:
     return f"NOT EXISTS (SELECT 1 FROM cooling k WHERE k.anomaly_type = '{kind}' AND k.dedup_key = {key})"
@@ -588,6 +605,11 @@ _put("anomalies_null_signature", f"""SELECT n AS "left", n AS ids FROM (SELECT c
     FROM (SELECT CASE WHEN severity > 1 THEN signature END AS signature, category, src_ip, dest_ip
           FROM alerts WHERE severity <= 2 AND {RECENT})))""")
 _put("detect_all", _all_detectors(_PARTS))
+# nothing known, found or learnt before
+_put("cycle_empty_start", f"""SELECT anomaly_type, severity, count(*) AS found, count(DISTINCT dedup_key) AS keys FROM (
+    {_all_detectors({k: v for k, v in _PARTS.items() if k not in ("detect_device_behavior", "detect_destination_fanout")})}
+    ) GROUP BY 1, 2""".replace("cooling k", "(SELECT * FROM cooling WHERE false) k").replace("history h", "(SELECT * FROM history WHERE false) h")
+     .replace("(SELECT ip FROM known)", "(SELECT ip FROM known WHERE false)"))
 _put("detect_all_updated_baseline", _all_detectors({
     **_PARTS, "detect_device_behavior": _behavior("ema_next"), "detect_destination_fanout": _fanout("ema_next")}))
 _put("detect_first_sight", f"""

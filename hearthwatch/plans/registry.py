@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +21,9 @@ from ..operators import baselines as B
 from ..operators import correlate, cooldown, detectors, enrich, inventory, maintenance, rule_index, rules, silver, similarity
 from ..session import scratch_dir
 from ..streaming import jobs, live
-from ..sources import event_files, lookups, scans, tables, tail
-from . import analyst
+from ..sources import event_files, keyed, lookups, scans, tables, tail
+from . import analyst, cycle
+from .event_store import EventStore
 from .panels import PANELS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -892,6 +893,18 @@ def upkeep_upsert(spark, sf_dir):
     return maintenance.upsert(_allow_list(spark, sf_dir), fresh, "ip")
 
 
+@query("upkeep_bucketed_upsert")
+def upkeep_bucketed_upsert(spark, sf_dir):
+    """A keyed table filled, then changed by a replacement, an insertion that finds some keys there, and a deletion."""
+    allowed = _allow_list(spark, sf_dir)
+    table = keyed.KeyedTable(spark, scratch_dir(spark, "keyed"), allowed.schema.simpleString().removeprefix("struct<").removesuffix(">"), ("ip",), 16)
+    table.upsert(allowed.filter("ip LIKE '%1' OR ip LIKE '%2' OR ip LIKE '%3'"))
+    table.upsert(allowed.filter("ip LIKE '%2' OR ip LIKE '%4'").withColumn("description", F.lit("replaced")))
+    table.insert_missing(allowed.filter("ip LIKE '%4' OR ip LIKE '%5'").withColumn("description", F.lit("inserted")))
+    table.delete(allowed.filter("ip LIKE '%3'"))
+    return table.read()
+
+
 @query("upkeep_last_by_key")
 def upkeep_last_by_key(spark, sf_dir):
     rows = A.silver(spark, sf_dir, "dhcp").select("assigned_addr", "timestamp", "mac", "host_name")
@@ -977,6 +990,155 @@ def upkeep_current_rows(spark, sf_dir):
         F.count("*").alias("rows"))
 
 
+for _name in A.SILVER:
+    def _from_variant(spark, sf_dir, name=_name):
+        """A typed table cut from stored events whose text was parsed once, when they were stored."""
+        path = scratch_dir(spark, "variant")
+        parsed = silver.with_payload(A.raw_events(spark, sf_dir))
+        parsed.write.mode("overwrite").parquet(path)
+        return silver.BUILDERS[name](spark.read.schema(parsed.schema).parquet(path))
+
+    QUERIES[f"silver_{_name}_from_variant"] = _from_variant
+
+
+# --- cycles over staged files ------------------------------------------------------------------------------
+
+# the test events lie over a month
+CYCLE = replace(SETTINGS, retention_hours=24 * 40, compact_every=2)
+
+
+def _stage_logs(events: DataFrame, root: str) -> None:
+    """Staged files `<tool>/<log>/<hour of the day>.ndjson`, each written whole."""
+    name = F.concat("source_tool", F.lit("/"), "log_type", F.lit("/"), F.hour("timestamp").cast("string"), F.lit(".ndjson"))
+    _write_logs(events.select(name.alias("file"), F.lit(True).alias("place"), F.col("raw").alias("value")), root)
+
+
+class _Cycles:
+    """A running service over the test events: staged files, stored tables, lookups."""
+
+    def __init__(self, spark, sf_dir, settings=CYCLE):
+        base = scratch_dir(spark, "cycle")
+        self.spark, self.settings, self.number = spark, settings, 0
+        self.staged, self.root = f"{base}/staged", f"{base}/tables"
+        self.lookups = (A.vendors(spark, sf_dir), A.ip_ranges(spark, sf_dir))
+        self.store, self.events = cycle.TableFolder(spark, self.root), EventStore(spark, self.root)
+        spark.range(0).selectExpr("CAST(id AS STRING) AS value").write.text(f"{self.staged}/none")  # so that the folder exists
+
+    def run(self, as_of=AS_OF.replace(tzinfo=timezone.utc), **kw) -> DataFrame:
+        self.number += 1
+        return cycle.run_cycle(self.spark, self.root, self.staged, self.number, as_of, *self.lookups, self.settings, **kw)
+
+    def tables(self, as_of=AS_OF.replace(tzinfo=timezone.utc)) -> silver.SensorTables:
+        return cycle.stored_tables(self.store, self.events, self.number, as_of, self.settings)
+
+
+def _untyped_times(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in df.schema.fields])
+
+
+def _two_runs(spark, sf_dir) -> _Cycles:
+    """A cycle over the events before the 16th, then one over the grown files of even hours and all other files."""
+    run = _Cycles(spark, sf_dir)
+    raw = A.raw_events(spark, sf_dir)
+    early = raw.filter(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp_ntz"))
+    _stage_logs(early.filter(F.hour("timestamp") % 2 == 0), run.staged)
+    run.run()
+    _stage_logs(raw, run.staged)
+    run.run()
+    return run
+
+
+@query("cycle_two_runs")
+def cycle_two_runs(spark, sf_dir):
+    """The device inventory after two cycles, of which the second read files again that had grown, and compacted."""
+    return _untyped_times(_two_runs(spark, sf_dir).tables().devices)
+
+
+@query("cycle_external_hosts")
+def cycle_external_hosts(spark, sf_dir):
+    """External hosts after the same two cycles, with the clients listed for display."""
+    columns = ["ip", "country", "total_conns", "total_bytes", "contacted_by", "top_service", "top_dest_port"]
+    return _two_runs(spark, sf_dir).tables().external_ips.select(*columns)
+
+
+@query("cycle_empty_start")
+def cycle_empty_start(spark, sf_dir):
+    """A cycle over nothing, then one over all events: what the second one finds, by kind."""
+    run = _Cycles(spark, sf_dir, replace(CYCLE, compact_every=0))
+    nothing = run.run()
+    _stage_logs(A.raw_events(spark, sf_dir), run.staged)
+    found = nothing.unionByName(run.run())
+    return found.groupBy("anomaly_type", "severity").agg(F.count("*").alias("found"), F.count_distinct("dedup_key").alias("keys"))
+
+
+@query("cycle_drained")
+def cycle_drained(spark, sf_dir):
+    """Rows of the live path handed to two cycles: each address is reported once, and registered."""
+    run = _Cycles(spark, sf_dir, replace(CYCLE, compact_every=0))
+    queue = A.silver(spark, sf_dir, "dhcp").groupBy(F.col("assigned_addr").alias("ip")).agg(
+        F.max(F.col("timestamp").cast("timestamp")).alias("detected_at"), F.max("mac").alias("mac"))
+    queue = queue.select(F.xxhash64("ip").alias("id"), "detected_at", "ip", "mac")
+    first = run.run(queue=queue.filter("ip LIKE '%1'"))
+    second = run.run(queue=queue)
+    both = first.withColumn("cycle", F.lit(1)).unionByName(second.withColumn("cycle", F.lit(2)))
+    registered = run.store.read("known_devices", 2, "ip STRING, first_detected TIMESTAMP").select("ip", F.lit(True).alias("registered"))
+    return both.select("cycle", F.col("dedup_key").alias("ip"), "anomaly_type").join(registered, "ip", "left")
+
+
+@query("cycle_retention")
+def cycle_retention(spark, sf_dir):
+    """What the stored tables hold on disk after retention was cut to a week: nothing that is older.
+
+    The second cycle compacts; the third one drops what the second could still have been repeated from.
+    """
+    run = _Cycles(spark, sf_dir)
+    _stage_logs(A.raw_events(spark, sf_dir), run.staged)
+    run.run()
+    run.settings = replace(run.settings, retention_hours=24 * 7 - 5)
+    run.run()
+    run.run()
+    held = [
+        run.events.read(name).agg(F.count("*").alias("rows"), F.min("timestamp").cast("timestamp_ntz").alias("oldest")).select(F.lit(name).alias("name"), "*")
+        for name in ("events", "conn", "dhcp", "alerts", "dns", "tls", "activity")
+    ]
+    out = held[0]
+    for part in held[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _stored_cycle(spark, sf_dir) -> _Cycles:
+    run = _Cycles(spark, sf_dir, replace(CYCLE, compact_every=0))
+    _stage_logs(A.raw_events(spark, sf_dir), run.staged)
+    run.run()
+    return run
+
+
+@query("baseline_recent_stats_stored")
+def baseline_recent_stats_stored(spark, sf_dir):
+    """A look-back over a table stored by day opens the days that it touches only."""
+    return B.recent_stats(_stored_cycle(spark, sf_dir).tables().conn, AS_OF.replace(tzinfo=timezone.utc), SETTINGS)
+
+
+@query("join_alerts_with_flows_stored")
+def join_alerts_with_flows_stored(spark, sf_dir):
+    """The newest alerts with their flows, looked up in the stored connections by flow id."""
+    at = [t.replace(tzinfo=timezone.utc) for t in (START, AS_OF)]
+    return _untyped_times(PANELS["threats_alert_flow_correlation"](_stored_cycle(spark, sf_dir).tables(), *at))
+
+
+@query("external_clients")
+def external_clients(spark, sf_dir):
+    return inventory.external_clients(inventory.external_profile(A.silver(spark, sf_dir, "conn")))
+
+
+@query("panel_threats_top_sni_stored")
+def panel_threats_top_sni_stored(spark, sf_dir):
+    """A panel over the tables that a cycle has stored."""
+    at = [t.replace(tzinfo=timezone.utc) for t in (START, AS_OF)]
+    return PANELS["threats_top_sni"](_stored_cycle(spark, sf_dir).tables(), *at)
+
+
 # --- streams ---------------------------------------------------------------------------------------------
 # Each runs the stream over what the source holds now into a table of the shared folder and reads that table.
 # Windows the watermark has not passed yet stay open, as they would in a running stream.

@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 REPLACE_ALL = {"partitionOverwriteMode": "static"}
 
 
+def bloom_filters(*columns: str, distinct: int = 1_000_000) -> dict[str, str]:
+    """Write options that give each row group a Bloom filter on the columns, so that a look-up of a few values passes over
+    row groups that hold none of them. `distinct` values of a row group are expected at most."""
+    return {f"parquet.bloom.filter.{k}#{c}": v for c in columns for k, v in (("enabled", "true"), ("expected.ndv", str(distinct)))} | {
+        f"parquet.bloom.filter.adaptive.enabled#{c}": "true" for c in columns}
+
+
+FLOW_ID = bloom_filters("community_id")  # look-ups of the flows of an alert
+
+
 def export_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Replace whatever the path holds."""
     writer = df.write.mode("overwrite").options(**REPLACE_ALL)
@@ -32,6 +42,8 @@ def write_by_day(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """
     dated = df.withColumn("event_date", F.to_date("timestamp")).hint("rebalance", "event_date")
     writer = dated.sortWithinPartitions("event_date", "timestamp").write.partitionBy("event_date")
+    if "community_id" in df.columns:
+        writer = writer.options(**FLOW_ID)
     if mode == "replace_days":
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
