@@ -7,6 +7,9 @@ ledger names the batch that last read each file, and rows that an older batch re
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,12 @@ PARTS = {
 TABLES = ("events", *silver.BUILDERS, *PARTS)
 
 
+def _together(write: Callable[[str], DataFrame], names: Iterable[str]) -> list[DataFrame]:
+    """Independent small writes side by side: each is a Spark job of its own."""
+    with ThreadPoolExecutor(4) as pool:
+        return list(pool.map(write, names))
+
+
 class EventStore:
     """Tables `<root>/<table>/event_date=…/batch=…` of all batches."""
 
@@ -97,19 +106,19 @@ class EventStore:
         """Store new events: parsed once, cut into the typed tables, which are then summed up by file and hour."""
         self.drop_batch(batch)
         stored = self._write("events", batch, silver.with_payload(events))
-        typed = {name: self._write(name, batch, build(stored, "source_file")) for name, build in silver.BUILDERS.items()}
-        for name, (table, _) in PARTS.items():
-            self._write(name, batch, self._parts(name, typed[table]), HOUR)
+        typed = dict(zip(silver.BUILDERS, _together(
+            lambda name: self._write(name, batch, silver.BUILDERS[name](stored, "source_file")), silver.BUILDERS)))
+        _together(lambda name: self._write(name, batch, self._parts(name, typed[PARTS[name][0]]), HOUR), PARTS)
 
     def move_files(self, batch: int, ledger: DataFrame, as_of, hours: int) -> None:
         """Copy the rows in force and within retention of all files of `ledger` into one new batch, so that many small
         batches become one, and rows that are out of force or expired are left behind."""
         self.drop_batch(batch)
-        for table in ("events", *silver.BUILDERS):
-            rows = current_rows(self.read(table), ledger).drop(DAY, "batch")
-            self._write(table, batch, unexpired(rows, as_of, hours))
-        for name, (table, _) in PARTS.items():
-            self._write(name, batch, self._parts(name, self.read(table).filter(F.col("batch") == batch)), HOUR)
+        def move(table: str) -> DataFrame:
+            return self._write(table, batch, unexpired(current_rows(self.read(table), ledger).drop(DAY, "batch"), as_of, hours))
+
+        moved = dict(zip(TABLES, _together(move, ("events", *silver.BUILDERS))))
+        _together(lambda name: self._write(name, batch, self._parts(name, moved[PARTS[name][0]]), HOUR), PARTS)
 
     # --- reading ---
 

@@ -1008,8 +1008,8 @@ CYCLE = replace(SETTINGS, retention_hours=24 * 40, compact_every=2)
 
 
 def _stage_logs(events: DataFrame, root: str) -> None:
-    """Staged files `<tool>/<log>/<hour of the day>.ndjson`, each written whole."""
-    name = F.concat("source_tool", F.lit("/"), "log_type", F.lit("/"), F.hour("timestamp").cast("string"), F.lit(".ndjson"))
+    """Staged files `<tool>/<log>/<hour of the day, modulo six>.ndjson`, each written whole."""
+    name = F.concat("source_tool", F.lit("/"), "log_type", F.lit("/"), (F.hour("timestamp") % 6).cast("string"), F.lit(".ndjson"))
     _write_logs(events.select(name.alias("file"), F.lit(True).alias("place"), F.col("raw").alias("value")), root)
 
 
@@ -1036,6 +1036,20 @@ def _untyped_times(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in df.schema.fields])
 
 
+def _once_a_session(build: Callable) -> Callable:
+    """Tables that several entries read are stored once for each session and folder."""
+    made = {}
+
+    def get(spark, sf_dir):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in made:
+            made[key] = build(spark, sf_dir)
+        return made[key]
+
+    return get
+
+
+@_once_a_session
 def _two_runs(spark, sf_dir) -> _Cycles:
     """A cycle over the events before the 16th, then one over the grown files of even hours and all other files."""
     run = _Cycles(spark, sf_dir)
@@ -1107,6 +1121,7 @@ def cycle_retention(spark, sf_dir):
     return out
 
 
+@_once_a_session
 def _stored_cycle(spark, sf_dir) -> _Cycles:
     run = _Cycles(spark, sf_dir, replace(CYCLE, compact_every=0))
     _stage_logs(A.raw_events(spark, sf_dir), run.staged)
@@ -1206,7 +1221,7 @@ def stream_tail_files(spark, sf_dir):
     second one exactly the lines of the second half of the month are."""
     base = scratch_dir(spark, "tail")
     late = F.col("timestamp") >= F.lit("2024-01-16").cast("timestamp_ntz")
-    name = F.concat("source_tool", F.lit("/"), "log_type", F.lit("."), F.hour("timestamp").cast("string"), F.lit(".log"))
+    name = F.concat("source_tool", F.lit("/"), "log_type", F.lit("."), (F.hour("timestamp") % 6).cast("string"), F.lit(".log"))
     lines = A.raw_events(spark, sf_dir).select(name.alias("file"), late.alias("place"), F.col("raw").alias("value"))
     for grown in (lines.filter("NOT place"), lines):
         _write_logs(grown, f"{base}/logs")
