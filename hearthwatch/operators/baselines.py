@@ -68,6 +68,29 @@ def window_stats(conn: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return _with_stats(keyed.groupBy(F.col("orig_h").alias("ip"), "window_start"))
 
 
+SKETCH_BITS = 12  # log2 of a sketch's buckets: its standard error is 1.04 / sqrt(2 ** SKETCH_BITS), 1.6 percent
+SKETCH_ERROR = 0.05  # three standard errors
+
+
+def minute_sketches(conn: DataFrame, width: str = "1 minute") -> DataFrame:
+    """Mergeable statistics of each source and minute: sums, and a sketch of its destinations.
+
+    A sliding window merges the minutes it covers instead of counting its connections again, and a sketch has the same
+    size however many destinations it has seen. The exact way is `window_stats`.
+    """
+    keyed = conn.filter("orig_h IS NOT NULL").withColumn("minute", bucket(F.col("timestamp"), width))
+    return keyed.groupBy(F.col("orig_h").alias("ip"), "minute").agg(
+        F.sum(byte_total()).alias("bytes"), F.count("*").alias("conns"), F.hll_sketch_agg("resp_h", F.lit(SKETCH_BITS)).alias("met"))
+
+
+def merged_windows(minutes: DataFrame, length: str, slide: str) -> DataFrame:
+    """Statistics of sliding windows from `minute_sketches`; `dest_ips` is an estimate within SKETCH_ERROR."""
+    windows = minutes.groupBy("ip", F.window("minute", length, slide)["start"].alias("window_start"))
+    return windows.agg(
+        F.sum("bytes").cast("double").alias("bytes_5min"), F.sum("conns").cast("double").alias("conns_5min"),
+        F.hll_sketch_estimate(F.hll_union_agg("met")).cast("double").alias("dest_ips"))
+
+
 def updated_baselines(state: DataFrame, current: DataFrame, devices: DataFrame, as_of,
                       alpha: float = Settings.ema_alpha) -> DataFrame:
     """Next state of the baseline table after one tick.

@@ -64,15 +64,14 @@ def parsed_rules(lines: DataFrame, metadata_length: int | None = None) -> DataFr
     Blank and commented lines and lines without sid or msg are skipped.
     """
     kept = [c for c in lines.columns if c != "value"]
+    options = F.struct(
+        _option(SID).try_cast("bigint").alias("sid"), _option(MSG).alias("msg"),
+        F.coalesce(_stripped(_option(CLASSTYPE)), F.lit("")).alias("classtype"), _option(METADATA).alias("metadata"),
+    )
+    # a filter is not pushed below the generator, so every option is looked for once a line
     return (
         lines.filter(~F.col("value").rlike(r"^\s*(#|$)"))
-        .select(
-            *kept,
-            _option(SID).try_cast("bigint").alias("sid"),
-            _option(MSG).alias("msg"),
-            F.coalesce(_stripped(_option(CLASSTYPE)), F.lit("")).alias("classtype"),
-            _option(METADATA).alias("metadata"),
-        )
+        .select(*kept, F.inline(F.array(options)))
         .filter("sid IS NOT NULL AND msg IS NOT NULL")
         .select(*kept, "sid", "msg", "classtype",
                 search_text(F.col("msg"), F.col("classtype"), F.col("metadata"), metadata_length).alias("chunk_text"))

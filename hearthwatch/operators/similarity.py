@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 # Query vectors and corpus rows that meet in one task.
 QUERY_BLOCK = 2048
 CORPUS_PART = 1 << 15
+QUERIES_AT_ONCE = 64  # of a block, whose scores are held at a time: 16 MB for a full part
 # Equal vectors must tie whichever batch they sit in, so scores are compared to this many decimals.
 SCORE_DIGITS = 12
 
@@ -62,7 +63,8 @@ def _best_of_part(key: str, k: int, schema: pa.Schema) -> Callable[[pa.Table, pa
     """The k best corpus rows of one part for each query of one block: one matrix product, one selection a query."""
 
     def unit(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        matrix = np.array(column.to_pylist(), dtype=np.float64)
+        values = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        matrix = values.astype(np.float64).reshape(len(column), -1)
         length = np.linalg.norm(matrix, axis=1)
         usable = np.flatnonzero(length > 0)
         return usable, matrix[usable] / length[usable, None]
@@ -73,10 +75,11 @@ def _best_of_part(key: str, k: int, schema: pa.Schema) -> Callable[[pa.Table, pa
         rows, vectors = unit(corpus.column("embedding"))
         asked, wanted = unit(queries.column("vector"))
         keys = corpus.column(key).to_numpy()[rows]
-        scores = np.round(vectors @ wanted.T, SCORE_DIGITS)
         found_q, found_r, found_s = [], [], []
         for column, q in enumerate(asked):
-            score = scores[:, column]
+            if column % QUERIES_AT_ONCE == 0:
+                scores = np.round(vectors @ wanted[column : column + QUERIES_AT_ONCE].T, SCORE_DIGITS)
+            score = scores[:, column % QUERIES_AT_ONCE]
             some = np.arange(len(score))
             if len(some) > k:  # the k-th best and whatever equals it; ties go by key below
                 some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])

@@ -489,6 +489,7 @@ _put("connection_stats_by_mac", """SELECT ip, mac, min(timestamp) AS first_seen,
 _put("connection_totals_by_ip", "SELECT * FROM totals")
 _put("baseline_recent_stats", "SELECT * FROM now_stats")
 _put("baseline_window_stats", "SELECT * FROM windows")
+_put("baseline_sketched_destinations", "SELECT ip, window_start, bytes_5min, conns_5min, dest_ips AS exact, true AS within_error FROM windows")
 NUDGE = "3.14159e-8::DOUBLE"
 _AVERAGES = ", ".join(f"round({a} + {NUDGE}, 6) AS {a}" for a in ("avg_bytes_5min", "avg_conns_5min", "avg_dest_ips"))
 _put("baseline_replay", f"SELECT ip, manufacturer, {_AVERAGES}, samples, updated_at FROM ema")
@@ -742,7 +743,7 @@ _put("stream_trailing_stats", f"""
 _put("stream_timeline", f"""SELECT {BUCKET} AS time, source_tool, count(*) AS count FROM activity
     WHERE {BUCKET} + INTERVAL 5 MINUTE <= {_closed('activity')} GROUP BY 1, 2""")
 _put("stream_running_baselines", f"""
-    SELECT w.ip, w.window_start, CAST(count(*) AS INT) AS samples,
+    SELECT w.ip, w.window_start, CAST(count(*) AS INT) AS samples, CAST(0 AS INT) AS late,
         {", ".join(f"round(list_reduce(list(p.{n} ORDER BY p.window_start), lambda e, x: 0.3::DOUBLE * x + 0.7::DOUBLE * e) + {NUDGE}, 6) AS {a}"
                    for n, a in (("bytes_5min", "avg_bytes_5min"), ("conns_5min", "avg_conns_5min"), ("dest_ips", "avg_dest_ips")))}
     FROM windows w JOIN windows p ON p.ip = w.ip AND p.window_start <= w.window_start

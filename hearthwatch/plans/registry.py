@@ -540,6 +540,17 @@ def _rounded_averages(df: DataFrame) -> DataFrame:
     return df
 
 
+@query("baseline_sketched_destinations")
+def baseline_sketched_destinations(spark, sf_dir):
+    """Windows merged from hourly sketches beside the exact ones: is the estimate of destinations within its stated error?"""
+    conn = A.silver(spark, sf_dir, "conn").filter(ipf.is_home_lan(F.col("orig_h")))
+    merged = B.merged_windows(B.minute_sketches(conn, "1 hour"), "6 hours", "6 hours")
+    exact = B.window_stats(conn, SETTINGS).withColumnRenamed("dest_ips", "exact").drop("bytes_5min", "conns_5min")
+    off = F.abs(F.col("dest_ips") - F.col("exact"))
+    return merged.join(exact, ["ip", "window_start"]).select(
+        "ip", "window_start", "bytes_5min", "conns_5min", "exact", (off <= F.ceil(F.col("exact") * B.SKETCH_ERROR)).alias("within_error"))
+
+
 @query("baseline_replay")
 def baseline_replay(spark, sf_dir):
     return _rounded_averages(_past_baselines(spark, sf_dir))

@@ -117,8 +117,12 @@ def write_hourly(events: DataFrame, path: str, fmt: str = "parquet", mode: str =
     with_event_hour(events).hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).format(fmt).save(path)
 
 
-def stream_hourly(events: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"):
+def stream_hourly(events: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", files: int = 4):
+    """The hourly layout as a stream. A trigger writes an hour of a log to `files` files at most: its rows are brought
+    together by as many keys, so that neither small files pile up nor one task gets a whole busy hour."""
+    keys = ("source_tool", "log_type", "event_hour")
+    spread = F.pmod(F.xxhash64("raw"), F.lit(files))
     return (
-        with_event_hour(events).writeStream.partitionBy("source_tool", "log_type", "event_hour")
+        with_event_hour(events).repartition(*keys, spread).writeStream.partitionBy(*keys)
         .format(fmt).option("path", path).option("checkpointLocation", checkpoint)
     )

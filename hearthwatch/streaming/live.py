@@ -75,7 +75,7 @@ def timeline(events: DataFrame, *dimensions: str | Column, width: str = "5 minut
 
 
 BASELINE_ROW = (
-    "ip STRING, window_start TIMESTAMP, avg_bytes_5min DOUBLE, avg_conns_5min DOUBLE, avg_dest_ips DOUBLE, samples INT"
+    "ip STRING, window_start TIMESTAMP, avg_bytes_5min DOUBLE, avg_conns_5min DOUBLE, avg_dest_ips DOUBLE, samples INT, late INT"
 )
 _METRICS = ["bytes_5min", "conns_5min", "dest_ips"]
 _AVERAGES = ["avg_bytes_5min", "avg_conns_5min", "avg_dest_ips"]
@@ -86,7 +86,8 @@ def running_baselines(stats: DataFrame, alpha: float = 0.3, idle: str = "30 days
 
     The state per device is three averages and a counter; it goes when the device has been silent for `idle`. A
     window that is not newer than the last one folded in has been folded in before (or came too late to have a
-    place in the order): it is ignored, so a replayed batch changes nothing.
+    place in the order): it is not folded in, so a replayed batch changes no average. `late` counts such windows of the
+    device so far.
     """
     silence = pd.Timedelta(idle)
 
@@ -94,24 +95,29 @@ def running_baselines(stats: DataFrame, alpha: float = 0.3, idle: str = "30 days
         if state.hasTimedOut:
             state.remove()
             return
-        rows, samples = pd.concat(list(frames)).sort_values("window_start"), 0
+        rows, samples, late = pd.concat(list(frames)).sort_values("window_start"), 0, 0
         before = rows[_METRICS].iloc[:0]
         if state.exists:
-            *averages, samples, last = state.get
-            rows = rows[rows["window_start"] > pd.Timestamp(last)]
+            *averages, samples, late, last = state.get
+            new = rows["window_start"] > pd.Timestamp(last)
+            late += int((~new).sum())
+            rows = rows[new]
             before = pd.DataFrame([averages], columns=_METRICS)
         if len(rows):
             # the state is the row before the first: the weighted mean of all up to each row, in one go
             means = pd.concat([before, rows[_METRICS]]).ewm(alpha=alpha, adjust=False).mean().iloc[len(before):]
             counts = range(samples + 1, samples + 1 + len(rows))
-            out = pd.DataFrame({"ip": key[0], "window_start": rows["window_start"].to_numpy(), **dict(zip(_AVERAGES, means.to_numpy().T)), "samples": counts})
+            out = pd.DataFrame({"ip": key[0], "window_start": rows["window_start"].to_numpy(), **dict(zip(_AVERAGES, means.to_numpy().T)), "samples": counts, "late": late})
             last = rows["window_start"].iloc[-1]
-            state.update((*map(float, means.iloc[-1]), counts[-1], last.to_pydatetime()))
+            state.update((*map(float, means.iloc[-1]), counts[-1], late, last.to_pydatetime()))
             state.setTimeoutTimestamp(max(int((last + silence).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
             yield out
+        elif state.exists:
+            state.update((*averages, samples, late, last))
+            state.setTimeoutTimestamp(max(int((pd.Timestamp(last) + silence).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
 
     return stats.withWatermark("window_start", lateness).groupBy("ip").applyInPandasWithState(
-        fold, BASELINE_ROW, "b DOUBLE, c DOUBLE, d DOUBLE, samples INT, last TIMESTAMP", "append",
+        fold, BASELINE_ROW, "b DOUBLE, c DOUBLE, d DOUBLE, samples INT, late INT, last TIMESTAMP", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 

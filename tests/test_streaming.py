@@ -69,13 +69,14 @@ def test_running_baselines_fold_over_batches(spark, tmp_path):
     schema = "ip STRING, window_start TIMESTAMP, bytes_5min DOUBLE, conns_5min DOUBLE, dest_ips DOUBLE"
     values = [10.0, 20.0, 5.0, 40.0]
     frames = [spark.createDataFrame([("a", NOW + timedelta(minutes=5 * i), v, 1.0, 1.0)], schema) for i, v in enumerate(values)]
-    frames.append(frames[1])  # a replayed window changes nothing
+    frames.insert(3, frames[1])  # a replayed window changes no average, and is counted
     got = drain(spark, tmp_path, live.running_baselines(fed(spark, tmp_path, frames))).orderBy("samples").collect()
     want, e = [], None
     for v in values:
         e = v if e is None else 0.3 * v + 0.7 * e
         want.append(round(e, 9))
     assert [round(r.avg_bytes_5min, 9) for r in got] == want and [r.samples for r in got] == [1, 2, 3, 4]
+    assert [r.late for r in got] == [0, 0, 0, 1]
 
 
 def test_cooldown_across_batches(spark, tmp_path):
