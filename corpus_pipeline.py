@@ -61,7 +61,7 @@ STAGES = [
     ("mix_sources", _fresh(mix_sources)), ("bpe_encoding", _fresh(bpe_encoding)),
 ]
 
-#: Estimates, trained likelihoods and encodings are beyond SQL; tests/llm/test_pipeline.py holds a brute-force version.
+#: Estimates, trained likelihoods and encodings are beyond SQL; tests/llm/test_llm_pipeline.py holds a brute-force version.
 ORACLE_SQL = None
 
 
