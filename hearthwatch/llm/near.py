@@ -20,6 +20,7 @@ MISSED = 4e-8  # part of the pairs at the threshold that share no band, at most
 MANTISSA = 10  # bits kept behind the leading-zero count: registers are 16 bits
 SPREAD = 5.5  # standard errors by which an estimate may lie below the threshold and still be verified
 BLOCK = 1024  # documents of a bucket or candidate group that are compared at a time
+BLOCK_SHINGLES = 1 << 20  # shingles of the documents of a candidate group that are compared at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -244,13 +245,16 @@ def _confirmed(percent: int) -> Callable:
     return run
 
 
-def in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows with (key, part), such that any two rows of a key meet in some part and none has over about 2 * size rows.
+def in_blocks(rows: DataFrame, key: str, size: int, weight: str | None = None, most: int = 1) -> DataFrame:
+    """Rows with (key, part), such that any two rows of a key meet in some part and none has over about 2 * size rows,
+    nor rows of a `weight` of over about 2 * most together, but for single rows that weigh more.
 
-    A key with up to 2 * size rows is one part. A larger one is cut into blocks, dealt by `rep`, and each pair of
+    A key within these bounds is one part. A larger one is cut into blocks, dealt by `rep`, and each pair of
     blocks is a part of its own: all comparisons are made, by as many tasks as it takes.
     """
-    blocks = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key, F.when(F.col("_n") > 2 * size, F.ceil(F.col("_n") / size)).otherwise(1).alias("_k")))
+    load = F.greatest(F.count(F.lit(1)) / size, (F.sum(weight) if weight else F.lit(0)) / most)
+    blocks = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), load.alias("_load")).where("_n > 1")
+    blocks = stored(blocks.select(key, F.when(F.col("_load") > 2, F.least(F.ceil("_load"), F.col("_n"))).otherwise(1).alias("_k")))
     rows = rows.join(blocks, key)
     own = F.pmod(F.xxhash64("rep"), F.col("_k"))
     parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1), lambda o: F.least(own, o) * F.col("_k") + F.greatest(own, o))
@@ -259,46 +263,58 @@ def in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
     return single.unionByName(many).drop("_k")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, carry: str | None = None) -> DataFrame:
-    """Every document with its component: (doc_id, n_shingles, component_id, kept), and the long column `carry` if named.
+def near_duplicates(docs: DataFrame, percent: int = 85, row: str | None = None) -> DataFrame:
+    """Every document with its component: (doc_id, n_shingles, component_id, kept), and the long column `row` if named.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of distinct five-word shingles
     (A-Z lower-cased). Equal sets are one class and go on as one row. Classes that share a band of registers meet in
     a bucket; those whose estimate allows it form candidate groups; within a group full sets decide every pair. Large
-    buckets and groups are compared block against block, so none is gathered in a task and no pair is left out. Bands
-    follow `percent`; a threshold too low for any (below 8 percent) is an error.
+    buckets and groups are compared block against block, so none is gathered in a task and no pair is left out; blocks
+    are bounded by documents and, where sets are compared, by shingles. Bands follow `percent`; a threshold too low for
+    any (below 8 percent) is an error.
 
-    A NULL text is empty; documents without words have an empty set and are linked with nothing. Rows that share a
-    doc_id count as one node. A NULL doc_id is linked to equal sets only: its component is theirs, or NULL if no other
-    row has that set, and then it is kept. An empty table gives no rows; other columns are not read.
+    Rows are told apart by `row`, which has to be a written column of distinct numbers; without it the texts are written
+    once under numbers of their own. So rows without a doc_id, and rows that share one, are linked like all others.
+    component_id is the least doc_id of a component, NULL if none of its rows has one. Of each component exactly one row
+    is kept: of least doc_id, and of least number among those that share it or have none.
+
+    A NULL text is empty; documents without words have an empty set, are linked with nothing and kept. Very long texts
+    are read in slices of bounded bytes. An empty table gives no rows; other columns are not read.
     """
     bands = bands_of(percent)
-    extra = [carry] if carry else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
-    docs = rows.select("doc_id", "text")
-    rows = stored(rows.mapInArrow(_sketches, ", ".join(["doc_id long", *(f"`{c}` long" for c in extra), "h1 long, h2 long, n long, regs binary"])))
-    classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = stored(classes)
-    nodes = classes.where("rep IS NOT NULL").select("rep", "n", "regs")
+    extra = [row] if row else []
+    if not row:
+        row = ROW
+        docs = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias(ROW)))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("row"))
+    rows = stored(docs.mapInArrow(_sketches, "doc_id long, row long, h1 long, h2 long, n long, regs binary"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = stored(rows.where("n > 0").groupBy("h1", "h2").agg(
+        F.min("row").alias("rep"), F.min(first).alias("head"), F.first("n").alias("n"), F.first("regs").alias("regs"),
+    ))
+    nodes = classes.select("rep", "n", "regs")
     keyed = nodes.select("rep", "regs").mapInArrow(_banded(*bands), "rep long, key long")
     met = in_blocks(keyed, "key", BLOCK).join(nodes, "rep")
     met = met.repartition("key", "part").sortWithinPartitions("key", "part")
     candidates = components(met.mapInArrow(_similar_sketches(percent / 100), "u long, v long").distinct())
-    groups = candidates.select(F.col("component").alias("key"), F.col("node").alias("rep"))
-    texts = docs.withColumnRenamed("doc_id", "rep")
-    met = in_blocks(groups, "key", BLOCK).join(texts, "rep").repartition("key", "part").sortWithinPartitions("key", "part")
+    groups = candidates.select(F.col("component").alias("key"), F.col("node").alias("rep")).join(nodes.select("rep", "n"), "rep")
+    texts = docs.select(F.col("row").alias("rep"), "text")
+    met = in_blocks(groups, "key", BLOCK, "n", BLOCK_SHINGLES).drop("n").join(texts, "rep")
+    met = met.repartition("key", "part").sortWithinPartitions("key", "part")
     links = components(met.mapInArrow(_confirmed(percent), "u long, v long").distinct())
-    labels = classes.select("h1", "h2", "rep").join(links.withColumnRenamed("node", "rep"), "rep", "left")
-    labels = labels.select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    some = rows.where("n > 0").drop("regs").join(labels, ["h1", "h2"]).select("doc_id", "n", "component_id", *extra)
-    none = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), *extra)
-    return some.unionByName(none).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *extra,
-    )
+    labels = classes.select("h1", "h2", "rep", "head").join(links.withColumnRenamed("node", "rep"), "rep", "left")
+    labels = labels.withColumn("component", F.coalesce("component", "rep"))
+    heads = labels.groupBy("component").agg(F.min("head").alias("least"))
+    labels = labels.select("h1", "h2", "component").join(heads, "component").select("h1", "h2", "least")
+    kept, of = (F.col("row") == F.col("least.row")).alias("kept"), F.col("least.doc_id").alias("component_id")
+    some = rows.where("n > 0").drop("regs").join(labels, ["h1", "h2"]).select("doc_id", "row", "n", of, kept)
+    none = rows.where("n = 0").select("doc_id", "row", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept", *[F.col("row").alias(r) for r in extra])
 
 
 def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents that `near_duplicates` keeps, with their own columns only."""
+    """The documents that `near_duplicates` keeps, one of each component whatever ids they have, with their own columns
+    only; documents without words all stay. Its docstring states what becomes of NULLs, ties and long texts."""
     rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
     gone = near_duplicates(rows, percent, ROW).where("NOT kept").select(ROW)
     return rows.join(gone, ROW, "left_anti").drop(ROW)

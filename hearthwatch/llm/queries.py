@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hearthwatch.llm import bpe, exact, language, mixing, near, pieces, quality, repeats, secrets, sharding, spelling, token_files, whitening
@@ -20,7 +21,8 @@ def tokenizer_file(name: str) -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": lambda s, d: quality.quality_verdicts(table(s, d, "documents"), table(s, d, "labels")),
     "op2_sharding": lambda s, d: sharding.sharded(table(s, d, "documents"), 16),
-    "op3_minhash_near_dedup": lambda s, d: near.near_duplicates(table(s, d, "documents")),
+    # kept as the query's contract has it, by ids; the operator keeps one row of a component also where ids repeat
+    "op3_minhash_near_dedup": lambda s, d: near.near_duplicates(table(s, d, "documents")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))),
     "op4_suffix_array_dedup": lambda s, d: repeats.without_repeats(table(s, d, "documents")),
     "op5_token_counts": lambda s, d: pieces.token_counts(table(s, d, "documents"), tokenizer_file("piece_bpe_32k.model")),
     "op6_secret_scans": lambda s, d: secrets.secret_spans(table(s, d, "documents")),

@@ -63,26 +63,51 @@ def test_exact_index_in_pieces_gives_the_same(spark, monkeypatch):
     assert got == {bytes([k]): (max(i for i in range(200) if i % 7 == k), sum(i % 7 == k for i in range(200))) for k in range(7)}
 
 
-def near_wanted(data):
+def near_wanted(data, percent=85):
+    """(id, size of the set, component id) of every row, with rows as nodes; and how many rows stay."""
     ids, sets = [i for i, *_ in data], [shingle_set(t) for _, t, *_ in data]
-    links = [
-        (ids[a], ids[b]) for a in range(len(data)) for b in range(a)
-        if ids[a] is not None and ids[b] is not None and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
-    ]
-    reach = smallest_reachable({i for i in ids if i is not None}, links)
-    by_set = {s: min(reach[i] for i, x in zip(ids, sets) if i is not None and x == s) for s in sets if s and any(i is not None and x == s for i, x in zip(ids, sets))}
-    return sorted(((i, len(s), reach[i] if i is not None else by_set.get(s)) for i, s in zip(ids, sets)), key=str)
+    links = [(a, b) for a in range(len(data)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    reach = smallest_reachable(range(len(data)), links)
+    least = {}
+    for k, i in enumerate(ids):
+        least[reach[k]] = min((x for x in (least.get(reach[k]), i) if x is not None), default=None)
+    return sorted(((i, len(s), least[reach[k]]) for k, (i, s) in enumerate(zip(ids, sets))), key=str), len(least)
 
 
-def test_near_components(spark):
-    got = near.near_duplicates(frame(spark)).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == near_wanted(rows())
-    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+def near_got(rows_):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows_), key=str), sum(r.kept for r in rows_)
 
 
-def test_near_family_of_edits_in_small_blocks(spark, monkeypatch):
-    """Chains of edits, some links of which only hold between copies; blocks of four make large buckets many parts."""
-    monkeypatch.setattr(near, "BLOCK", 4)
+def test_near_components(spark):
+    got = near.near_duplicates(frame(spark)).collect()
+    assert near_got(got) == near_wanted(rows())
+    assert all(r.doc_id == r.component_id for r in got if r.kept)
+
+
+def test_near_copies_without_ids_and_with_repeated_ids(spark):
+    """Rows are linked whatever their ids are; of each group exactly one row stays."""
+    base = [f"w{i}" for i in range(80)]
+
+    def copy(k):
+        return " ".join([*base[:k], f"x{k}", *base[k + 1 :]])
+
+    data = [(None, copy(0), "en", "a", 1), (None, copy(79), "en", "a", 1), (7, copy(1), "en", "a", 1), (7, copy(78), "en", "b", 1)]
+    other = [(None, " ".join(f"y{i}" for i in range(60)), "en", "a", 1), (None, " ".join(f"y{i}" for i in range(59)), "en", "a", 1)]
+    same_id = [(9, "one two three four five six", "en", "a", 1), (9, "quite another text than the one of that id", "en", "a", 1)]
+    for part, left in ((data, 1), (other, 1), (same_id, 2), (data * 2 + other * 2 + same_id, 4)):
+        df = frame(spark, part)
+        got = near.near_duplicates(df).collect()
+        assert near_got(got) == near_wanted(part) and sum(r.kept for r in got) == left
+        out = near.one_of_each(df)
+        assert out.count() == left and out.columns == df.columns
+    assert {r.component_id for r in near.near_duplicates(frame(spark, data)).collect()} == {7}
+    assert {r.component_id for r in near.near_duplicates(frame(spark, other)).collect()} == {None}
+
+
+@pytest.mark.parametrize("bound, most", [("BLOCK", 4), ("BLOCK_SHINGLES", 200)])
+def test_near_family_of_edits_in_small_blocks(spark, monkeypatch, bound, most):
+    """Chains of edits, some links of which only hold between copies; small blocks make large buckets and groups many parts."""
+    monkeypatch.setattr(near, bound, most)
     import random
 
     rnd, base, data = random.Random(5), [f"w{i}" for i in range(80)], []
@@ -92,7 +117,7 @@ def test_near_family_of_edits_in_small_blocks(spark, monkeypatch):
             w[rnd.randrange(80)] = f"e{rnd.randrange(1000)}"
         data.append((i, " ".join(w), "en", "a", 1))
     got = near.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == near_wanted(data)
+    assert near_got(got) == near_wanted(data)
 
 
 def test_near_filter(spark):
