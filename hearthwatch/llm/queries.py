@@ -80,8 +80,10 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents) WINDOW w AS (PARTITION BY text_sha256)""",
     "op9_mixing_sources": f"""
 WITH docs AS (
-  SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size,
-    (('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size FROM documents
+), drawn AS (
+  SELECT doc_id, source, size, (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || digest || ':'
+    || (row_number() OVER (PARTITION BY source, doc_id, digest ORDER BY size) - 1)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM docs
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM docs GROUP BY source
 ), levels AS (
@@ -90,18 +92,29 @@ WITH docs AS (
 ), targets AS (
   SELECT source, source_size, CASE WHEN cap < found * w THEN cap ELSE found * w END::DOUBLE AS target
   FROM levels, (SELECT arg_min(level, cap::DOUBLE / w) AS found FROM levels WHERE cap >= level * w)
-), rates AS (
+), whole AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies FROM targets
-), ranked AS (
-  SELECT d.doc_id, d.size, u, r.*, target - copies * source_size AS rest FROM docs d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
-), first AS (
-  SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY u, size, doc_id ROWS UNBOUNDED PRECEDING) <= rest)::INT AS take FROM ranked
+), rests AS (
+  SELECT *, CASE WHEN source_size > 0 AND target / source_size > copies THEN target - copies * source_size ELSE 0 END AS rest FROM whole
+), tried AS (
+  SELECT source, size, (rest - coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(squares) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS rate
+  FROM (SELECT d.source, size, rest, count(*) * size AS words, count(*)::HUGEINT * size * size AS squares
+    FROM docs d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source WHERE size > 0 GROUP BY d.source, size, rest)
+  WINDOW o AS (PARTITION BY source ORDER BY size DESC)
+), rates AS (SELECT source, arg_max(rate, size) AS rate FROM tried WHERE rate * size <= 1 GROUP BY source),
+odds AS (
+  SELECT d.doc_id, d.size, u, r.*, least(coalesce(rate * size, 0), 1) AS p
+  FROM drawn d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN rates ON r.source IS NOT DISTINCT FROM rates.source
+), ranked AS (SELECT *, CASE WHEN p >= 1 THEN 0 WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END AS rank FROM odds),
+first AS (
+  SELECT *, (p > 0 AND sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, u, size, doc_id ROWS UNBOUNDED PRECEDING) <= rest)::INT AS take FROM ranked
 ), opened AS (SELECT *, rest - coalesce(sum(size) FILTER (take = 1) OVER (PARTITION BY source), 0) AS open FROM first),
 second AS (
-  SELECT *, (take = 0 AND size > 0 AND size <= open) AS fits,
-    sum(CASE WHEN take = 0 AND size > 0 AND size <= open THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY u, size, doc_id ROWS UNBOUNDED PRECEDING) AS had FROM opened
-), done AS (SELECT *, copies + CASE WHEN source_size = 0 OR target / source_size <= copies THEN 0 WHEN fits THEN (had <= open)::INT ELSE take END AS c FROM second)
-SELECT doc_id, size, source_size, target, (c * size)::BIGINT AS taken, source, c::INT AS copies FROM done""",
+  SELECT *, (take = 0 AND p > 0 AND size <= open) AS fits,
+    sum(CASE WHEN take = 0 AND p > 0 AND size <= open THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, u, size, doc_id ROWS UNBOUNDED PRECEDING) AS had FROM opened
+), done AS (SELECT *, copies + CASE WHEN fits THEN (had <= open)::INT ELSE take END AS c FROM second)
+SELECT doc_id, size, source_size, target, (c * size)::BIGINT AS taken, source, c::INT AS copies, p FROM done""",
     "op11_spelling_variants": """
 WITH RECURSIVE bits AS (
   SELECT n AS id, n::BIGINT AS c, 0 AS k FROM range(256) t(n)

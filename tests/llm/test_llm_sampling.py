@@ -107,6 +107,40 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(taken[s] - target[s]) < max(0.01 * target[s], 100) for s in target)
 
 
+def test_rows_without_ids_are_drawn_on_their_own(spark):
+    """A source of NULL ids, one of a single repeated id and one of equal rows: each meets its target, long and short alike."""
+    data = [(None, " ".join(["w"] * (5 + i * 37 % 90)) + f" x{i}", "en", "a", 1) for i in range(1500)]
+    data += [(7, " ".join(["w"] * (5 + i * 37 % 90)) + f" x{i}", "en", "b", 1) for i in range(1500)]
+    data += [(8, "the same words in every row", "en", "c", 1)] * 1000 + [(i, "w " * 40, "en", "d", 1) for i in range(9, 900)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(7)
+    got = mixing.mixed_sources(df).collect()
+    assert len(got) == len(data)
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(target[s] - 100 < taken[s] <= target[s] for s in target), (taken, target)
+    assert Counter(mixing.mixed_sources(df.repartition(3)).collect()) == Counter(got)
+
+
+def test_long_documents_are_drawn_in_proportion(spark):
+    """Inclusion follows size, up to certainty: of a rest of a third of a source, and with a document that is a fifth of it."""
+    data = [(i, "w " * (20, 40, 80)[i % 3], "en", "a", 1) for i in range(6000)] + [(i, "w " * 700, "en", "b", 1) for i in range(6000, 6300)]
+    data += [(9000, "w " * 20000, "en", "a", 1)]
+    got = [r for r in mixing.mixed_sources(spark.createDataFrame(data, SCHEMA)).collect() if r.source == "a"]
+    base = min(r.copies for r in got)
+    rest = got[0].target - base * got[0].source_size
+    assert 0 < rest < got[0].source_size and sum(r.p * r.size for r in got) == pytest.approx(rest)
+    [big] = [r for r in got if r.size == 20000]
+    assert big.p == 1 and big.copies == base + 1
+    for size in (20, 40, 80):
+        own = [r for r in got if r.size == size]
+        p, had = own[0].p, sum(r.copies - base for r in own) / len(own)
+        assert p == pytest.approx(min(1, own[0].p / size * size)) and abs(had - p) < 4 * (p * (1 - p) / len(own)) ** 0.5 + 0.002
+    by = {r.size: r.p for r in got}
+    assert by[40] == pytest.approx(2 * by[20]) and by[80] == pytest.approx(min(1, 4 * by[20]))
+
+
 def test_mixture_repeats_documents(spark):
     df = frame(spark)
     copies = Counter()
