@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -27,31 +28,42 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-STORED: list[str] = []  # paths of the tables stored so far
+_STORED: dict[str, object] = {}  # path of each stored table, and a weak reference of the JVM to its list of files
 
 
-def drop_unread(docs: DataFrame, paths: list[str]) -> list[str]:
-    """Delete those stored tables that `docs` does not read; the paths that are left."""
-    spark, read = docs.sparkSession, docs.inputFiles()
-    left = [p for p in paths if any(p.rpartition("/")[2] in f for f in read)]
-    for path in set(paths) - set(left):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return left
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_unreachable(spark: SparkSession) -> None:
+    """Delete the stored tables that no frame can read any more.
+
+    Every plan that reads a table holds its list of files. Once the JVM has collected that list, no frame, nor any made
+    from it, is left that could read the table; as long as one is in use, the table stays.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+    for path, files in list(_STORED.items()):
+        if files.get() is None:
+            _STORED.pop(path, None)
+            _delete(spark, path)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: computed once, cut from its lineage, safe from lost executors.
 
-    The files go when the driver's JVM ends, since the returned frame is lazy and may be read at any time before.
+    The returned frame is lazy and may be read at any time, so the files go when the driver's JVM ends, or with
+    `drop_unreachable` once nothing can read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    STORED.append(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[path] = spark._jvm.java.lang.ref.WeakReference(out._jdf.queryExecution().analyzed().relation().location())
+    return out
 
 
 def byte_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """The pipeline against a plain version of its stages, and the registered queries."""
 
 import hashlib
+import os
 from collections import Counter, defaultdict
 
 import duckdb
@@ -69,6 +70,23 @@ def test_query_equals_sql(spark, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, result.fetchall())
 
 
+def test_stages_on_two_tables_in_one_session(spark):
+    """A result stays readable whatever other stages run in between; what nothing reads any more is deleted."""
+    from hearthwatch.llm import base
+
+    docs = frame(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    results = [corpus_pipeline.STAGES[k][1](spark, docs, SF).select("doc_id", "text") for k in (1, 3)]
+    want = [Counter(r.collect()) for r in results]
+    other = corpus_pipeline.STAGES[1][1](spark, docs.where("doc_id > 5"), SF)
+    corpus_pipeline.STAGES[3][1](spark, docs.where("doc_id < 5"), SF).count()
+    assert [Counter(r.collect()) for r in results] == want and other.count()
+    held = set(base._STORED)
+    del results, other
+    base.drop_unreachable(spark)
+    gone = held - set(base._STORED)
+    assert gone and not any(os.path.exists(path.removeprefix("file:")) for path in gone)
+
+
 def test_near_stage_links_from_four_fifths(spark):
     words = [f"w{i}" for i in range(104)]  # 100 shingles
     for changed, left in ((9, 1), (13, 2)):  # 91 of 109 shared, then 87 of 113
