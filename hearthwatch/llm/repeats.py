@@ -2,8 +2,9 @@
 
 Positions are sampled where a q-gram is the least of its surroundings, so equal strings have their samples at equal
 places. A sample's bucket is named by a hash of the string that every window of it contains; names of 2d bytes are
-hashed from two names of d bytes. Buckets are split by a hash of the bytes of a sample's windows. A bucket with one
-member leaves; what is left is compared window by window. Suffixes are not ordered.
+hashed from two names of d bytes. Buckets are split by a digest of the bytes of a sample's windows. A bucket with one
+member leaves; what is left is compared window by window. Suffixes are not ordered. Polynomial hashes, whose equal values
+can be made at will, only propose: strings are taken for equal by BLAKE2 digests of their bytes.
 """
 
 from __future__ import annotations
@@ -53,11 +54,10 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def samples(data: np.ndarray, ends: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(first window, last window, sample, bucket name, refined name) of runs of windows that have the same sample.
+    """(first window, last window, sample, bucket name) of runs of windows that have the same sample.
 
     A window is `length` bytes inside one document; its sample is the leftmost least GRAM in its first part, and so
-    depends on the window alone. The bucket name covers the bytes that all windows with this sample contain; the
-    refined name covers all bytes of this run's windows and their place around the sample.
+    depends on the window alone. The bucket name covers the bytes that all windows with this sample contain.
     """
     inner = GRAM << ((length // 3 // GRAM).bit_length() - 1)  # 64 of 200 bytes
     width = length - inner + 1
@@ -66,28 +66,35 @@ def samples(data: np.ndarray, ends: np.ndarray, lengths: np.ndarray, length: int
     low = _least(order, width)
     p = np.flatnonzero(np.arange(length, len(low) + length) <= np.repeat(ends, lengths)[: len(low)])
     if not len(p):
-        return (np.empty(0, int),) * 3 + (np.empty(0, _U),) * 2
+        return (np.empty(0, int),) * 3 + (np.empty(0, _U),)
     at = (low[p] & ~_HIGH).astype(np.int64)
     change = np.flatnonzero(at[1:] != at[:-1]) + 1
     first, last = p[np.r_[0, change]], p[np.r_[change - 1, len(p) - 1]]
     at = at[np.r_[0, change]]
-    bucket = deeper(names, at, inner)
-    shape = ((at - first) << 16 | (last - first)).astype(_U)
-    refined = mixed(span_hashes(data, first, last + length) * _U(0x9DDFEA08EB382D69) + shape)
-    return first, last, at, bucket, refined
+    return first, last, at, deeper(names, at, inner)
 
 
-def _sampled(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, tuple]]:
-    """Of each slice of texts: the slice, each sample's row in it, each row's start, and the samples."""
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of a BLAKE2 digest of each data[start:end]."""
+    view, out = memoryview(data), [np.empty((0, 2), _U)]
+    for i in range(0, len(starts), 1 << 14):
+        spans = zip(starts[i : i + (1 << 14)].tolist(), ends[i : i + (1 << 14)].tolist())
+        out.append(np.frombuffer(b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in spans]), _U).reshape(-1, 2))
+    return np.concatenate(out)
+
+
+def _sampled(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, bytes, np.ndarray, np.ndarray, tuple]]:
+    """Of each slice of texts: the slice, its bytes, each sample's row in it, each row's start, and the samples."""
     for batch in byte_slices(batches, limit=SLICE):
-        texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        texts = batch.column("text").to_pylist()
+        joined = b"".join(texts)
+        data = np.frombuffer(joined, np.uint8)
         if len(data) < length:
             continue
         lengths = np.array([len(t) for t in texts])
         ends = np.cumsum(lengths)
         found = samples(data, ends, lengths, length)
-        yield batch, np.searchsorted(ends, found[0], "right"), ends - lengths, found
+        yield batch, joined, np.searchsorted(ends, found[0], "right"), ends - lengths, found
 
 
 def _bit(keys: np.ndarray) -> np.ndarray:
@@ -101,7 +108,7 @@ def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _bucket_names(length: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, found in _sampled(batches, length):
+        for *_, found in _sampled(batches, length):
             yield pa.record_batch([pa.array(found[3].view(np.int64))], ["k"])
 
     return run
@@ -109,13 +116,17 @@ def _bucket_names(length: int) -> Callable:
 
 def _kept_samples(length: int, bits) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows, starts, (first, last, at, bucket, refined) in _sampled(batches, length):
-            some = np.flatnonzero(_marked(bits.value, bucket.view(np.int64)))
+        for batch, data, rows, starts, found in _sampled(batches, length):
+            some = np.flatnonzero(_marked(bits.value, found[3].view(np.int64)))
+            first, last, at, bucket = (x[some] for x in found)
+            # covers all bytes of this run's windows and their place around the sample
+            shape = ((at - first) << 16 | (last - first)).astype(_U)
+            refined = mixed(digests(data, first, last + length)[:, 0] * _U(0x9DDFEA08EB382D69) + shape)
             start = starts[rows[some]]
-            columns = [batch.column(c).take(pa.array(rows[some])) for c in ("doc", "crc")]
-            columns += [pa.array((x[some] - start).astype(np.int32)) for x in (first, last, at)]
-            columns += [pa.array(x[some].view(np.int64)) for x in (bucket, refined)]
-            yield pa.record_batch(columns, ["doc", "crc", "first", "last", "at", "k", "o"])
+            columns = [batch.column(c).take(pa.array(rows[some])) for c in ("doc", "sha")]
+            columns += [pa.array((x - start).astype(np.int32)) for x in (first, last, at)]
+            columns += [pa.array(x.view(np.int64)) for x in (bucket, refined)]
+            yield pa.record_batch(columns, ["doc", "sha", "first", "last", "at", "k", "o"])
 
     return run
 
@@ -143,12 +154,11 @@ def _outer_bytes(length: int) -> Callable:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches):
-            doc, crc, k, n, first, last, at, outer = [], [], [], [], [], [], [], []
-            for d, c, text, probes in zip(*[batch.column(x).to_pylist() for x in ("doc", "crc", "text", "probes")]):
-                data = (text or "").encode()
+            doc, sha, k, n, first, last, at, outer = [], [], [], [], [], [], [], []
+            for d, c, data, probes in zip(*[batch.column(x).to_pylist() for x in ("doc", "sha", "text", "probes")]):
                 for p in probes:
                     doc.append(d)
-                    crc.append(c)
+                    sha.append(c)
                     k.append(p["k"])
                     n.append(p["n"])
                     first.append(p["first"])
@@ -156,28 +166,23 @@ def _outer_bytes(length: int) -> Callable:
                     at.append(p["at"])
                     outer.append(data[p["first"] : p["last"] + length])
             yield pa.record_batch(
-                [pa.array(doc, pa.int64()), pa.array(crc, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int64())]
+                [pa.array(doc, pa.int64()), pa.array(sha, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int64())]
                 + [pa.array(x, pa.int32()) for x in (first, last, at)] + [pa.array(outer, pa.binary())],
-                ["doc", "crc", "k", "n", "first", "last", "at", "outer"],
+                ["doc", "sha", "k", "n", "first", "last", "at", "outer"],
             )
 
     return run
 
 
-def _windows(batch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows of the rows: the row, the window's place in its document and its name (with bucket and offset)."""
-    first, last, at = (batch.column(c).to_numpy() for c in ("first", "last", "at"))
+def _windows(batch) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the rows, and of all their windows the start in these bytes, the row and the place in its document."""
+    first, last = (batch.column(c).to_numpy() for c in ("first", "last"))
     outer = batch.column("outer").to_pylist()
-    data = np.frombuffer(b"".join(outer), np.uint8)
     starts = np.cumsum([0, *map(len, outer)])[:-1]
     n = last - first + 1
     row = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    begin = starts[row] + step
-    place = first[row] + step
-    name = span_hashes(data, begin, begin + length)
-    k = batch.column("k").to_numpy().view(np.uint64)[row]
-    return row, place, mixed(name * _U(0x9DDFEA08EB382D69) + mixed(k + (at[row] - place).astype(_U)))
+    return b"".join(outer), starts[row] + step, row, first[row] + step
 
 
 def _spans(batch, row: np.ndarray, place: np.ndarray, length: int) -> pa.RecordBatch:
@@ -187,9 +192,9 @@ def _spans(batch, row: np.ndarray, place: np.ndarray, length: int) -> pa.RecordB
     b = np.r_[change - 1, len(row) - 1] if len(row) else change
     rows = pa.array(row[a])
     return pa.record_batch(
-        [pc.take(batch.column("doc").combine_chunks(), rows), pc.take(batch.column("crc").combine_chunks(), rows),
+        [pc.take(batch.column("doc").combine_chunks(), rows), pc.take(batch.column("sha").combine_chunks(), rows),
          pa.array(place[a].astype(np.int32)), pa.array((place[b] + length).astype(np.int32))],
-        ["doc", "crc", "start", "end"],
+        ["doc", "sha", "start", "end"],
     )
 
 
@@ -221,11 +226,16 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 4096)
 def _compared(length: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "k"):
-            row, place, name = _windows(group, length)
+            data, begin, row, place = _windows(group)
             n = group.column("n").to_numpy()[row]
-            _, inverse = np.unique(name, return_inverse=True)
-            twice = np.bincount(inverse, weights=n)[inverse] >= 2
-            some = twice & (n == 1)  # classes with more members are marked as a whole
+            _, inverse = np.unique(span_hashes(np.frombuffer(data, np.uint8), begin, begin + length), return_inverse=True)
+            one = n == 1  # classes with more members are marked as a whole
+            some = np.flatnonzero((np.bincount(inverse, weights=n)[inverse] >= 2) & (np.bincount(inverse, weights=one)[inverse] > 0))
+            found = digests(data, begin[some], begin[some] + length)
+            order = np.lexsort(found.T)
+            same = np.empty(len(order), np.int64)
+            same[order] = np.cumsum(np.r_[False, (found[order[1:]] != found[order[:-1]]).any(axis=1)][: len(order)])
+            some = some[(np.bincount(same, weights=n[some])[same] >= 2) & one[some]]
             yield _spans(group, row[some], place[some], length)
 
     return run
@@ -234,11 +244,12 @@ def _compared(length: int) -> Callable:
 def _dealt(length: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "outer", SLICE):
-            row, place, name = _windows(batch, length)
+            data, begin, row, place = _windows(batch)
+            name = digests(data, begin, begin + length).view(np.int64)
             rows = pa.array(row)
             yield pa.record_batch(
-                [*(batch.column(c).take(rows) for c in ("doc", "crc", "n")), pa.array(place.astype(np.int32)), pa.array(name.view(np.int64))],
-                ["doc", "crc", "n", "place", "name"],
+                [*(batch.column(c).take(rows) for c in ("doc", "sha", "n")), pa.array(place.astype(np.int32)), *map(pa.array, name.T)],
+                ["doc", "sha", "n", "place", "name", "name2"],
             )
 
     return run
@@ -268,8 +279,7 @@ def _cut(batches: Iterable[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBa
     for batch in byte_slices(batches):
         rows = []
         spans = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
-        for text, s in zip(batch.column("text").to_pylist(), spans):
-            data = (text or "").encode()
+        for data, s in zip(batch.column("text").to_pylist(), spans):
             left, removed, runs = without_spans(data, [(x["start"], x["end"]) for x in s or []])
             rows.append((len(data), removed, runs, hashlib.sha256(left).hexdigest(), left))
         columns = [batch.column("doc_id"), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.string())]
@@ -279,28 +289,28 @@ def _cut(batches: Iterable[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBa
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, crc, start, end): byte spans of `length` bytes or more, over which every window starts elsewhere too."""
+    """(doc, sha, start, end): byte spans of `length` bytes or more, over which every window starts elsewhere too."""
     spark = docs.sparkSession
     names = docs.select("text").mapInArrow(_bucket_names(length), "k long").groupBy("k").count().where("count > 1")
     bits = spark.sparkContext.broadcast(_map_of(names.select("k")))
-    kept = stored(docs.mapInArrow(_kept_samples(length, bits), "doc long, crc long, first int, last int, at int, k long, o long"))
-    one = [F.first(c).alias(c) for c in ("doc", "crc", "first", "last", "at")]  # of one row, whichever comes first
+    kept = stored(docs.mapInArrow(_kept_samples(length, bits), "doc long, sha long, first int, last int, at int, k long, o long"))
+    one = [F.first(c).alias(c) for c in ("doc", "sha", "first", "last", "at")]  # of one row, whichever comes first
     classes = stored(kept.groupBy("k", "o").agg(F.count(F.lit(1)).alias("n"), *one))
-    whole = kept.join(classes.where("n > 1").select("k", "o"), ["k", "o"], "left_semi").select("doc", "crc", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    whole = kept.join(classes.where("n > 1").select("k", "o"), ["k", "o"], "left_semi").select("doc", "sha", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     shared = stored(classes.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    probes = classes.join(shared, "k").groupBy("doc", "crc").agg(F.collect_list(F.struct("k", "n", "first", "last", "at")).alias("probes"))
+    probes = classes.join(shared, "k").groupBy("doc", "sha").agg(F.collect_list(F.struct("k", "n", "first", "last", "at")).alias("probes"))
     probes = stored(probes)
     bits = spark.sparkContext.broadcast(_map_of(probes.select("doc")))
-    outer = _only(docs, bits, True).join(probes, ["doc", "crc"]).select("doc", "crc", "text", "probes").mapInArrow(
-        _outer_bytes(length), "doc long, crc long, k long, n long, first int, last int, at int, outer binary")
+    outer = _only(docs, bits, True).join(probes, ["doc", "sha"]).select("doc", "sha", "text", "probes").mapInArrow(
+        _outer_bytes(length), "doc long, sha long, k long, n long, first int, last int, at int, outer binary")
     outer = stored(outer)
     hot = shared.where(F.col("m") > HOT)
     cool = outer.join(hot, "k", "left_anti").repartition("k").sortWithinPartitions("k")
-    spans = whole.unionByName(cool.mapInArrow(_compared(length), "doc long, crc long, start int, end int"))
+    spans = whole.unionByName(cool.mapInArrow(_compared(length), "doc long, sha long, start int, end int"))
     if not hot.isEmpty():
-        dealt = stored(outer.join(hot, "k", "left_semi").mapInArrow(_dealt(length), "doc long, crc long, n long, place int, name long"))
-        twice = stored(dealt.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name"))
-        spans = spans.unionByName(dealt.where("n = 1").join(twice, "name").select("doc", "crc", F.col("place").alias("start"), (F.col("place") + length).alias("end")))
+        dealt = stored(outer.join(hot, "k", "left_semi").mapInArrow(_dealt(length), "doc long, sha long, n long, place int, name long, name2 long"))
+        twice = stored(dealt.groupBy("name", "name2").agg(F.sum("n").alias("n")).where("n > 1").select("name", "name2"))
+        spans = spans.unionByName(dealt.where("n = 1").join(twice, ["name", "name2"]).select("doc", "sha", F.col("place").alias("start"), (F.col("place") + length).alias("end")))
     return spans
 
 
@@ -318,17 +328,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False)
 
     Strings are judged on the input and never reach over two documents; a NULL or shorter text loses nothing. Repeated
     rows are documents of their own, and so lose what they share. Rows with equal id and text have equal results,
-    which is why a document is known by its id and the CRC of its text (a NULL id by a hash of the text). An empty
-    table gives no rows; other columns are not read.
+    which is why a document is known by its id and 64 bits that follow from the SHA-256 of its text (a NULL id by a hash
+    of the text). An empty table gives no rows; other columns are not read.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
-        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("doc"), F.crc32(text.cast("binary")).alias("crc"),
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("doc"), F.xxhash64(F.sha2(text, 256)).alias("sha"),
     )
-    spans = stored(repeated_spans(docs.select("text", "doc", "crc"), length))
-    spans = stored(spans.groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    spans = stored(repeated_spans(docs.select("text", "doc", "sha"), length))
+    spans = stored(spans.groupBy("doc", "sha").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     bits = docs.sparkSession.sparkContext.broadcast(_map_of(spans.select("doc")))
     schema = _OUT + (", kept binary" if texts else "")
     clean = _only(docs, bits, False).mapInArrow(lambda b: _cut(b, texts), schema)
-    return clean.unionByName(_only(docs, bits, True).join(spans, ["doc", "crc"], "left").mapInArrow(lambda b: _cut(b, texts), schema))
+    return clean.unionByName(_only(docs, bits, True).join(spans, ["doc", "sha"], "left").mapInArrow(lambda b: _cut(b, texts), schema))

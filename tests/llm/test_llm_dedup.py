@@ -206,6 +206,41 @@ def test_repeats_of_pasted_passages(spark, monkeypatch, hot):
     check_repeats(spark, data, 200)
 
 
+@pytest.mark.parametrize("hot", [2048, 1])
+def test_repeats_are_told_from_strings_of_equal_hashes(spark, monkeypatch, hot):
+    """Strings whose polynomial hashes are equal, alone and inside longer texts."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    import random
+
+    rnd = random.Random(8)
+    noise = lambda n: "".join(rnd.choice("abcdefgh éñ") for _ in range(n))
+    change = [-2, -4, -6, 5, 6, 3, 0, -2, 2, 0, 3, 0, 1, -1, 0, -2, -5, -2]  # no change of the hash modulo 2 ** 64
+    data = []
+    for i in range(60):
+        same, tail = "".join(rnd.choice("abcdefgh ") for _ in range(182)), [rnd.randrange(60, 110) for _ in change]
+        pair = [same + "".join(map(chr, tail)), same + "".join(chr(a + b) for a, b in zip(tail, change))]
+        around = [("", ""), (noise(40), noise(30)), (noise(3), "")][i % 3]
+        data += [(10 * i + j, around[0] * j + text + around[1], "en", "a", 1) for j, text in enumerate(pair)]
+        if i % 2:
+            data.append((10 * i + 2, "z" + pair[0] + "y", "en", "a", 1))
+    check_repeats(spark, data, 200)
+
+
+def test_repeats_of_texts_with_one_id_and_equal_crcs(spark):
+    import random
+    import zlib
+
+    rnd = random.Random(8)
+    noise = lambda n: "".join(rnd.choice("abcdefgh éñ") for _ in range(n))
+    passage = noise(230)
+    known: tuple[dict, dict] = {}, {}
+    for texts, head in zip(known, (passage + noise(70), noise(90) + passage)):
+        for end in (str(rnd.random()) for _ in range(1 << 18)):
+            texts[zlib.crc32(end.encode(), zlib.crc32(head.encode()))] = head + end
+    crc = next(c for c in known[0] if c in known[1])
+    check_repeats(spark, [(i, texts[crc], "en", "a", 1) for texts in known for i in (1, None)], 200)
+
+
 def test_kept_bytes(spark):
     text = "x" * 10 + "0123456789" * 40
     df = spark.createDataFrame([(1, text, "", "", 1), (2, "y" + "0123456789" * 21, "", "", 1)], SCHEMA)
