@@ -13,20 +13,23 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hearthwatch.llm.base import byte_slices, texts_of
+from hearthwatch.llm.base import byte_slices
 from hearthwatch.session import scratch_dir
 
 END = 0  # fixed value: the id behind each document
 PARTS = 300_000  # parts of texts that a worker keeps in each of two generations, besides those of one slice
 PART_LENGTH = 64  # longer parts are not kept
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # punctuation that may stand behind a word
-LATIN_END = "\u0250"  # words whose letters come before it are cut from their marks
+# Latin letters up to U+024F, and the marks behind them
+MARKED = re.compile(f"([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([{re.escape(MARKS)}]*)")
 SPACE = re.compile(r"\s")
-LINES = 1000  # words that are encoded as one text
+SINGLE = re.compile(r"\S+(?:\n\S+)+")  # lines that are not empty and hold no other white space
+LINES = 128  # words that are encoded as one text: more take the library longer a word
 GROUP = 1 << 17  # characters that the library encodes at once (a longer text comes alone)
 LAYOUT = {
     "compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "1000",
@@ -76,10 +79,8 @@ class ChunkEncoder:
         if self.line_end is None:
             return self.whole([lead + w for w in words])
         out = []
-        for k in range(0, len(words), LINES):
-            ids = np.frombuffer(self.whole([lead + f"\n{lead}".join(words[k : k + LINES])])[0], "<u4")
-            cuts = np.flatnonzero(ids == self.line_end) * 4
-            data = ids.tobytes()
+        for data in self.whole([lead + f"\n{lead}".join(words[k : k + LINES]) for k in range(0, len(words), LINES)]):
+            cuts = np.flatnonzero(np.frombuffer(data, "<u4") == self.line_end) * 4
             out += [data[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)])]
         return out
 
@@ -96,46 +97,61 @@ class ChunkEncoder:
                 out.append(part)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.splits:
-            return self.whole(texts)
-        out: list[bytes | None] = [None] * len(texts)
-        cut: dict[int, list[str]] = {}  # texts that hold parts not met before
-        whole = []
-        get = self.inner.young.get
-        new: set[str] = set()
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                whole.append(i)
-                continue
-            head, *parts = text.split(" ")
-            ids = list(map(get, parts))
-            if None in ids:
-                new.update([p for p, k in zip(parts, ids) if k is None])
-            elif ODD not in ids and not head[-1:].isspace():
-                out[i] = self._head(head) + b"".join(ids)
-                continue
-            cut[i] = [head, *parts]
-        known = self._of(new, " ")
-        odd: dict[int, list[str]] = {}
-        for i, (head, *parts) in cut.items():
-            ids = [get(p) or known[p] for p in parts]
-            if ODD in ids or head[-1:].isspace():
-                odd[i] = self.parts(texts[i])
-            else:
-                out[i] = self._head(head) + b"".join(ids)
-        if odd:
-            known = self._of({p for parts in odd.values() for p in parts[1:]}, " ", True)
-            for i, (head, *parts) in odd.items():
-                out[i] = self._head(head) + b"".join([known[p] for p in parts])
-        for i, ids in zip(whole, self.whole([texts[i] for i in whole])):
-            out[i] = ids
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, bytes]:
+        """Number of ids of each text, and all their ids one after the other, with the end id behind each text."""
+        end = np.array([END], "<u4").tobytes()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.full(len(texts), not self.splits)
+        for string in self.special:
+            odd |= pc.match_substring(texts, string).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts, " ")
+        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        starts = ends[:-1]
+        # all but the first parts of texts stand behind a space
+        codes = split.flatten().dictionary_encode()
+        names, codes = codes.dictionary.to_pylist(), codes.indices.to_numpy().astype(np.int64)
+        behind = np.ones(len(codes), bool)
+        behind[starts] = False
+        used = np.zeros(len(names), bool)
+        used[codes[behind & ~np.repeat(odd, np.diff(ends))]] = True
+        known = self._of({names[c] for c in np.flatnonzero(used).tolist()}, " ")
+        ids = [known.get(p, b"") for p in names]
+        marked = np.array([k is ODD for k in ids], bool)
+        if len(codes):
+            odd |= np.logical_or.reduceat(marked[codes] & behind, starts)
+            odd |= np.array([names[c][-1:].isspace() for c in codes[starts].tolist()], bool)
+        heads = [names[c] for c in codes[starts[~odd]].tolist()]
+        first = self._of(set(heads), "", True)
+        # of texts that are not odd: ids of the parts in their order, and the end id behind the last one
+        table = pa.array([*ids, *map(first.__getitem__, heads), *self._texts([texts[i].as_py() for i in np.flatnonzero(odd)]), end], pa.large_binary())
+        codes[starts[~odd]] = len(ids) + np.arange(len(heads))
+        codes[starts[odd]] = len(ids) + len(heads) + np.arange(int(odd.sum()))
+        codes = codes[~(np.repeat(odd, np.diff(ends)) & behind)]  # the first part of an odd text stands for all of it
+        counts = np.where(odd, 1, np.diff(ends))
+        codes = np.insert(codes, np.cumsum(counts), len(table) - 1)
+        lengths = pc.binary_length(table).to_numpy()[codes] // 4
+        sizes = np.add.reduceat(lengths, np.cumsum(counts + 1) - counts - 1) if len(codes) else lengths
         self.inner.turn()
         self.first.turn()
-        return out
+        return sizes, b"".join(self._bytes(table.take(pa.array(codes))))
 
-    def _head(self, part: str) -> bytes:
-        return self._of({part}, "", True)[part]
+    @staticmethod
+    def _bytes(column: pa.Array) -> list[memoryview]:
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else [0, 0]
+        return [memoryview(column.buffers()[2])[at[0] : at[-1]]] if at[-1] else []
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts with special strings, which are encoded whole, or with white space before a space."""
+        out: dict[int, bytes] = {}
+        whole = [i for i, text in enumerate(texts) if not self.splits or any(s in text for s in self.special)]
+        for i, ids in zip(whole, self.whole([texts[i] for i in whole])):
+            out[i] = ids
+        cut = {i: self.parts(text) for i, text in enumerate(texts) if i not in out}
+        first = self._of({head for head, *_ in cut.values()}, "", True)
+        last = self._of({p for _, *parts in cut.values() for p in parts}, " ", True)
+        for i, (head, *parts) in cut.items():
+            out[i] = first[head] + b"".join(map(last.__getitem__, parts))
+        return [out[i] for i in range(len(texts))]
 
     def _of(self, parts: set[str], lead: str, last: bool = False) -> dict[str, bytes]:
         """Ids of parts with `lead` before them. Unless a part is the last one, a token may reach from white space at its
@@ -164,25 +180,32 @@ class ChunkEncoder:
         with whatever marks it stands."""
         bare, marked, others = set(), [], []
         for part in parts:
-            word = part.rstrip(MARKS)
-            if not (word.isalpha() and max(word) < LATIN_END):
-                others.append(part)
-            elif len(word) == len(part):
-                bare.add(part)
-            else:
+            if match := MARKED.fullmatch(part):
+                word, marks = match.groups()
                 bare.add(word)
-                marked.append((part, word))
+                if marks:
+                    marked.append((part, word, marks))
+            else:
+                others.append(part)
         found, words = (self.inner if lead else self.first).find(bare)
         if words:
             fresh = dict(zip(words, self.words(words, lead)))
             (self.inner if lead else self.first).keep(fresh)
             found |= fresh
-        marks = self._of({part[len(word) :] for part, word in marked}, "", True) if marked else {}
-        for part, word in marked:
-            found[part] = found[word] + marks[part[len(word) :]]
-        plain = [p for p in others if not SPACE.search(p)]
+        ends = self._of({marks for _, _, marks in marked}, "", True) if marked else {}
+        for part, word, marks in marked:
+            found[part] = found[word] + ends[marks]
+        plain = [p for p in others if p and not SPACE.search(p)]
         found.update(zip(plain, self.words(plain, lead)))
-        spaced = [p for p in others if SPACE.search(p)]
+        spaced = [p for p in others if not p or SPACE.search(p)]
+        lines = {} if self.line_end is None else {p: p.split("\n") for p in spaced if SINGLE.fullmatch(p)}
+        if lines:  # a line end between characters that are not white space is a token of its own
+            before = self._of({x[0] for x in lines.values()}, lead, True)
+            behind = self._of({x for _, *rest in lines.values() for x in rest}, "", True)
+            end = np.array([self.line_end], "<u4").tobytes()
+            for part, (line, *rest) in lines.items():
+                found[part] = end.join([before[line], *map(behind.__getitem__, rest)])
+        spaced = [p for p in spaced if p not in lines]
         found.update(zip(spaced, self.whole([lead + p for p in spaced])))
         return found
 
@@ -232,13 +255,11 @@ def _rows(path: str):
 
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, ChunkEncoder(path))
         part, place, start = TaskContext.get().partitionId(), 0, 0
-        end = np.array([END], "<u4").tobytes()
         for batch in byte_slices(batches, limit=8 << 20):
-            found = encoder.encode(texts_of(batch))
-            sizes = np.array([len(b) // 4 + 1 for b in found], np.int64)
+            sizes, data = encoder.encode(batch.column("text"))
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            values = np.frombuffer(end.join([*found, b""]), "<u4").astype(np.int32)
-            n = len(found)
+            values = np.frombuffer(data, "<u4").astype(np.int32)
+            n = len(sizes)
             yield pa.record_batch(
                 [pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(place, place + n)), pa.array(start + ends[:-1]),
                  batch.column("doc_id"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],

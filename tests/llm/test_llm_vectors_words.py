@@ -194,6 +194,24 @@ def test_token_files_of_odd_texts(spark, tmp_path):
     assert sum(len(ids) for *_, ids in cut) == 60 and cut[0][1] == 100
 
 
+def test_token_files_ask_the_library_for_many_parts_at_once():
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    bits = [" ", "  ", "\n", "\n\n", "\t", "Wörter", "it's", "12", "...", "漢字", "\u00a0", "\x85", "<|endoftext|>", "ª", "ɐɐ", "foo.\nBar", "\r\n", "(x)", ""]
+    texts = [None, "", " ", *("".join(rnd.choice(bits) for _ in range(rnd.randrange(40))) for _ in range(600))]
+    encoder = token_files.ChunkEncoder(TOKENIZER)
+    whole, calls = encoder.whole, []
+    encoder.whole = lambda group: calls.append(len(group)) or whole(group)
+    sizes, data = encoder.encode(pa.array(texts, pa.string()))
+    ids = np.split(np.frombuffer(data, "<u4"), np.cumsum(sizes)[:-1])
+    want = encoder.library.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [x.tolist() for x in ids] == [[*x.ids, token_files.END] for x in want]
+    assert len(calls) < 60  # not one for each text
+
+
 def test_token_files_of_awkward_rows(spark):
     got = list(map(tuple, token_files.stored_tokens(frame(spark), TOKENIZER).collect()))
     data = [(r[0], r[1]) for r in rows()]
