@@ -212,6 +212,38 @@ def test_token_files_ask_the_library_for_many_parts_at_once():
     assert len(calls) < 60  # not one for each text
 
 
+def test_token_files_spend_no_python_on_each_part():
+    import sys
+
+    import pyarrow as pa
+
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i}{mark}" for i in range(2000) for mark in ("", ",", ".\nNext", "...")]
+    encoder, calls = token_files.ChunkEncoder(TOKENIZER), []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        sizes, data = encoder.encode(pa.array([" ".join(words)]))
+    finally:
+        sys.setprofile(None)
+    want = encoder.library.encode(" ".join(words), add_special_tokens=False).ids
+    assert np.frombuffer(data, "<u4").tolist() == [*want, token_files.END] and sizes.tolist() == [len(want) + 1]
+    assert len(calls) < len(words) / 4
+
+
+def test_token_files_keep_a_bounded_number_of_strings(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "PARTS", 50)
+    encoder = token_files.ChunkEncoder(TOKENIZER)
+    for k in range(0, 900, 30):
+        texts = [f"w{i} often {'l' * (i % 90)}ong, w{i // 2}.  x" for i in range(k, k + 30)]
+        sizes, data = encoder.encode(pa.array(texts))
+        want = [i for x in encoder.library.encode_batch(texts, add_special_tokens=False) for i in (*x.ids, token_files.END)]
+        assert np.frombuffer(data, "<u4").tolist() == want and sizes.sum() == len(want)
+        known = encoder.known
+        assert len(known.keys) == len(known.ids) == len(known.last) <= 50 and " often" in known.keys.to_pylist()
+        assert max(len(x.encode()) for x in known.keys.to_pylist()) <= token_files.PART_LENGTH
+
+
 def test_token_files_of_awkward_rows(spark):
     got = list(map(tuple, token_files.stored_tokens(frame(spark), TOKENIZER).collect()))
     data = [(r[0], r[1]) for r in rows()]
