@@ -5,6 +5,9 @@ places. A sample's bucket is named by a hash of the string that every window of
 hashed from two names of d bytes. Buckets are split by a digest of the bytes of a sample's windows. A bucket with one
 member leaves; what is left is compared window by window. Suffixes are not ordered. Polynomial hashes, whose equal values
 can be made at will, only propose: strings are taken for equal by BLAKE2 digests of their bytes.
+
+No stage hands rows from one Python function to another: each would hold a worker of its own in every running task, and
+Spark keeps the workers. Joins between two such functions are therefore never broadcast.
 """
 
 from __future__ import annotations
@@ -301,7 +304,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     probes = classes.join(shared, "k").groupBy("doc", "sha").agg(F.collect_list(F.struct("k", "n", "first", "last", "at")).alias("probes"))
     probes = stored(probes)
     bits = spark.sparkContext.broadcast(_map_of(probes.select("doc")))
-    outer = _only(docs, bits, True).join(probes, ["doc", "sha"]).select("doc", "sha", "text", "probes").mapInArrow(
+    outer = _only(docs, bits).join(probes.hint("merge"), ["doc", "sha"]).select("doc", "sha", "text", "probes").mapInArrow(
         _outer_bytes(length), "doc long, sha long, k long, n long, first int, last int, at int, outer binary")
     outer = stored(outer)
     hot = shared.where(F.col("m") > HOT)
@@ -314,12 +317,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return spans
 
 
-def _only(docs: DataFrame, bits, inside: bool) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_marked(bits.value, batch.column("doc").to_numpy()) == inside))
+def _inside(batches: Iterable[pa.RecordBatch], bits, inside: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(_marked(bits.value, batch.column("doc").to_numpy()) == inside))
+
 
-    return docs.mapInArrow(run, docs.schema)
+def _only(docs: DataFrame, bits) -> DataFrame:
+    return docs.mapInArrow(lambda b: _inside(b, bits, True), docs.schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
@@ -340,5 +344,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False)
     spans = stored(spans.groupBy("doc", "sha").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     bits = docs.sparkSession.sparkContext.broadcast(_map_of(spans.select("doc")))
     schema = _OUT + (", kept binary" if texts else "")
-    clean = _only(docs, bits, False).mapInArrow(lambda b: _cut(b, texts), schema)
-    return clean.unionByName(_only(docs, bits, True).join(spans, ["doc", "sha"], "left").mapInArrow(lambda b: _cut(b, texts), schema))
+    clean = docs.drop("sha").mapInArrow(lambda b: _cut(_inside(b, bits, False), texts), schema)
+    return clean.unionByName(_only(docs, bits).join(spans.hint("merge"), ["doc", "sha"], "left").mapInArrow(lambda b: _cut(b, texts), schema))

@@ -241,6 +241,36 @@ def test_repeats_of_texts_with_one_id_and_equal_crcs(spark):
     check_repeats(spark, [(i, texts[crc], "en", "a", 1) for texts in known for i in (1, None)], 200)
 
 
+def python_steps(plan):
+    """The most Python functions of a physical plan that run in one stage, one upon the other."""
+    path, most = [], 0
+    for line in plan.splitlines():
+        name = line.lstrip(" :+-")
+        depth = len(line) - len(name)
+        path = [(d, n) for d, n in path if d < depth]
+        path.append((depth, name))
+        run = 0
+        for _, n in reversed(path):
+            if n.startswith(("Exchange", "BroadcastExchange")):
+                break
+            run += n.startswith(("MapInArrow", "ArrowEvalPython"))
+        most = max(most, run)
+    return most
+
+
+@pytest.mark.parametrize("texts", [False, True])
+def test_repeats_use_one_python_worker_a_task(spark, monkeypatch, texts):
+    """In each stage, a second function would keep as many workers again in every executor."""
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    keep = repeats.stored
+    monkeypatch.setattr(repeats, "stored", lambda df: plan(df) or keep(df))
+    data = [(1, "x" * 10 + "0123456789" * 40, "", "", 1), (2, "y" + "0123456789" * 21, "", "", 1), (3, "short", "", "", 1)]
+    plan(repeats.without_repeats(frame(spark, data), texts=texts))
+    assert sum("MapInArrow" in p for p in plans) >= 4
+    assert [python_steps(p) for p in plans if python_steps(p) > 1] == []
+
+
 def test_kept_bytes(spark):
     text = "x" * 10 + "0123456789" * 40
     df = spark.createDataFrame([(1, text, "", "", 1), (2, "y" + "0123456789" * 21, "", "", 1)], SCHEMA)
