@@ -308,7 +308,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         _outer_bytes(length), "doc long, sha long, k long, n long, first int, last int, at int, outer binary")
     outer = stored(outer)
     hot = shared.where(F.col("m") > HOT)
-    cool = outer.join(hot, "k", "left_anti").repartition("k").sortWithinPartitions("k")
+    # by another expression than the join: an equal partitioning would be left out, and the join may then part a bucket
+    cool = outer.join(hot, "k", "left_anti").repartition(F.xxhash64("k")).sortWithinPartitions("k")
     spans = whole.unionByName(cool.mapInArrow(_compared(length), "doc long, sha long, start int, end int"))
     if not hot.isEmpty():
         dealt = stored(outer.join(hot, "k", "left_semi").mapInArrow(_dealt(length), "doc long, sha long, n long, place int, name long, name2 long"))
